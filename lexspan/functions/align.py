@@ -4,33 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CELLS = 4_000_000  # matrix cells held at once per Python worker
 
 
-def edit_distance(ref: Column, hyp: Column) -> Column:
+def with_edit_distance(df: DataFrame, ref: Column, hyp: Column, out: str = "errors", size: str = "ref_len") -> DataFrame:
     """Substitutions + deletions + insertions between two word arrays.
 
     Each word shared by both sides becomes one supplementary code point and the
     built-in ``levenshtein`` counts code points. Words found on one side only
     can never match, so each side needs just one code for all of them.
+
+    The steps are separate projections: what stays outside a lambda is computed
+    once per row instead of once per word.
     """
-    shared = F.array_intersect(ref, hyp)
-
-    def encode(words: Column, unmatched: str) -> Column:
-        code = lambda w: F.array_position(shared, w)
-        hexes = F.transform(
-            words,
-            lambda w: F.when(code(w) == 0, F.lit(unmatched)).otherwise(
-                F.lpad(F.hex(code(w) + F.lit(65536)), 8, "0")
-            ),
-        )
+    staged = df.withColumn("__r", ref).withColumn("__h", hyp).withColumn("__v", F.array_intersect("__r", "__h"))
+
+    def encode(words: str, unmatched: str) -> Column:
+        hexes = F.transform(words, lambda w: F.coalesce(
+            F.lpad(F.hex(F.nullif(F.array_position("__v", w), F.lit(0)) + F.lit(65536)), 8, "0"), F.lit(unmatched)))
         return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
 
-    return F.levenshtein(encode(ref, "00000041"), encode(hyp, "00000042"))
+    return staged.withColumn(out, F.levenshtein(encode("__r", "00000041"), encode("__h", "00000042"))).withColumn(
+        size, F.size("__r")
+    ).drop("__r", "__h", "__v")
 
 
 def char_edit_distance(ref_norm: Column, hyp_norm: Column) -> Column:

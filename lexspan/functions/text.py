@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,15 @@ def script_of(word: Column) -> Column:
     )
 
 
+def with_script_counts(df: DataFrame, text: Column, compose: bool = True, prefix: str = "") -> DataFrame:
+    """Add the token counts total, dev, lat and other of a text."""
+    staged = df.withColumn("__n", normalize(text, compose))
+    counts = script_counts(F.col("__n"))
+    p = prefix
+    return staged.select("*", *[counts[k].alias(p + k) for k in ("total", "dev", "lat")]).withColumn(
+        p + "other", F.col(p + "total") - F.col(p + "dev") - F.col(p + "lat")).drop("__n")
+
+
 def script_counts(norm: Column) -> dict[str, Column]:
     """Token counts per script of a normalised string, by regex counting."""
     total = F.when(norm == "", 0).otherwise(F.regexp_count(norm, F.lit(" ")) + 1)
@@ -157,38 +166,47 @@ def romanize(norm: Column) -> Column:
     return F.translate(out, "".join(kept) + "".join(gone), "".join(kept.values()))
 
 
-def skeleton_words(norm: Column, transliterate: bool = True) -> Column:
-    """One skeleton per word of a normalised string, in order, blanks kept.
+def _letters(norm: Column, transliterate: bool) -> Column:
+    return F.regexp_replace(romanize(norm) if transliterate else norm, "[^a-z ]", "")
 
-    The rewrites run over the whole string (they never cross a space), then the
-    two word lists are zipped so a word that vanishes falls back to its first
-    letter. With ``transliterate=False`` Devanagari words stay as they are.
-    """
-    latin = romanize(norm) if transliterate else norm
-    letters = F.regexp_replace(latin, "[^a-z ]", "")
-    out = letters
+
+def _consonants(letters: Column) -> Column:
     for src, dst in DIGRAPHS:
-        out = F.replace(out, F.lit(src), F.lit(dst))
-    out = F.translate(out, SKELETON_FROM, SKELETON_TO)
-    out = F.regexp_replace(out, r"([a-z])\1+", "$1")
-    keyed = F.zip_with(
-        F.split(out, " "),
-        F.split(letters, " "),
-        lambda k, w: F.when(k == "", F.substring(w, 1, 1)).otherwise(k),
-    )
-    if transliterate:
+        letters = F.replace(letters, F.lit(src), F.lit(dst))
+    return F.regexp_replace(F.translate(letters, SKELETON_FROM, SKELETON_TO), r"([a-z])\1+", "$1")
+
+
+def _zip_keys(keys: Column, letters: Column, norm: Column | None) -> Column:
+    keyed = F.zip_with(F.split(keys, " "), F.split(letters, " "), lambda k, w: F.when(k == "", F.substring(w, 1, 1)).otherwise(k))
+    if norm is None:
         return keyed
     return F.zip_with(keyed, F.split(norm, " "), lambda k, w: F.when(w.rlike(DEVANAGARI), w).otherwise(k))
 
 
 def skeleton(word: Column, transliterate: bool = True) -> Column:
     """Cross-script consonant skeleton of one normalised word."""
-    return F.element_at(skeleton_words(word, transliterate), 1)
+    letters = _letters(word, transliterate)
+    key = _consonants(letters)
+    key = F.when(key == "", F.substring(letters, 1, 1)).otherwise(key)
+    return key if transliterate else F.when(word.rlike(DEVANAGARI), word).otherwise(key)
+
+
+def with_skeletons(df: DataFrame, norm: str, out: str, transliterate: bool = True) -> DataFrame:
+    """Skeletons of the words of a normalised column, empty ones dropped.
+
+    The rewrites run over the whole string (they never cross a space) in compiled
+    projections; only the last step walks the words, where a word that vanished
+    falls back to its first letter. Without ``transliterate`` Devanagari words
+    stay as they are.
+    """
+    staged = df.withColumn("__l", _letters(F.col(norm), transliterate)).withColumn("__k", _consonants(F.col("__l")))
+    keys = _zip_keys(F.col("__k"), F.col("__l"), None if transliterate else F.col(norm))
+    return staged.withColumn(out, F.filter(keys, lambda k: k != "")).drop("__l", "__k")
 
 
-def normalize_sa(norm: Column, transliterate: bool = True) -> Column:
-    """Script-agnostic form of a normalised string."""
-    return F.array_join(F.filter(skeleton_words(norm, transliterate), lambda k: k != ""), " ")
+def with_normalized_sa(df: DataFrame, norm: str, out: str, transliterate: bool = True) -> DataFrame:
+    """Script-agnostic form of a normalised column."""
+    return with_skeletons(df, norm, "__sk", transliterate).withColumn(out, F.array_join("__sk", " ")).drop("__sk")
 
 
 def keep_last_tokens(c: Column, n: int, split: Callable[[Column], Column] = tokens) -> Column:

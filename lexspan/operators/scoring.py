@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.align import (
-    alignment_ops, char_edit_distance, edit_distance, ops_errors, ops_insertions,
+    alignment_ops, char_edit_distance, ops_errors, ops_insertions, with_edit_distance,
 )
-from lexspan.functions.text import norm_words, normalize, normalize_sa, script_counts, script_of
+from lexspan.functions.text import norm_words, normalize, script_of, with_script_counts, with_skeletons
 
 GROUP = ["model", "cond", "split"]
 
@@ -24,10 +24,7 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def word_errors(pairs: DataFrame) -> DataFrame:
     """errors and ref_len of every pair (needs nref, nhyp)."""
-    ref, hyp = norm_words(F.col("nref")), norm_words(F.col("nhyp"))
-    errors = edit_distance(ref, hyp)
-    n = F.size(ref)
-    return pairs.withColumn("errors", errors).withColumn("ref_len", n)
+    return with_edit_distance(pairs, norm_words(F.col("nref")), norm_words(F.col("nhyp")))
 
 
 def per_utterance(pairs: DataFrame) -> DataFrame:
@@ -49,10 +46,15 @@ def corpus_cer(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def corpus_wer_sa(pairs: DataFrame, by: list[str], transliterate: bool = True) -> DataFrame:
     """Word error rate over script-agnostic text."""
-    sa = pairs.withColumn("nref", normalize_sa(F.col("nref"), transliterate)).withColumn(
-        "nhyp", normalize_sa(F.col("nhyp"), transliterate)
+    return script_agnostic_errors(pairs, transliterate).groupBy(*by).agg(
+        _ratio(F.sum("sa_errors"), F.sum("sa_len")).alias("wer_sa")
     )
-    return corpus_wer(sa, by).withColumnRenamed("wer", "wer_sa")
+
+
+def script_agnostic_errors(pairs: DataFrame, transliterate: bool = True) -> DataFrame:
+    """sa_errors and sa_len of every pair over consonant skeletons."""
+    sk = with_skeletons(with_skeletons(pairs, "nref", "sk_ref", transliterate), "nhyp", "sk_hyp", transliterate)
+    return with_edit_distance(sk, F.col("sk_ref"), F.col("sk_hyp"), "sa_errors", "sa_len").drop("sk_ref", "sk_hyp")
 
 
 def keyword_vocabulary(keywords: DataFrame, column: str = "keyword", compose: bool = True) -> DataFrame:
@@ -113,13 +115,11 @@ def score_table(pairs: DataFrame, vocabulary: DataFrame, by: list[str] = GROUP)
     computed in one projection and summed in one aggregation; only the
     vocabulary split is a second pass over the alignments."""
     n = with_alignment(with_normalized(pairs))
-    ref_sa = F.filter(F.split(normalize_sa(F.col("nref")), " "), lambda w: w != "")
-    hyp_sa = F.filter(F.split(normalize_sa(F.col("nhyp")), " "), lambda w: w != "")
-    n_words = F.size(norm_words(F.col("nref")))
-    main = n.groupBy(*by).agg(
+    n_words = F.length(F.translate("ops", "I", ""))  # one step per reference word
+    main = script_agnostic_errors(n).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         _ratio(F.sum(ops_errors(F.col("ops"))), F.sum(n_words)).alias("wer"),
-        _ratio(F.sum(edit_distance(ref_sa, hyp_sa)), F.sum(F.size(ref_sa))).alias("wer_sa"),
+        _ratio(F.sum("sa_errors"), F.sum("sa_len")).alias("wer_sa"),
         _ratio(F.sum(char_edit_distance(F.col("nref"), F.col("nhyp"))), F.sum(F.length("nref"))).alias("cer"),
         F.avg(F.coalesce(F.col("prompt_tokens"), F.lit(0))).alias("mean_prompt_tokens"),
         F.avg(F.col("fallback").cast("int")).alias("fallback_rate"),
@@ -142,12 +142,11 @@ def segment_rollup(segments: Column) -> tuple[Column, Column]:
 def lecture_stats(spans: DataFrame, durations: DataFrame, compose: bool = True) -> DataFrame:
     """Per lecture: spans, mean span length, fallbacks, script mix of the whole
     text. Token counts add over spans, so no text is ever concatenated."""
-    s = script_counts(normalize(F.col("text"), compose))
-    sums = spans.groupBy("lecture_id").agg(
+    sums = with_script_counts(spans, F.col("text"), compose).groupBy("lecture_id").agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.bool_or(F.col("conditioned")).alias("conditioned"),
         F.sum(F.col("safeguard_fallback").cast("int")).alias("safeguard_fallbacks"),
-        *[F.sum(s[k]).alias(k) for k in ("dev", "lat", "other", "total")],
+        *[F.sum(k).alias(k) for k in ("dev", "lat", "other", "total")],
     )
     share = lambda k: F.bround(F.when(F.col("total") > 0, F.col(k) / F.col("total")).otherwise(0.0), 4)
     return sums.join(durations, "lecture_id").select(
@@ -169,9 +168,8 @@ def realtime(audio_s: Column, elapsed_s: Column) -> tuple[Column, Column, Column
 
 def text_profile(rows: DataFrame, column: str, compose: bool = True) -> DataFrame:
     """Mean script shares per row, and rows that contain a digit."""
-    s = script_counts(normalize(F.col(column), compose))
-    share = lambda k: F.avg(F.when(s["total"] > 0, s[k] / s["total"]).otherwise(0.0))
-    return rows.agg(
+    share = lambda k: F.avg(F.when(F.col("total") > 0, F.col(k) / F.col("total")).otherwise(0.0))
+    return with_script_counts(rows.select(column), F.col(column), compose).agg(
         F.count(F.lit(1)).alias("n"), *[share(k).alias(k) for k in ("dev", "lat", "other")],
         F.sum(F.col(column).rlike(r"\p{Nd}").cast("int")).alias("with_digits"),
     )

@@ -55,3 +55,9 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows over the cores if the source has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
