@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspan.functions.seeded import md5_mod, seeded_digest
 from lexspan.functions.text import word_count
 from lexspan.operators.ordered import first_n, ordered
+from lexspan.session import durable
 
 # fixed values
 SEED = 1337
@@ -89,7 +90,8 @@ def stratified_sample(rows: DataFrame, n: int, stratum: str = "lecture_id", id_c
     seeded order. Everything is ranked in blocks, so neither a huge stratum nor
     a huge number of strata meets in one task.
     """
-    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c"))
+    # the counts are read several times below: keep them, not the way to them
+    counts = durable(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c")))
     total = counts.agg(F.sum("c").alias("total"))
     exact = F.lit(n) * F.col("c") / F.col("total")
     quota = (
@@ -120,6 +122,19 @@ def mark_in_eval(rows: DataFrame, samples: list[DataFrame], id_col: str = "utt_i
     return rows.join(ids, id_col, "left").select(*rows.columns, F.coalesce("__hit", F.lit(False)).alias("in_eval"))
 
 
+def build_manifest(text: DataFrame, segments: DataFrame, recordings: DataFrame, n_dev: int = 60, n_test: int = 150,
+                   seed: int = SEED) -> DataFrame:
+    """The whole manifest: reject, split by lecture, mark openers, sample.
+
+    The split and marked rows are stored once; both samples and the final flag
+    read them from there."""
+    rows = survivors(with_reject_reason(join_corpus(text, segments, recordings)))
+    rows = durable(mark_title_source(lecture_split(rows, seed)))
+    pool = rows.filter(~F.col("title_source"))
+    samples = [stratified_sample(pool.filter(F.col("split") == s), n, seed=seed) for s, n in (("dev", n_dev), ("test", n_test))]
+    return mark_in_eval(rows, samples)
+
+
 def manifest_summary(manifest: DataFrame) -> DataFrame:
     """Counts, hours and durations per (split, in_eval) with subtotals and total."""
     return manifest.groupingSets(

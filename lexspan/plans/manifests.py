@@ -10,6 +10,7 @@ from lexspan.operators import spans as P
 from lexspan.plans.base import (
     CORPUS, UTTS, corpus, hash_sql, hypotheses, query, table, tokens_sql, utt_block, utterances, with_,
 )
+from lexspan.session import durable
 from lexspan.sources import kaldi as K
 from lexspan.sources import tables as T
 
@@ -213,7 +214,7 @@ def sample_ctes(split: str, n: int, name: str, source: str = "titled", where: st
 @query("win7_stratified_sample", with_(SPLIT, sample_ctes("dev", 60, "dev"), sample_ctes("test", 150, "tst"),
                                        body="SELECT utt_id FROM dev UNION ALL SELECT utt_id FROM tst"))
 def win7(spark, sf):
-    rows = titled_rows(spark, sf).filter("NOT title_source")
+    rows = durable(titled_rows(spark, sf).filter("NOT title_source").select("utt_id", "lecture_id", "split"))
     return M.stratified_sample(rows.filter("split = 'dev'"), 60).select("utt_id").union(
         M.stratified_sample(rows.filter("split = 'test'"), 150).select("utt_id"))
 
@@ -233,9 +234,7 @@ MANIFEST = with_(SPLIT, sample_ctes("dev", 60, "dev"), sample_ctes("test", 150,
 
 
 def manifest(spark, sf):
-    rows = titled_rows(spark, sf)
-    pool = rows.filter("NOT title_source")
-    return M.mark_in_eval(rows, [M.stratified_sample(pool.filter("split = 'dev'"), 60), M.stratified_sample(pool.filter("split = 'test'"), 150)])
+    return M.build_manifest(*corpus(spark, sf))
 
 
 @query("set3_in_eval_flag", MANIFEST + "SELECT utt_id, split, in_eval FROM manifest_")
