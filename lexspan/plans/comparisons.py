@@ -270,8 +270,8 @@ def dq4(spark, sf):
 
 
 @query("prj3_relative_change", """WITH a AS (SELECT o_custkey, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS new_, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS old_ FROM orders GROUP BY o_custkey)
-SELECT o_custkey, round_even(new_ / 1e7 * 100, 6) AS new_pct, CASE WHEN coalesce(old_, 0) <> 0 THEN round_even((new_ - old_) / old_ * 100, 6) ELSE 0 END AS change FROM a""")
+SELECT o_custkey, round_even(new_ / 3e7 * 100, 6) AS new_pct, CASE WHEN coalesce(old_, 0) <> 0 THEN round_even((new_ - old_) / old_ * 100, 6) ELSE 0 END AS change FROM a""")
 def prj3(spark, sf):
     s = lambda v: F.sum(F.when(F.col("o_orderstatus") == v, F.col("o_totalprice")))
     a = table(spark, sf, "orders").groupBy("o_custkey").agg(s("F").alias("new"), s("O").alias("old"))
-    return a.select("o_custkey", F.bround(Q.percent(F.col("new") / 1e7), 6).alias("new_pct"), F.bround(Q.relative_change(F.col("new"), F.col("old")), 6).alias("change"))
+    return a.select("o_custkey", F.bround(Q.percent(F.col("new") / 3e7), 6).alias("new_pct"), F.bround(Q.relative_change(F.col("new"), F.col("old")), 6).alias("change"))
