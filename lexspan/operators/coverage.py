@@ -78,11 +78,17 @@ def note_times(notes: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def unit_links(units: DataFrame, lectures: DataFrame, notes: DataFrame) -> DataFrame:
-    """Units LEFT JOIN the subject's notes: one row per unit and note."""
+    """Units LEFT JOIN the subject's notes: one row per unit and note.
+
+    Written as notes ⋈ units plus the units without notes: an inner join can
+    split the notes of a unit that holds most of them, an outer one could not.
+    """
     n = notes.select("note_id", "lecture_id", "topic", "start_s", "unit_id").join(
         lectures.select("lecture_id", "lecture_title", "subject_id"), "lecture_id"
     )
-    return units.select("subject_id", "unit_id", "unit_key", "title").join(n, ["subject_id", "unit_id"], "left")
+    u = units.select("subject_id", "unit_id", "unit_key", "title")
+    bare = u.join(n.select("subject_id", "unit_id").distinct(), ["subject_id", "unit_id"], "left_anti")
+    return n.join(u, ["subject_id", "unit_id"]).unionByName(bare, allowMissingColumns=True)
 
 
 def unit_coverage(units: DataFrame, lectures: DataFrame, notes: DataFrame) -> DataFrame:

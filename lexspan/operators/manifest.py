@@ -16,6 +16,8 @@ MIN_DUR, MAX_DUR, MIN_WORDS = 2.0, 28.0, 4
 DEV_FRACTION = 0.30
 N_TITLE_UTTS = 2
 
+GROUP_LIMIT = 1000  # Spark limits groups before the shuffle up to this rank
+
 
 def join_corpus(text: DataFrame, segments: DataFrame, recordings: DataFrame) -> DataFrame:
     """Transcript ⋈ segment ⋈ recording; misses stay as rows with NULLs."""
@@ -52,11 +54,6 @@ def skip_report(flagged: DataFrame) -> DataFrame:
     return flagged.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _digest_rank(df: DataFrame, keys: list[str], digest: str, out: str) -> DataFrame:
-    """Position by a uniform digest; its leading digits are ready-made blocks."""
-    return ordered(df, keys, [digest], F.substring(digest, 1, 4), position=out)
-
-
 def lecture_split(rows: DataFrame, seed: int = SEED, fraction: float = DEV_FRACTION) -> DataFrame:
     """Lecture-disjoint dev/test: the first ``max(1, int(fraction * n))`` lectures
     of a seeded order are dev."""
@@ -87,8 +84,9 @@ def stratified_sample(rows: DataFrame, n: int, stratum: str = "lecture_id", id_c
 
     Each stratum gets the floor of its exact share, and the strata with the
     largest remainders (ties by name) one more. Inside a stratum rows follow a
-    seeded order. Everything is ranked in blocks, so neither a huge stratum nor
-    a huge number of strata meets in one task.
+    seeded order. No quota exceeds ``n``, so for the usual small sample every
+    task keeps at most ``n`` rows of a stratum before the shuffle; a large sample
+    is ranked in blocks. Strata are ranked in blocks too.
     """
     # the counts are read several times below: keep them, not the way to them
     counts = durable(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c")))
@@ -109,8 +107,14 @@ def stratified_sample(rows: DataFrame, n: int, stratum: str = "lecture_id", id_c
                 .otherwise(F.col("floor") + (F.col("place") < missing).cast("int")).alias("quota"))
     )
     keyed = rows.withColumn("__digest", F.concat(seeded_digest(seed, F.col(id_col)), F.lit("-"), F.col(id_col)))
-    ranked = _digest_rank(keyed, [stratum], "__digest", "__place")
-    return ranked.join(quota, stratum).filter(F.col("__place") < F.col("quota")).select(*rows.columns)
+    if n <= GROUP_LIMIT:
+        ranked = first_n(keyed, [stratum], [F.col("__digest")], n, "__rank").join(quota, stratum)
+        return ranked.filter(F.col("__rank") <= F.col("quota")).select(*rows.columns)
+    # as many leading digits as leave about 65 536 rows per block
+    keyed = keyed.join(quota.join(counts, stratum), stratum)
+    digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("c") / 65_536) / 4)).cast("int")
+    ranked = ordered(keyed, [stratum], ["__digest"], F.substring("__digest", F.lit(1), digits), position="__place")
+    return ranked.filter(F.col("__place") < F.col("quota")).select(*rows.columns)
 
 
 def mark_in_eval(rows: DataFrame, samples: list[DataFrame], id_col: str = "utt_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import is_blank, tokens
+from lexspan.functions.text import WHITESPACE, is_blank
 from lexspan.operators.ordered import first_n
 
 # fixed values
@@ -13,50 +13,50 @@ NGRAM_MIN, NGRAM_MAX = 3, 5
 SCORE_DIGITS = 9
 
 
-def word_grams(padded: Column) -> Column:
-    """3- to 5-character substrings of one space-padded word."""
+def char_grams(text: Column) -> Column:
+    """All grams of a text: lower-cased, each word padded with one space, 3 to 5
+    characters, never reaching past the padding.
 
-    def of_size(n: int) -> Column:
-        return F.when(
-            F.length(padded) >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))),
-                        lambda i: F.substring(padded, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
+    In the single-spaced text a gram is any run whose inside holds no space, so a
+    look-ahead per size lists them all without a step per word.
+    """
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), WHITESPACE + "+", " ")), F.lit(" "))
+    return F.concat(*[
+        F.regexp_extract_all(padded, F.lit(f"(?=(.[^ ]{{{n - 2}}}.))"), 1) for n in range(NGRAM_MIN, NGRAM_MAX + 1)
+    ])
 
-    return F.concat(*[of_size(n) for n in range(NGRAM_MIN, NGRAM_MAX + 1)])
 
+def unit_document(title: Column, prose: Column, keywords: Column) -> Column:
+    return F.concat_ws(" ", title, prose, F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))
 
-def char_grams(text: Column) -> Column:
-    """All grams of a text: lower-cased, each word padded with one space."""
-    return F.flatten(F.transform(tokens(F.lower(text)), lambda w: word_grams(F.concat(F.lit(" "), w, F.lit(" ")))))
 
+# A course with many queries or units is cut into cells of this many of each, so
+# that no gram of it is joined in one task.
+CELL_QUERIES, CELL_UNITS = 10_000, 1_000
 
-def unit_document(title: Column, prose: Column, keywords: Column) -> Column:
-    return F.concat_ws(" ", title, prose, F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))
 
+def _gram_counts(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """Grams of each text with their counts.
 
-def _gram_rows(df: DataFrame, ids: list[str], text: str) -> DataFrame:
-    """One row per gram, placed by (course, gram): every later step — counting,
-    document frequency, scoring — finds its rows there without another shuffle,
-    and a huge course is spread over its grams."""
-    words = df.select(*ids, F.explode(tokens(F.lower(F.col(text)))).alias("__w"))
-    grams = words.select(*ids, F.explode(word_grams(F.concat(F.lit(" "), "__w", F.lit(" ")))).alias("gram"))
-    return grams.repartition("course_id", "gram")
+    Texts are shuffled by id before they are exploded, a fraction of the size of
+    their grams; the counting then stays where the text is.
+    """
+    rows = df.repartition("course_id", ids[1])
+    grams = rows.select(*ids, F.explode(char_grams(F.col(text))).alias("gram"))
+    return grams.groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_weights(units: DataFrame) -> DataFrame:
     """Raw TF-IDF weight of each gram of each unit, with idf and df.
 
-    ``units``: course_id, unit_id, document. N and df are per course.
+    ``units``: course_id, unit_id, document. N and df are per course; df is
+    summed map-side before it is joined back.
     """
     n = units.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_units"))
-    tf = (
-        _gram_rows(units.join(n, "course_id"), ["course_id", "unit_id", "n_units"], "document")
-        .groupBy("course_id", "gram", "unit_id", "n_units").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = F.count(F.lit(1)).over(Window.partitionBy("course_id", "gram"))
+    tf = _gram_counts(units.join(n, "course_id"), ["course_id", "unit_id", "n_units"], "document")
+    df = tf.groupBy("course_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1
-    return tf.withColumn("df", df).withColumn("idf", idf).select(
+    return tf.join(df, ["course_id", "gram"]).withColumn("idf", idf).select(
         "course_id", "gram", "unit_id", "df", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("weight")
     )
 
@@ -74,9 +74,7 @@ def normalized_weights(weights: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """Gram counts of each query: course_id, query_id, gram, tf."""
-    return _gram_rows(queries, ["course_id", "query_id"], "text").groupBy("course_id", "gram", "query_id").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    return _gram_counts(queries, ["course_id", "query_id"], "text")
 
 
 def query_vectors(queries: DataFrame, weights: DataFrame) -> DataFrame:
@@ -93,20 +91,36 @@ def query_vectors(queries: DataFrame, weights: DataFrame) -> DataFrame:
 def scores(queries: DataFrame, units: DataFrame) -> DataFrame:
     """Cosine of every query with the units of its own course that share a gram.
 
-    The query norm is gathered in the same pass: a gram found in ``df`` units
-    meets the query ``df`` times, so each meeting carries w²/df.
+    Query grams meet unit grams on (course, cell, gram). A usual course is one
+    cell; a huge one is cut both ways, its query blocks each meeting all its unit
+    blocks, so every task sees a bounded part of a frequent gram. The query norm
+    is gathered in the same pass: a gram found in ``df`` units meets the query
+    ``df`` times, so each meeting carries w²/df.
     """
-    weights = tfidf_weights(units)
-    hits = query_terms(queries).alias("q").join(weights.alias("u"), ["course_id", "gram"])
+    cells = (
+        units.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / CELL_UNITS).alias("u_cells"))
+        .join(queries.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("q_cells")), "course_id")
+    )
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # the cell travels inside the id, so the long gram tables need no further join
+    placed_units = units.join(cells, "course_id").select(
+        "course_id", F.struct("unit_id", block("unit_id", "u_cells").alias("ub"), "q_cells").alias("unit_id"), "document")
+    placed_queries = queries.join(cells, "course_id").select(
+        "course_id", F.struct("query_id", block("query_id", "q_cells").alias("qb"), "u_cells").alias("query_id"), "text")
+    weights = tfidf_weights(placed_units)
+    w = weights.select("course_id", "gram", "unit_id", "df", "idf", "weight", F.col("unit_id.ub").alias("ub"), copies("unit_id.q_cells").alias("qb"))
+    q = query_terms(placed_queries).select(
+        "course_id", "gram", "tf", "query_id", F.col("query_id.qb").alias("qb"), copies("query_id.u_cells").alias("ub"))
     wq = (1 + F.log("tf")) * F.col("idf")
-    pairs = hits.groupBy("course_id", "query_id", "unit_id").agg(
+    pairs = q.join(w, ["course_id", "qb", "ub", "gram"]).groupBy("course_id", "query_id", "unit_id").agg(
         F.sum(wq * F.col("weight")).alias("dot"), F.sum(wq * wq / F.col("df")).alias("sq")
     )
     norm_q = F.sqrt(F.sum("sq").over(Window.partitionBy("course_id", "query_id")))
     return (
         pairs.withColumn("norm_q", norm_q)
         .join(unit_norms(weights), ["course_id", "unit_id"])
-        .select("course_id", "query_id", "unit_id",
+        .select("course_id", "query_id.query_id", "unit_id.unit_id",
                 F.bround(F.col("dot") / (F.col("norm_q") * F.col("norm")), SCORE_DIGITS).alias("score"))
     )
 

@@ -230,9 +230,9 @@ def txt20(spark, sf):
 
 @query("txt21_used_citations", with_(MERGED, f"""an_ AS (SELECT question_id, string_agg(CASE WHEN id % 4 = 0 AND question_id % 3 <> 0 THEN 'so [' || rank || '].' ELSE '' END, ' ') AS answer FROM kept_ GROUP BY question_id),
 u_ AS (SELECT k.*, contains(answer, '[' || rank || ']') AS used FROM kept_ k JOIN an_ USING (question_id)),
-f_ AS (SELECT *, bool_or(used) OVER (PARTITION BY question_id) AS some FROM u_)""",
+f_ AS (SELECT *, bool_or(used) OVER (PARTITION BY question_id) AS any_used FROM u_)""",
     body=f"""SELECT question_id, string_agg(concat_ws('|', rank, kind, lecture_id, coalesce(lecture_title, ''), {STAMP}, coalesce(note_id::VARCHAR, '')), ';' ORDER BY rank) AS citations
-      FROM f_ WHERE CASE WHEN some THEN used ELSE rank <= 3 END GROUP BY question_id"""))
+      FROM f_ WHERE CASE WHEN any_used THEN used ELSE rank <= 3 END GROUP BY question_id"""))
 def txt21(spark, sf):
     hits = R.gather(questions(spark, sf), items(spark, sf))
     answers = hits.groupBy("question_id").agg(F.array_join(F.collect_list(F.when(
