@@ -1,18 +1,15 @@
 """Text expressions: normalisation, scripts, consonant skeletons, prompts, slugs.
 
-Every function takes and returns Columns. All but Unicode composition are
-JVM-side built-ins, so they stay in the projection that reads the scan.
+Functions take and return Columns, or add columns to a DataFrame where a step
+should be computed once per row. All run inside the JVM.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
 # Whitespace as Python's str.split sees it, written out so that the Java and
@@ -69,15 +66,11 @@ _NFC_SUSPECT = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
-
-
 def nfc(c: Column) -> Column:
-    """Unicode composition. Spark has no built-in, so only the rare strings that
-    could change are handed to the Arrow UDF; all others cross as NULL."""
-    return F.coalesce(_compose(F.when(c.rlike(_NFC_SUSPECT), c)), c)
+    """Unicode composition. Spark has no function for it, but ships ICU, so the
+    rare strings that could change are composed there, inside the JVM."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(_NFC_SUSPECT), composed).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -101,8 +94,8 @@ def word_count(c: Column) -> Column:
 def normalize(c: Column, compose: bool = True) -> Column:
     """Compose, ASCII digits, lower case, punctuation to space, single spaces.
 
-    ``compose=False`` is for text known to be composed (for instance normalised
-    once when ingested); the whole expression is then free of Python.
+    ``compose=False`` is for text known to be composed, for instance when it was
+    normalised on ingestion.
     """
     base = F.coalesce(c, F.lit(""))
     if compose:

@@ -13,17 +13,17 @@ NGRAM_MIN, NGRAM_MAX = 3, 5
 SCORE_DIGITS = 9
 
 
-def char_grams(text: Column) -> Column:
-    """All grams of a text: lower-cased, each word padded with one space, 3 to 5
-    characters, never reaching past the padding.
-
-    In the single-spaced text a gram is any run whose inside holds no space, so a
-    look-ahead per size lists them all without a step per word.
-    """
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), WHITESPACE + "+", " ")), F.lit(" "))
-    return F.concat(*[
-        F.regexp_extract_all(padded, F.lit(f"(?=(.[^ ]{{{n - 2}}}.))"), 1) for n in range(NGRAM_MIN, NGRAM_MAX + 1)
-    ])
+def explode_grams(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """One row per gram of a text: lower-cased, each word padded with one space,
+    3 to 5 characters, never reaching past the padding."""
+    spaced = F.trim(F.regexp_replace(F.lower(F.col(text)), WHITESPACE + "+", " "))
+    words = df.select(*ids, F.explode(F.split(spaced, " ")).alias("__w")).filter("__w <> ''")
+    padded = words.withColumn("__w", F.concat(F.lit(" "), "__w", F.lit(" ")))
+    at = padded.select(*ids, "__w", F.explode(F.sequence(F.lit(1), F.length("__w") - NGRAM_MIN + 1)).alias("__p"))
+    of_size = lambda n: F.when(
+        F.col("__p") + n - 1 <= F.length("__w"), F.substring(F.col("__w"), F.col("__p"), F.lit(n)))
+    grams = F.array(*[of_size(n) for n in range(NGRAM_MIN, NGRAM_MAX + 1)])
+    return at.select(*ids, F.explode(grams).alias("gram")).filter("gram IS NOT NULL")
 
 
 def unit_document(title: Column, prose: Column, keywords: Column) -> Column:
@@ -42,8 +42,7 @@ def _gram_counts(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     their grams; the counting then stays where the text is.
     """
     rows = df.repartition("course_id", ids[1])
-    grams = rows.select(*ids, F.explode(char_grams(F.col(text))).alias("gram"))
-    return grams.groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return explode_grams(rows, ids, text).groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_weights(units: DataFrame) -> DataFrame:

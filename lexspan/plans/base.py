@@ -155,15 +155,14 @@ def hypotheses(spark: SparkSession, sf: str, conds: tuple[str, ...] = tuple(NOIS
         "utt_id", "lecture_id", "role", "ref", "g.cond", "g.noise"
     ).withColumn("hs", seeded_hash(F.col("utt_id"), F.col("cond")))
     none = F.array().cast("array<string>")
-
-    def step(w: Column, i: Column) -> Column:
-        h = F.conv(F.substring(F.md5(F.concat_ws("-", "utt_id", "cond", (i + 1).cast("string"))), 1, 4), 16, 10).cast("int")
-        return (
-            F.when(h * 3 < F.col("noise"), none).when(h * 3 < F.col("noise") * 2, F.array(F.reverse(w)))
-            .when(h < F.col("noise"), F.array(w, w)).otherwise(F.array(w))
-        )
-
-    out = F.flatten(F.transform(F.split("ref", " +"), step))
+    # four hex digits compare as text, so the digest needs no conversion
+    below = lambda n: F.lower(F.lpad(F.hex(F.ceil(n)), 4, "0"))
+    u = u.select("*", below(F.col("noise") / 3).alias("drop"), below(F.col("noise") * 2 / 3).alias("swap"), below(F.col("noise")).alias("twice"))
+    coded = F.transform(F.split("ref", " +"), lambda w, i: F.struct(
+        w.alias("w"), F.substring(F.md5(F.concat_ws("-", "utt_id", "cond", (i + 1).cast("string"))), 1, 4).alias("h")))
+    out = F.flatten(F.transform(coded, lambda x: (
+        F.when(x["h"] < F.col("drop"), none).when(x["h"] < F.col("swap"), F.array(F.reverse(x["w"])))
+        .when(x["h"] < F.col("twice"), F.array(x["w"], x["w"])).otherwise(F.array(x["w"])))))
     hs = F.col("hs")
     return u.withColumn("out", out).select(
         F.lit("m1").alias("model"), "cond", F.when(F.col("role") == "user", "dev").otherwise("test").alias("split"),

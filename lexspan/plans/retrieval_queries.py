@@ -52,7 +52,7 @@ def sentence_queries(spark, sf):
 @query("txt8_char_grams", with_(
     grams_sql("documents", "doc_id", "text", "dg"), body="SELECT gram, sum(tf)::BIGINT AS n, count(*) AS n_docs FROM dg GROUP BY gram"))
 def txt8(spark, sf):
-    g = table(spark, sf, "documents").select("doc_id", F.explode(R.char_grams(F.col("text"))).alias("gram"))
+    g = R.explode_grams(table(spark, sf, "documents"), ["doc_id"], "text")
     return g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf")).groupBy("gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
