@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # Whitespace as Python's str.split sees it, written out so that the Java and
 # RE2 regex engines agree with it.
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITESPACE_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~।॥“”‘’—–…"
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 ASCII_DIGITS = "0123456789"
@@ -70,7 +72,8 @@ def nfc(c: Column) -> Column:
     """Unicode composition. Spark has no function for it, but ships ICU, so the
     rare strings that could change are composed there, inside the JVM."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
-    return F.when(c.rlike(_NFC_SUSPECT), composed).otherwise(c)
+    # nothing below U+0300 changes: that quick test settles most strings
+    return F.when(c.rlike(r"[^\x{0}-\x{2ff}]") & c.rlike(_NFC_SUSPECT), composed).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -100,10 +103,9 @@ def normalize(c: Column, compose: bool = True) -> Column:
     base = F.coalesce(c, F.lit(""))
     if compose:
         base = nfc(base)
-    mapped = F.translate(
-        F.lower(base), DEVANAGARI_DIGITS + PUNCTUATION, ASCII_DIGITS + " " * len(PUNCTUATION)
-    )
-    return F.trim(F.regexp_replace(mapped, WHITESPACE + "+", " "))
+    blank = PUNCTUATION + WHITESPACE_CHARS
+    mapped = F.translate(F.lower(base), DEVANAGARI_DIGITS + blank, ASCII_DIGITS + " " * len(blank))
+    return F.trim(F.regexp_replace(mapped, "  +", " "))
 
 
 def norm_words(norm: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.text import WHITESPACE, is_blank
 from lexspan.operators.ordered import first_n
+from lexspan.session import fan_out
 
 # fixed values
 NGRAM_MIN, NGRAM_MAX = 3, 5
@@ -41,7 +42,7 @@ def _gram_counts(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     Texts are shuffled by id before they are exploded, a fraction of the size of
     their grams; the counting then stays where the text is.
     """
-    rows = df.repartition("course_id", ids[1])
+    rows = fan_out(df, "course_id", ids[1])
     return explode_grams(rows, ids, text).groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -49,26 +50,28 @@ def tfidf_weights(units: DataFrame) -> DataFrame:
     """Raw TF-IDF weight of each gram of each unit, with idf and df.
 
     ``units``: course_id, unit_id, document. N and df are per course; df is
-    summed map-side before it is joined back.
+    summed map-side before it is joined back; its keys are unique, so each
+    partition of it is hashed instead of sorting all grams.
     """
     n = units.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_units"))
     tf = _gram_counts(units.join(n, "course_id"), ["course_id", "unit_id", "n_units"], "document")
     df = tf.groupBy("course_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1
-    return tf.join(df, ["course_id", "gram"]).withColumn("idf", idf).select(
+    return tf.join(df.hint("shuffle_hash"), ["course_id", "gram"]).withColumn("idf", idf).select(
         "course_id", "gram", "unit_id", "df", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("weight")
     )
 
 
-def unit_norms(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("course_id", "unit_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def _unit_length(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Scale each vector to length one. A key holds the grams of one text, so the
+    window never gathers more than that."""
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
+    return vectors.withColumn("weight", F.col("weight") / norm)
 
 
 def normalized_weights(weights: DataFrame) -> DataFrame:
     """Unit vectors of length one."""
-    return weights.join(unit_norms(weights), ["course_id", "unit_id"]).select(
-        "course_id", "unit_id", "gram", (F.col("weight") / F.col("norm")).alias("weight")
-    )
+    return _unit_length(weights, ["course_id", "unit_id"])
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -80,11 +83,9 @@ def query_vectors(queries: DataFrame, weights: DataFrame) -> DataFrame:
     """Unit-length query vectors over the course vocabulary; unknown grams are
     dropped before the norm is taken."""
     vocab = weights.groupBy("course_id", "gram").agg(F.first("idf").alias("idf"))
-    raw = query_terms(queries).join(vocab, ["course_id", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy("course_id", "query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, ["course_id", "query_id"]).select(
-        "course_id", "query_id", "gram", (F.col("w") / F.col("norm")).alias("weight")
-    )
+    raw = query_terms(queries).join(vocab.hint("shuffle_hash"), ["course_id", "gram"]).select(
+        "course_id", "query_id", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))
+    return _unit_length(raw, ["course_id", "query_id"])
 
 
 def scores(queries: DataFrame, units: DataFrame) -> DataFrame:
@@ -107,21 +108,16 @@ def scores(queries: DataFrame, units: DataFrame) -> DataFrame:
         "course_id", F.struct("unit_id", block("unit_id", "u_cells").alias("ub"), "q_cells").alias("unit_id"), "document")
     placed_queries = queries.join(cells, "course_id").select(
         "course_id", F.struct("query_id", block("query_id", "q_cells").alias("qb"), "u_cells").alias("query_id"), "text")
-    weights = tfidf_weights(placed_units)
+    weights = normalized_weights(tfidf_weights(placed_units))
     w = weights.select("course_id", "gram", "unit_id", "df", "idf", "weight", F.col("unit_id.ub").alias("ub"), copies("unit_id.q_cells").alias("qb"))
     q = query_terms(placed_queries).select(
         "course_id", "gram", "tf", "query_id", F.col("query_id.qb").alias("qb"), copies("query_id.u_cells").alias("ub"))
     wq = (1 + F.log("tf")) * F.col("idf")
-    pairs = q.join(w, ["course_id", "qb", "ub", "gram"]).groupBy("course_id", "query_id", "unit_id").agg(
+    pairs = q.join(w.hint("shuffle_hash"), ["course_id", "qb", "ub", "gram"]).groupBy("course_id", "query_id", "unit_id").agg(
         F.sum(wq * F.col("weight")).alias("dot"), F.sum(wq * wq / F.col("df")).alias("sq")
     )
     norm_q = F.sqrt(F.sum("sq").over(Window.partitionBy("course_id", "query_id")))
-    return (
-        pairs.withColumn("norm_q", norm_q)
-        .join(unit_norms(weights), ["course_id", "unit_id"])
-        .select("course_id", "query_id.query_id", "unit_id.unit_id",
-                F.bround(F.col("dot") / (F.col("norm_q") * F.col("norm")), SCORE_DIGITS).alias("score"))
-    )
+    return pairs.select("course_id", "query_id.query_id", "unit_id.unit_id", F.bround(F.col("dot") / norm_q, SCORE_DIGITS).alias("score"))
 
 
 def top_units(queries: DataFrame, units: DataFrame, k: int = 3, blank_reversed: bool = True) -> DataFrame:

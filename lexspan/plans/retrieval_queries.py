@@ -58,7 +58,8 @@ def txt8(spark, sf):
 
 @query("txt11_tfidf_weights", with_(WEIGHTS, body="SELECT course_id, unit_id, gram, round_even(weight / norm, 9) AS weight FROM w_ JOIN norm_ USING (course_id, unit_id)"))
 def txt11(spark, sf):
-    return R.normalized_weights(R.tfidf_weights(course_units(spark, sf))).withColumn("weight", F.bround("weight", 9))
+    w = R.normalized_weights(R.tfidf_weights(course_units(spark, sf)))
+    return w.select("course_id", "unit_id", "gram", F.bround("weight", 9).alias("weight"))
 
 
 @query("txt12_query_vectors", with_(QUERY_VEC, body="SELECT course_id, query_id, gram, round_even(weight / norm, 9) AS weight FROM qw_ JOIN qn_ USING (course_id, query_id)"))

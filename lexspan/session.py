@@ -17,6 +17,8 @@ def local_session(cores: int = 8, partitions: int | None = None, app: str = "lex
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # join by hash instead of sorting wherever every partition is measured to fit
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+        # partitions of a megabyte keep eight cores busy only on larger tables
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
@@ -63,3 +65,13 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash rows over the cores if the source has fewer splits than cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by keys into the full number of partitions.
+
+    For steps whose work per byte is high: a partition count given explicitly is
+    kept, where adaptive execution would merge partitions by their small size."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
