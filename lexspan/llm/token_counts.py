@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.common import id_and_text, slices
-from lexspan.llm.units import PLAIN, PLAIN_PIECES, Memory, units
+from lexspan.llm.units import PLAIN, PLAIN_PIECES, Memory, led, units
 
 LIMIT = 512
 
@@ -42,11 +42,12 @@ def _counter(vocabulary: str) -> Callable[[str], int]:
     piece = Memory(lambda x: len(model.tokenize(x.encode().decode("latin-1").translate(letters))))
 
     def spaced(word: str) -> int:
-        """Of a space and a word. Pieces of a plain word go to the library's model one by one, other words whole."""
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            first, *rest = PLAIN_PIECES.findall(word)
-            return piece[" " + first] + sum(map(piece.__getitem__, rest))
-        return len(whole.encode(" " + word, add_special_tokens=False))
+        """Of a word and what leads it. Pieces of a plain word go to the library's model one by one, other words whole."""
+        lead, body = led(word)
+        if PLAIN.fullmatch(body) and "<|" not in body:
+            first, *rest = PLAIN_PIECES.findall(body)
+            return (piece["\n"] + piece[first] if lead == "\n" else piece[" " + first]) + sum(map(piece.__getitem__, rest))
+        return len(whole.encode(lead + body, add_special_tokens=False))
 
     as_it_is = Memory(lambda x: len(whole.encode(x, add_special_tokens=False)), 50_000)
     after_space = Memory(spaced, 500_000)

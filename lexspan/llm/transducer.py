@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.llm.common import id_and_text, slices
-from lexspan.llm.units import PLAIN, PLAIN_PIECES, Memory, units
+from lexspan.llm.units import PLAIN, PLAIN_PIECES, Memory, led, units
 
 #: The split before the merges: a published constant of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -130,11 +130,12 @@ class Transducer:
         return out
 
     def encode_spaced(self, word: str) -> list[int]:
-        """Of a space and a word; where the pieces are plain to see, the slower pattern isn't needed."""
-        if not PLAIN.fullmatch(word) or "<|" in word:
-            return self.encode(" " + word)
-        first, *rest = PLAIN_PIECES.findall(word)
-        out = list(self.pieces[" " + first])
+        """Of a word and what leads it; where the pieces are plain to see, the slower pattern isn't needed."""
+        lead, body = led(word)
+        if not PLAIN.fullmatch(body) or "<|" in body:
+            return self.encode(lead + body)
+        first, *rest = PLAIN_PIECES.findall(body)
+        out = [*self.pieces["\n"], *self.pieces[first]] if lead == "\n" else list(self.pieces[" " + first])
         for x in rest:
             out += self.pieces[x]
         return out
