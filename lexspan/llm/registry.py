@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from lexspan.llm.token_files import op1_token_files
 from lexspan.llm.token_counts import op7_token_counts
 from lexspan.llm.transducer import op4_bpe_transducer
 
-QUERIES = {f.__name__: f for f in (op4_bpe_transducer, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_bpe_transducer, op7_token_counts)}
 ORACLES: dict[str, str] = {}
