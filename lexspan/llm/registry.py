@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from lexspan.llm.decontamination import op2_benchmark_containment
 from lexspan.llm.ordinal import op9_ordinal_quality
 from lexspan.llm.repetition import op3_repetition_coverage
 from lexspan.llm.token_counts import op7_token_counts
 from lexspan.llm.token_files import op1_token_files
 from lexspan.llm.transducer import op4_bpe_transducer
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_repetition_coverage, op4_bpe_transducer, op7_token_counts, op9_ordinal_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_benchmark_containment, op3_repetition_coverage, op4_bpe_transducer, op7_token_counts, op9_ordinal_quality)}
 ORACLES: dict[str, str] = {}
