@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from lexspan.llm.decontamination import op2_benchmark_containment
+from lexspan.llm.line_dedup import op8_line_dedup
 from lexspan.llm.lsh_forest import op10_lsh_forest
+from lexspan.llm.maxent import op6_maxent_lm
 from lexspan.llm.ordinal import op9_ordinal_quality
 from lexspan.llm.repetition import op3_repetition_coverage
 from lexspan.llm.token_counts import op7_token_counts
 from lexspan.llm.token_files import op1_token_files
 from lexspan.llm.transducer import op4_bpe_transducer
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_benchmark_containment, op3_repetition_coverage, op4_bpe_transducer, op7_token_counts, op9_ordinal_quality, op10_lsh_forest)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_benchmark_containment, op3_repetition_coverage, op4_bpe_transducer, op6_maxent_lm, op7_token_counts, op8_line_dedup, op9_ordinal_quality, op10_lsh_forest)}
 ORACLES: dict[str, str] = {}
