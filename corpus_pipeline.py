@@ -1,23 +1,61 @@
-"""Corpus preparation: each stage takes the documents that the one before kept."""
+"""Corpus preparation: each stage takes the documents that the one before kept.
+
+quality    documents that the ordinal classifier rejects go
+lines      lines that repeat an earlier line go, and documents of which nothing is left
+near       of each group of near-duplicates the document with the least id stays
+benchmark  documents that hold a benchmark item go
+bpe        ids of what is left, and the text decoded from them
+
+All stages but the last return the columns of documents; n_chars is the length of the text as
+it now is. Rows with a null text pass the filters as empty texts do; a null id is an id of
+its own that no benchmark item is found for.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspan.llm.common import settled
+from lexspan.llm.decontamination import contaminated
+from lexspan.llm.line_dedup import NO_ID, dedup_lines
+from lexspan.llm.lsh_forest import near_duplicates
+from lexspan.llm.ordinal import LEAST, graded, scored, train
 from lexspan.llm.transducer import encode_decode
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
+    judged = docs.withColumn("__quality", scored(model, F.col("text"), spark))
+    return judged.where(F.col("__quality.tail_probability") >= LEAST).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    kept = near_duplicates(docs).where("kept").select(key.alias("__key")).distinct()
+    # equal rows of one id are in one group: one of them stays
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("bpe", encoded)]
-#: BPE can't be expressed in SQL; the tests hold the result against brute force.
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("lines", lines), ("near", near), ("benchmark", benchmark), ("bpe", bpe)]
+#: The classifier and BPE can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -11,6 +11,7 @@ from lexspan.llm.repetition import op3_repetition_coverage
 from lexspan.llm.token_counts import op7_token_counts
 from lexspan.llm.token_files import op1_token_files
 from lexspan.llm.transducer import op4_bpe_transducer
+from lexspan.llm.url_templates import OP5_SQL, op5_url_templates
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_benchmark_containment, op3_repetition_coverage, op4_bpe_transducer, op6_maxent_lm, op7_token_counts, op8_line_dedup, op9_ordinal_quality, op10_lsh_forest)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_benchmark_containment, op3_repetition_coverage, op4_bpe_transducer, op5_url_templates, op6_maxent_lm, op7_token_counts, op8_line_dedup, op9_ordinal_quality, op10_lsh_forest)}
+ORACLES = {"op5_url_templates": OP5_SQL}
