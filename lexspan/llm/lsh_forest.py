@@ -10,8 +10,8 @@ which cuts a large region anywhere; rows at the cuts are compared in a second, s
 2. In every tree each node takes the first node after it, within WINDOW places and the same first minimum,
    that a one-bit sketch of all minima doesn't rule out. Pairs of some trees are verified on full
    sets and joined to components. That is at most one pair per node and tree.
-3. Nodes that met any other are sorted again, with their components. Now all pairs within WINDOW
-   places are taken that join different components, verified, and joined in turn.
+3. Nodes that met any other are sorted again, with their components and a longer sketch. Now all pairs
+   within WINDOW places are taken that join different components, verified, and joined in turn.
 
 So what is shuffled grows with the nodes, not with the squares of groups.
 """
@@ -36,9 +36,9 @@ LINK = 75
 TREES, DEPTH = 24, 8
 #: Trees whose pairs are verified in the first round, and places in an order that are looked at after each row.
 FIRST, WINDOW = 6, 32
-#: A pair is ruled out below this estimate; with 192 bits, that is five standard deviations under 0.75.
-LEAST_ESTIMATE = 0.5
-KEY, SKETCH = 4 * DEPTH, TREES * DEPTH // 8
+#: A pair is ruled out below these estimates, from a bit of each minimum and from a byte of each: five standard deviations under 0.75.
+LEAST_BY_BITS, LEAST_BY_BYTES = 0.5, 0.6
+KEY, BIT_SKETCH, BYTE_SKETCH = 4 * DEPTH, TREES * DEPTH // 8, TREES * DEPTH
 #: Bits of the map of documents whose sets are needed; 8 MiB, whatever their number.
 BITS = 1 << 26
 
@@ -61,22 +61,24 @@ def _sets_of(part: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray, byt
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """By document: doc_id, n_shingles, digest of its set (null if empty), keys (the minima, tree by tree), sketch (a bit of each)."""
+    """By document: doc_id, n_shingles, digest of its set (null if empty), keys (the minima, tree by tree), bits and bytes (sketches, one of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out: dict[str, list] = {"doc_id": [], "n_shingles": [], "digest": [], "keys": [], "sketch": []}
+            out: dict[str, list] = {"doc_id": [], "n_shingles": [], "digest": [], "keys": [], "bits": [], "bytes": []}
             for name, grams, digest in _sets_of(part):
                 low = minima(grams) if digest else None
                 out["doc_id"].append(name)
                 out["n_shingles"].append(len(grams))
                 out["digest"].append(digest)
                 out["keys"].append((low >> np.uint64(32)).astype(">u4").tobytes() if digest else None)
-                out["sketch"].append(np.packbits(scrambled(low) & np.uint64(1) == 1).tobytes() if digest else None)
+                mixed = scrambled(low) if digest else None
+                out["bits"].append(np.packbits(mixed & np.uint64(1) == 1).tobytes() if digest else None)
+                out["bytes"].append((mixed >> np.uint64(56)).astype(np.uint8).tobytes() if digest else None)
             types = {"doc_id": pa.int64(), "n_shingles": pa.int64()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys binary, sketch binary")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys binary, bits binary, bytes binary")
 
 
 _ROW = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("digest", pa.binary()), ("sketch", pa.binary()), ("label", pa.binary())])
@@ -98,8 +100,14 @@ def pairs_within(rows: pa.Table, new_from: int, every: bool) -> tuple[np.ndarray
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     tree, first = rows["tree"].to_numpy(), _matrix(rows["key"], KEY, ">u4")[:, 0]
-    sketch, label = _matrix(rows["sketch"], SKETCH, "<u8"), _matrix(rows["label"], 16, "<u8")
-    most = int((1 - LEAST_ESTIMATE) / 2 * 8 * SKETCH)
+    label = _matrix(rows["label"], 16, "<u8")
+    sketch = _matrix(rows["sketch"], BYTE_SKETCH, "u1") if every else _matrix(rows["sketch"], BIT_SKETCH, "<u8")
+
+    def may_be(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if every:
+            return (sketch[i] == sketch[j]).sum(axis=1) >= LEAST_BY_BYTES * BYTE_SKETCH
+        return np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= (1 - LEAST_BY_BITS) / 2 * 8 * BIT_SKETCH
+
     taken, out_i, out_j = np.zeros(n, bool), [], []
     for s in range(1, min(WINDOW, n - 1) + 1):
         near = (tree[:-s] == tree[s:]) & (first[:-s] == first[s:])
@@ -110,7 +118,7 @@ def pairs_within(rows: pa.Table, new_from: int, every: bool) -> tuple[np.ndarray
         i = np.flatnonzero(near)
         if not len(i) and not every and s > 1 and not ((tree[:-s] == tree[s:]) & (first[:-s] == first[s:])).any():
             break
-        i = i[np.bitwise_count(sketch[i] ^ sketch[i + s]).sum(axis=1) <= most]
+        i = i[may_be(i, i + s)]
         taken[i] = True
         i = i[i + s >= new_from]
         out_i.append(i)
@@ -128,7 +136,7 @@ def _pair_batch(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 
 
 def met(rows: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b, tree) that are close in some tree of ``rows`` (digest, keys, sketch, label)."""
+    """Pairs (a, b, tree) that are close in some tree of ``rows`` (digest, keys, sketch, label); the sketch is the bytes with ``every``, else the bits."""
 
     def edge(rows: pa.Table, gap: int, after: bool) -> list[pa.RecordBatch]:
         n = rows.num_rows
@@ -205,14 +213,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = id_and_text(docs, id_col, text_col)
     rows = settled(signatures(texts), "signatures")
-    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("bytes").alias("bytes"))
     nodes = settled(nodes, "nodes")
-    pairs = settled(met(nodes.withColumn("label", F.col("digest")), every=False), "pairs")
+    pairs = settled(met(nodes.select("digest", "keys", F.col("bits").alias("sketch"), F.col("digest").alias("label")), every=False), "pairs")
     first = verified(texts, nodes, pairs.where(F.col("tree") < FIRST))
     labels = components(first)
     touched = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     again = nodes.join(touched, "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    second = verified(texts, nodes, met(again.select("digest", "keys", "sketch", "label"), every=True))
+    second = verified(texts, nodes, met(again.select("digest", "keys", F.col("bytes").alias("sketch"), "label"), every=True))
     labels = components(first.union(second))
     whole = nodes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("label", "digest").alias("label"))
     least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
