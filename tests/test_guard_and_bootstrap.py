@@ -75,14 +75,10 @@ def numpy_bootstrap(rows, n_boot, seed=9):
     return b.sum() / n.sum() - a.sum() / n.sum(), np.percentile(bs, [2.5, 97.5]), d.mean(), np.percentile(d[idx].mean(1), [2.5, 97.5])
 
 
-@pytest.mark.parametrize("form", ["hash", "block", "one_block"])
+@pytest.mark.parametrize("form", ["hash", "class"])
 def test_bootstrap_forms_agree_with_numpy(spark, form):
     rows, df = pairs(spark)
-    block = F.substring("utt_id", 1, 12)
-    if form == "hash":
-        r = B.bootstrap_by_hash(df, block, 1000).first()
-    else:
-        r = B.bootstrap_by_block(df, block, 4000, block_rows=60 if form == "block" else 65_536).first()
+    r = B.bootstrap_by_hash(df, 1000).first() if form == "hash" else B.bootstrap_by_class(df, 4000).first()
     delta, ci, macro, mci = numpy_bootstrap(rows, 4000)
     assert r["corpus_delta"] == pytest.approx(delta, abs=1e-8) and r["macro_delta"] == pytest.approx(macro, abs=1e-8)
     width = ci[1] - ci[0]
@@ -90,18 +86,22 @@ def test_bootstrap_forms_agree_with_numpy(spark, form):
     assert abs(r["macro_ci_low"] - mci[0]) < 0.12 * (mci[1] - mci[0])
 
 
-def test_block_shares_add_up_to_all_draws():
-    n, size = 1003, 100
-    shares = np.array([B._share(b, size, n, 50, [7]) for b in range(11)])
-    assert (shares.sum(axis=0) == n).all() and abs(shares[0].mean() - 100) < 8 and shares[10].mean() < 8
-    sums = B._block_sums(np.ones((100, 2)), shares[0], np.random.default_rng(0), chunk=37)
-    assert (sums[:, 0] == shares[0]).all()
+def test_outcomes_count_every_row(spark):
+    _, df = pairs(spark, 300)
+    c = sorted(B.outcome_classes(df).collect(), key=lambda r: r["before"])
+    assert sum(r["rows"] for r in c) == 300 == c[0]["size"] and len(c) < 300
+    assert [r["before"] for r in c] == [sum(x["rows"] for x in c[:i]) for i in range(len(c))]
 
 
 def test_bootstrap_is_repeatable(spark):
     _, df = pairs(spark, 80)
-    block = F.substring("utt_id", 1, 12)
-    assert B.bootstrap_by_block(df, block, 200, block_rows=16).first() == B.bootstrap_by_block(df.repartition(5), block, 200, block_rows=16).first()
+    assert B.bootstrap_by_class(df, 200, chunk=64).first() == B.bootstrap_by_class(df.repartition(5), 200, chunk=64).first()
+
+
+def test_contrasts_leave_out_unscored_sides(spark):
+    df = spark.createDataFrame([("C0", "u", 1, 4), ("C4", "u", 2, 4), ("C0", "v", 1, 3), ("C2", "v", 0, 3)], "cond string, utt_id string, errors int, ref_len int")
+    got = {tuple(r) for r in B.contrast_pairs(df).collect()}
+    assert got == {("C0->C4", "u", 1, 4, 2), ("C0->C2", "v", 1, 3, 0)}
 
 
 def test_wins_and_losses(spark):
