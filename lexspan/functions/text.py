@@ -256,11 +256,17 @@ def slugify(c: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(s, 1, 32), F.lit("")), F.lit("unit"))
 
 
-def clean_pages(pages: Column) -> Column:
-    """Join extracted pages, squeeze blanks; NULL (reject) when nothing is left."""
+def clean_pages(pages: Column, longest: int | None = MAX_SYLLABUS_CHARS) -> Column:
+    """Join extracted pages, squeeze blanks; NULL text (reject) when nothing is left.
+
+    A struct of ``text``, cut after ``longest`` characters (None: kept whole), and ``truncated``.
+    """
     text = F.array_join(F.transform(pages, lambda p: F.coalesce(p, F.lit(""))), "\n\n")
     text = F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
-    return F.substring(F.nullif(strip(text), F.lit("")), 1, MAX_SYLLABUS_CHARS)
+    whole = F.nullif(strip(text), F.lit(""))
+    if longest is None:
+        return F.struct(whole.alias("text"), F.lit(False).alias("truncated"))
+    return F.struct(F.substring(whole, 1, longest).alias("text"), F.coalesce(F.length(whole) > longest, F.lit(False)).alias("truncated"))
 
 
 def mmss(seconds: Column) -> Column:

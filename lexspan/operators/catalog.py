@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.session import durable
+
 # fixed values
 AUDIO_SUFFIXES = [".m4a", ".mp3", ".wav", ".aac", ".ogg", ".opus", ".flac", ".mp4", ".3gp", ".amr", ".webm"]
 SYLLABUS_SUFFIXES = [".pdf"]
@@ -31,8 +33,9 @@ def list_jobs(jobs: DataFrame, subject_id=None, lecture_id=None, status: str | N
     return out.orderBy(F.desc("created_at"), "id").limit(min(limit, LIST_MAX))
 
 
-def newest_first(rows: DataFrame, created: str = "created_at", *ties: str) -> DataFrame:
-    return rows.orderBy(F.desc(created), *ties)
+def newest_first(rows: DataFrame, created: str = "created_at", *ties: str, within: str | None = None) -> DataFrame:
+    """Newest first, all rows; ``within`` lists the rows of each parent together."""
+    return rows.orderBy(*([within] if within else []), F.desc(created), *ties)
 
 
 def in_index_order(rows: DataFrame, *columns: str) -> DataFrame:
@@ -105,9 +108,37 @@ def replace_by_key(stored: DataFrame, incoming: DataFrame, key: str) -> DataFram
     return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
-def write_replacing(rows: DataFrame, path: str, partition: str) -> None:
-    """Replace whole partitions in storage, leaving the others alone."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+BUCKET = "__bucket"
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_stored(spark, path: str, key: str) -> DataFrame:
+    """Rows kept by ``write_replacing``."""
+    return spark.read.parquet(path).filter(F.col(key).isNotNull()).drop(BUCKET)
+
+
+def write_replacing(rows: DataFrame, keys: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Put ``rows`` in place of everything stored under the ``keys``, also under keys without new rows.
+
+    Storage is cut into hash buckets of the key. The buckets of the keys are written anew from their other rows and the
+    new ones; a row without key keeps a bucket that has become empty from being left as it was.
+    """
+    spark = rows.sparkSession
+    keys = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    touched = keys.select(_bucket(key, buckets).alias(BUCKET)).distinct()
+    new = rows.filter(F.col(key).isNotNull()).withColumn(BUCKET, _bucket(key, buckets))
+    marks = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema], BUCKET)
+    new = new.unionByName(marks)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        stored = spark.read.parquet(path).join(touched, BUCKET, "left_semi").filter(F.col(key).isNotNull())
+        new = stored.join(keys, key, "left_anti").unionByName(new)
+    # the buckets are read and written: what they will hold is kept elsewhere first
+    durable(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def unit_keys(prefix: Column, order_index: Column) -> Column:

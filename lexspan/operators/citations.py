@@ -13,6 +13,9 @@ from lexspan.operators.ordered import first_n
 TOP_K, SECONDARY_K, KEEP, MIN_CITED = 12, 6, 14, 3
 HISTORY_TURNS, RENDERED_TURNS = 8, 6
 SCORE_DIGITS = 9
+NOTHING_FOUND = ("I couldn't find anything about that in your lectures for this subject. "
+                 "Either it hasn't been covered yet, or the recording is still processing.")
+# end of fixed values
 
 
 def vector_top_k(questions: DataFrame, items: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -124,6 +127,21 @@ def render_sources(hits: DataFrame) -> DataFrame:
     )
 
 
+def question_sources(questions: DataFrame, hits: DataFrame, fixed: tuple[str, ...] = ("coverage", "smalltalk")) -> DataFrame:
+    """Every question with its sources, citations and, where no model is asked, its answer.
+
+    ``questions``: question_id, query_type, fixed_answer (for the types that are answered from facts). A question of
+    another type without hits gets the fixed sentence; with hits, its answer is NULL until a model writes it.
+    """
+    asks = ~F.col("query_type").isin(*fixed)
+    found = render_sources(hits.join(questions.filter(asks).select("question_id"), "question_id", "left_semi"))
+    none = F.array().cast(found.schema["citations"].dataType)
+    return questions.join(found, "question_id", "left").select(
+        "question_id", "query_type", "sources", F.coalesce("citations", none).alias("citations"),
+        F.when(~asks, F.col("fixed_answer")).when(F.col("sources").isNull(), F.lit(NOTHING_FOUND)).alias("answer"),
+    )
+
+
 def used_citations(citations: Column, answer: Column) -> Column:
     """Citations whose ``[n]`` occurs in the answer, the first three if none does."""
     used = F.filter(citations, lambda c: F.contains(answer, F.concat(F.lit("["), c["n"].cast("string"), F.lit("]"))))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import strip
-from lexspan.operators.ordered import ordered
 
 RANGE_BLOCK = 256  # spans per join block
 
@@ -52,7 +51,7 @@ def attribute_units(notes: DataFrame, spans: DataFrame, units: DataFrame) -> Dat
     unit key; else NULL.
 
     ``notes``: note_id, lecture_id, subject_id, first_span, last_span,
-    suggested_unit_key. ``units``: subject_id, unit_id, unit_key.
+    suggested_unit_key. ``units``: subject_id, unit_id, unit_key, order_index.
     """
     subject_of = notes.select("note_id", "subject_id")
     valid = units.select("subject_id", "unit_id")
@@ -61,7 +60,8 @@ def attribute_units(notes: DataFrame, spans: DataFrame, units: DataFrame) -> Dat
         .groupBy("note_id")
         .agg(F.max_by("unit_id", F.struct("votes", (-F.col("seen.index")).alias("i"), (-F.col("seen.at")).alias("a"))).alias("voted"))
     )
-    by_key = units.select("subject_id", F.col("unit_key").alias("key"), F.col("unit_id").alias("suggested"))
+    # of units with one key the last in syllabus order counts
+    by_key = units.groupBy("subject_id", F.col("unit_key").alias("key")).agg(F.max_by("unit_id", F.struct("order_index", "unit_id")).alias("suggested"))
     n = notes.withColumn("key", strip(F.coalesce("suggested_unit_key", F.lit(""))))
     return n.join(winner, "note_id", "left").join(by_key, ["subject_id", "key"], "left").select(
         *notes.columns, F.coalesce("voted", "suggested").alias("unit_id")
@@ -171,27 +171,24 @@ def flatten_outcomes(nested: DataFrame) -> DataFrame:
 
 
 # --- rendered text ------------------------------------------------------------------
-def _parts(spans: DataFrame, line: Column, separator: str, part_spans: int) -> DataFrame:
-    """Ordered text of a lecture in parts of ``part_spans`` spans. Any usual
-    lecture is part 0 alone; a huge one stays whole as several parts."""
-    rows = ordered(spans, ["lecture_id"], ["index"], F.floor(F.col("index") / 4096), position="__p")
-    return (
-        rows.withColumn("__line", line).groupBy("lecture_id", F.floor(F.col("__p") / part_spans).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("index", "__line"))).alias("m"), F.count(F.lit(1)).alias("n_spans"))
-        .select("lecture_id", "part", "n_spans", F.array_join(F.transform("m", lambda s: s["__line"]), separator).alias("text"))
-    )
-
-
-def render_transcript(spans: DataFrame, part_spans: int = 4096) -> DataFrame:
-    """``[span i | Xs-Ys] text`` lines in index order, whole seconds."""
+def render_transcript(spans: DataFrame) -> DataFrame:
+    """``[span i | Xs-Ys] text``, whole seconds: a row for each span."""
     line = F.format_string("[span %d | %ds-%ds] %s", F.col("index").cast("long"),
                            F.rint("start_s").cast("long"), F.rint("end_s").cast("long"), F.col("text"))
-    return _parts(spans.select("lecture_id", "index", "start_s", "end_s", "text"), line, "\n", part_spans)
+    return spans.select("lecture_id", "index", line.alias("line"))
 
 
-def full_transcript(spans: DataFrame, part_spans: int = 4096) -> DataFrame:
-    """Span texts joined by spaces in index order."""
-    return _parts(spans.select("lecture_id", "index", "text"), F.coalesce("text", F.lit("")), " ", part_spans)
+def full_transcript(spans: DataFrame) -> DataFrame:
+    """The text of each span, NULL as empty: a row for each span."""
+    return spans.select("lecture_id", "index", F.coalesce("text", F.lit("")).alias("line"))
+
+
+def join_lines(lines: DataFrame, separator: str) -> DataFrame:
+    """A lecture's lines in index order as one string. It is as long as the lecture: take the rows where that may be too much."""
+    return lines.groupBy("lecture_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "line"))), lambda s: s["line"]), separator).alias("text"),
+    )
 
 
 def render_units(subjects: DataFrame, units: DataFrame) -> DataFrame:

@@ -134,3 +134,19 @@ def best_config(table: DataFrame, keys: list[str], value: str = "wer", ordinal:
     """The row with the smallest value, the first in grid order on ties."""
     pick = F.min_by(F.struct(*keys, value), F.struct(value, ordinal)).alias("b")
     return table.groupBy(*(by or [])).agg(pick).select(*(by or []), "b.*")
+
+
+def decode_settings(trials: DataFrame, languages: list[str], ks: list[int], caps: list[int]) -> DataFrame:
+    """One row: the language with the least error of C0, then of its (k, cap) trials the one with the least error of C4.
+
+    ``trials``: cond, lang, k, cap, errors, ref_len. Ties go to the first language of the list and to the first cell of
+    the grid, k before cap. A setting that was not tried is not chosen.
+    """
+    first = lambda c, options: F.array_position(F.array(*map(F.lit, options)), F.col(c))
+    wer = (F.sum("errors") / F.sum("ref_len")).alias("wer")
+    by_lang = trials.filter("cond = 'C0'").groupBy("lang").agg(wer).filter(first("lang", languages) > 0)
+    best = by_lang.agg(F.min_by(F.struct("lang", "wer"), F.struct("wer", first("lang", languages))).alias("b"))
+    lang = best.select("b.lang", F.col("b.wer").alias("c0_wer"))
+    cells = trials.filter("cond = 'C4'").groupBy("lang", "k", "cap").agg(wer).filter((first("k", ks) > 0) & (first("cap", caps) > 0))
+    pick = F.min_by(F.struct("k", "cap", "wer"), F.struct("wer", first("k", ks), first("cap", caps))).alias("p")
+    return cells.join(lang, "lang").groupBy("lang", "c0_wer").agg(pick).select("lang", "c0_wer", "p.k", "p.cap", F.col("p.wer").alias("c4_wer"))

@@ -16,7 +16,6 @@ MIN_DUR, MAX_DUR, MIN_WORDS = 2.0, 28.0, 4
 DEV_FRACTION = 0.30
 N_TITLE_UTTS = 2
 
-GROUP_LIMIT = 1000  # Spark limits groups before the shuffle up to this rank
 
 
 def join_corpus(text: DataFrame, segments: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -83,35 +82,23 @@ def stratified_sample(rows: DataFrame, n: int, stratum: str = "lecture_id", id_c
     """Proportional sample of ``n`` rows by largest remainder.
 
     Each stratum gets the floor of its exact share, and the strata with the
-    largest remainders (ties by name) one more. Inside a stratum rows follow a
-    seeded order. No quota exceeds ``n``, so for the usual small sample every
-    task keeps at most ``n`` rows of a stratum before the shuffle; a large sample
-    is ranked in blocks. Strata are ranked in blocks too.
+    largest remainders (ties by name) one more. Fewer than ``n`` strata can get one more,
+    so only the first ``n`` by remainder are ranked. Inside a stratum rows follow a seeded
+    order, ranked in blocks of its digests.
     """
     # the counts are read several times below: keep them, not the way to them
     counts = durable(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c")))
-    total = counts.agg(F.sum("c").alias("total"))
-    exact = F.lit(n) * F.col("c") / F.col("total")
-    quota = (
-        counts.join(total)  # one row
-        .withColumn("floor", F.least(F.floor(exact), F.col("c")))
-        .withColumn("remainder", exact - F.floor(exact))
-        .withColumn("order", F.struct((-F.col("remainder")).alias("r"), F.col(stratum).alias("s")))
-        .withColumn("one", F.lit(1))
-    )
-    placed = ordered(quota, ["one"], ["order"], F.floor(-F.col("remainder") * 1024), position="place")
-    missing = F.lit(n) - F.col("floors")
-    quota = (
-        placed.join(quota.agg(F.sum("floor").alias("floors")))  # one row
-        .select(stratum, F.when(F.col("total") <= n, F.col("c"))
-                .otherwise(F.col("floor") + (F.col("place") < missing).cast("int")).alias("quota"))
-    )
-    keyed = rows.withColumn("__digest", F.concat(seeded_digest(seed, F.col(id_col)), F.lit("-"), F.col(id_col)))
-    if n <= GROUP_LIMIT:
-        ranked = first_n(keyed, [stratum], [F.col("__digest")], n, "__rank").join(quota, stratum)
-        return ranked.filter(F.col("__rank") <= F.col("quota")).select(*rows.columns)
+    total = counts.agg(F.sum("c")).scalar()
+    exact = F.lit(n) * F.col("c") / total
+    shares = counts.withColumn("floor", F.least(F.floor(exact), F.col("c"))).withColumn("remainder", exact - F.floor(exact))
+    missing = F.lit(n) - shares.agg(F.sum("floor")).scalar()
+    first = shares.orderBy(F.desc("remainder"), stratum).limit(n)
+    place = F.row_number().over(Window.orderBy(F.desc("remainder"), stratum))
+    more = first.select(stratum, place.alias("place")).filter(F.col("place") <= missing).select(stratum, F.lit(1).alias("more"))
+    quota = shares.join(more, stratum, "left").select(
+        stratum, "c", F.when(total <= n, F.col("c")).otherwise(F.col("floor") + F.coalesce("more", F.lit(0))).alias("quota"))
+    keyed = rows.withColumn("__digest", F.concat(seeded_digest(seed, F.col(id_col)), F.lit("-"), F.col(id_col))).join(quota, stratum)
     # as many leading digits as leave about 65 536 rows per block
-    keyed = keyed.join(quota.join(counts, stratum), stratum)
     digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("c") / 65_536) / 4)).cast("int")
     ranked = ordered(keyed, [stratum], ["__digest"], F.substring("__digest", F.lit(1), digits), position="__place")
     return ranked.filter(F.col("__place") < F.col("quota")).select(*rows.columns)

@@ -66,39 +66,52 @@ def with_alignment(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ops", alignment_ops("nref", "nhyp"))
 
 
-def aligned_words(aligned: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per reference word with the step that consumed it."""
-    steps = F.split(F.translate("ops", "I", ""), "")
+def _step_counts(aligned: DataFrame, by: list[str], totals: dict[str, Column] | None = None) -> DataFrame:
+    """Counts per group, reference word and step that consumed it, and the group's totals.
+
+    A pair gives a row for each reference word and one without a word, which carries its insertions
+    and the ``totals``. So each alignment is made once and read once.
+    """
+    totals = totals or {}
     words = norm_words(F.col("nref"))
-    return aligned.select(
-        *keep, F.explode(F.arrays_zip(words.alias("word"), F.slice(steps, 1, F.greatest(F.size(words), F.lit(1))).alias("step"))).alias("z")
-    ).select(*keep, F.col("z.word").alias("word"), F.col("z.step").alias("step")).filter(F.col("word").isNotNull())
+    steps = F.split(F.translate("ops", "I", ""), "")
+    none = [F.lit(None).cast("long").alias(c) for c in totals]
+    one = lambda z: F.struct(z["word"].alias("word"), z["step"].alias("step"), F.lit(1).cast("long").alias("n"), *none)
+    zipped = F.arrays_zip(words.alias("word"), F.slice(steps, 1, F.greatest(F.size(words), F.lit(1))).alias("step"))
+    rest = F.struct(F.lit(None).cast("string").alias("word"), F.lit("I").alias("step"), ops_insertions(F.col("ops")).cast("long").alias("n"),
+                    *[v.cast("long").alias(c) for c, v in totals.items()])
+    rows = F.concat(F.filter(F.transform(zipped, one), lambda r: r["word"].isNotNull()), F.array(rest))
+    return aligned.select(*by, F.explode(rows).alias("z")).select(*by, "z.*").groupBy(*by, "word", "step").agg(
+        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in totals])
 
 
-def vocabulary_errors(aligned: DataFrame, vocabulary: DataFrame, by: list[str]) -> DataFrame:
-    """Error split by vocabulary membership, insertion rate, script fidelity.
+def _split_columns(counts: DataFrame, vocabulary: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Error split by vocabulary membership, insertion rate and script fidelity from step counts.
 
-    Words are first counted per (group, word, step); only those counts meet the
-    vocabulary, so a frequent word crosses the join once per group and step.
+    Only the counts meet the vocabulary, so a frequent word crosses the join once per group and step.
     """
-    counts = aligned_words(aligned, by).groupBy(*by, "word", "step").agg(F.count(F.lit(1)).alias("n"))
     known = vocabulary.select("word").distinct().withColumn("__k", F.lit(True))
     marked = counts.join(known, "word", "left")
-    k, err = F.coalesce(F.col("__k"), F.lit(False)), F.col("step") != "E"
-    lat = script_of(F.col("word")) == "lat"
+    word = F.col("word").isNotNull()
+    k, err = word & F.coalesce(F.col("__k"), F.lit(False)), F.col("step") != "E"
+    u = word & ~k
+    lat = word & (script_of(F.col("word")) == "lat")
     add = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     split = marked.groupBy(*by).agg(
-        add(k).alias("k_n"), add(k & err).alias("k_err"), add(~k).alias("u_n"), add(~k & err).alias("u_err"),
-        add(lat).alias("lat_n"), add(lat & ~err).alias("lat_ok"),
-    )
-    ins = aligned.groupBy(*by).agg(F.sum(ops_insertions(F.col("ops"))).alias("ins"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return ins.join(split, by, "left").select(
-        *by, _ratio(F.col("k_err"), z("k_n")).alias("k_wer"), z("k_n").alias("k_n"),
-        _ratio(F.col("u_err"), z("u_n")).alias("u_wer"), z("u_n").alias("u_n"),
-        (F.col("ins") / F.greatest(F.lit(1), z("k_n") + z("u_n"))).alias("ins_rate"),
-        _ratio(F.col("lat_ok"), z("lat_n")).alias("script_fidelity"), z("lat_n").alias("lat_n"),
+        add(k).alias("k_n"), add(k & err).alias("k_err"), add(u).alias("u_n"), add(u & err).alias("u_err"),
+        add(lat).alias("lat_n"), add(lat & ~err).alias("lat_ok"), add(~word).alias("ins"), *more,
     )
+    return split.withColumns({
+        "k_wer": _ratio(F.col("k_err"), F.col("k_n")), "u_wer": _ratio(F.col("u_err"), F.col("u_n")),
+        "ins_rate": F.col("ins") / F.greatest(F.lit(1), F.col("k_n") + F.col("u_n")),
+        "script_fidelity": _ratio(F.col("lat_ok"), F.col("lat_n")),
+    })
+
+
+def vocabulary_errors(aligned: DataFrame, vocabulary: DataFrame, by: list[str]) -> DataFrame:
+    """Error split by vocabulary membership, insertion rate, script fidelity."""
+    return _split_columns(_step_counts(aligned, by), vocabulary, by).select(
+        *by, "k_wer", "k_n", "u_wer", "u_n", "ins_rate", "script_fidelity", "lat_n")
 
 
 def condition_summary(pairs: DataFrame, by: list[str] = GROUP) -> DataFrame:
@@ -111,22 +124,19 @@ def condition_summary(pairs: DataFrame, by: list[str] = GROUP) -> DataFrame:
 
 
 def score_table(pairs: DataFrame, vocabulary: DataFrame, by: list[str] = GROUP) -> DataFrame:
-    """The full score row per group. Everything that needs a pair's text is
-    computed in one projection and summed in one aggregation; only the
-    vocabulary split is a second pass over the alignments."""
-    n = with_alignment(with_normalized(pairs))
-    n_words = F.length(F.translate("ops", "I", ""))  # one step per reference word
-    main = script_agnostic_errors(n).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        _ratio(F.sum(ops_errors(F.col("ops"))), F.sum(n_words)).alias("wer"),
-        _ratio(F.sum("sa_errors"), F.sum("sa_len")).alias("wer_sa"),
-        _ratio(F.sum(char_edit_distance(F.col("nref"), F.col("nhyp"))), F.sum(F.length("nref"))).alias("cer"),
-        F.avg(F.coalesce(F.col("prompt_tokens"), F.lit(0))).alias("mean_prompt_tokens"),
-        F.avg(F.col("fallback").cast("int")).alias("fallback_rate"),
-    )
-    return main.join(vocabulary_errors(n, vocabulary, by), by).select(
-        *by, "n", "wer", "wer_sa", "cer", "k_wer", "k_n", "u_wer", "u_n", "ins_rate", "script_fidelity", "lat_n",
-        "mean_prompt_tokens", "fallback_rate",
+    """The full score row per group, from one pass over the alignments."""
+    n = script_agnostic_errors(with_alignment(with_normalized(pairs)))
+    totals = {
+        "pairs": F.lit(1), "errors": ops_errors(F.col("ops")), "ref_words": F.length(F.translate("ops", "I", "")),
+        "sa_errors": F.col("sa_errors"), "sa_len": F.col("sa_len"),
+        "char_errors": char_edit_distance(F.col("nref"), F.col("nhyp")), "ref_chars": F.length("nref"),
+        "tokens": F.coalesce(F.col("prompt_tokens"), F.lit(0)), "fell": F.col("fallback").cast("int"), "flagged": F.col("fallback").isNotNull().cast("int"),
+    }
+    out = _split_columns(_step_counts(n, by, totals), vocabulary, by, *[F.sum(c).alias(c) for c in totals])
+    return out.select(
+        *by, F.col("pairs").alias("n"), _ratio(F.col("errors"), F.col("ref_words")).alias("wer"), _ratio(F.col("sa_errors"), F.col("sa_len")).alias("wer_sa"),
+        _ratio(F.col("char_errors"), F.col("ref_chars")).alias("cer"), "k_wer", "k_n", "u_wer", "u_n", "ins_rate", "script_fidelity", "lat_n",
+        (F.col("tokens") / F.col("pairs")).alias("mean_prompt_tokens"), _ratio(F.col("fell"), F.col("flagged")).alias("fallback_rate"),
     )
 
 

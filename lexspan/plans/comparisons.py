@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import norm_words  # noqa: F401
 from lexspan.operators import bootstrap as B
 from lexspan.operators import guard as G
 from lexspan.operators import quality as Q
 from lexspan.operators import scoring as S
 from lexspan.plans.base import (
-    HYPS, hypotheses, nhyps_sql, query, table, tokens_sql, utt_block, with_, word_distance_sql,
+    HYPS, hypotheses, nhyps_sql, query, table, tokens_sql, with_, word_distance_sql, words_sql,
 )
+from lexspan.plans.texts import SCORES, vocabulary
 
 FIRES = f"""coalesce(p.avg_logprob < b.avg_logprob - 0.25::DOUBLE, false) OR coalesce(p.compression_ratio > 2.0::DOUBLE, false)
     OR coalesce(len({tokens_sql('b.hyp')}) > 0 AND len({tokens_sql('p.hyp')}) > 1.5::DOUBLE * len({tokens_sql('b.hyp')}), false)"""
@@ -79,7 +79,7 @@ def prj2(spark, sf):
 
 @query("agg8_lecture_stats", with_(SPAN_PASSES, f"""tok_ AS (SELECT lecture_id, has, safeguard_fallback, start_s, end_s, index, {{words}} AS w FROM final_),
 agg_ AS (SELECT lecture_id, count(*) AS n_spans, bool_or(has) AS conditioned, sum(safeguard_fallback::INT)::BIGINT AS fb, max(end_s) AS dur, sum(len(w)) AS t,
-  sum(len(list_filter(w, lambda x: regexp_matches(x, '[a-z]')))) AS l FROM tok_ GROUP BY lecture_id)""".replace("{words}", __import__("lexspan.plans.base", fromlist=["x"]).words_sql(__import__("lexspan.plans.base", fromlist=["x"]).norm_sql("text"))),
+  sum(len(list_filter(w, lambda x: regexp_matches(x, '[a-z]')))) AS l FROM tok_ GROUP BY lecture_id)""".replace("{words}", words_sql(__import__("lexspan.plans.base", fromlist=["x"]).norm_sql("text"))),
     body="""SELECT lecture_id, n_spans, round_even(dur / greatest(1, n_spans), 2) AS mean_span_s, conditioned, fb AS safeguard_fallbacks,
       round_even(fb::DOUBLE / greatest(1, n_spans), 4) AS safeguard_fallback_rate, 0.0::DOUBLE AS dev, CASE WHEN t > 0 THEN round_even(l::DOUBLE / t, 4) ELSE 0 END AS lat,
       CASE WHEN t > 0 THEN round_even((t - l)::DOUBLE / t, 4) ELSE 0 END AS other FROM agg_"""))
@@ -94,7 +94,7 @@ def agg8(spark, sf):
 # --- sweeps ------------------------------------------------------------------------
 SCORED = HYPS + ",\n" + nhyps_sql() + f""",
 scored_ AS ({word_distance_sql('nh')}),
-scored AS (SELECT cond, utt_id, hyp, avg_logprob, compression_ratio, errors::INT AS errors, len(r)::INT AS ref_len, split FROM scored_)"""
+scored AS (SELECT model, cond, utt_id, hyp, avg_logprob, compression_ratio, errors::INT AS errors, len(r)::INT AS ref_len, split FROM scored_)"""
 GRID = """grid AS (SELECT (row_number() OVER () - 1)::INT AS cell, d AS d_logprob, c AS max_cr, l AS len_ratio FROM
   (SELECT d, c, l FROM (VALUES (0, 0.05::DOUBLE), (1, 0.10), (2, 0.15), (3, 0.25)) a(i, d), (VALUES (0, 2.0::DOUBLE), (1, 2.4), (2, 100.0)) b(j, c), (VALUES (0, 1.5::DOUBLE), (1, 2.0), (2, 100.0)) e(k, l) ORDER BY i, j, k))"""
 SWEEP = SCORED + ",\n" + GRID + f""",
@@ -130,12 +130,23 @@ def jn13(spark, sf):
     return G.config_grid(e).groupBy("event_type", "cell", "d_logprob", "max_cr", "len_ratio").agg(F.sum(F.when(over, F.col("n")).otherwise(0)).alias("n_over"))
 
 
-@query("swp2_condition_choice", with_(SCORED, "g_ AS (SELECT split, cond, row_number() OVER (PARTITION BY split ORDER BY cond) AS cell, sum(errors)::DOUBLE / sum(ref_len) AS wer FROM scored WHERE cond <> 'C0' GROUP BY split, cond)",
-    body="SELECT split, arg_min(cond, wer) AS cond, round_even(min(wer), 9) AS wer FROM g_ GROUP BY split"))
+# a trial's setting is read off its utterance: two languages, then three numbers of units and two prompt lengths
+SETTINGS = """tr_ AS (SELECT *, CASE WHEN (substr(md5(utt_id), 1, 1)) < '8' THEN 'hi' ELSE 'auto' END AS lang,
+  ('0x' || substr(md5(utt_id), 2, 1))::INT % 3 + 1 AS k, CASE WHEN substr(md5(utt_id), 3, 1) < '8' THEN 120 ELSE 200 END AS cap FROM scored),
+ln_ AS (SELECT lang, sum(errors)::DOUBLE / sum(ref_len) AS wer FROM tr_ WHERE cond = 'C0' GROUP BY lang),
+best_ AS (SELECT lang, wer FROM ln_ ORDER BY wer, lang DESC LIMIT 1),
+gr_ AS (SELECT lang, k, cap, sum(errors)::DOUBLE / sum(ref_len) AS wer FROM tr_ WHERE cond = 'C4' GROUP BY lang, k, cap)"""
+
+
+@query("swp2_condition_choice", with_(SCORED, SETTINGS, body="""SELECT b.lang, round_even(b.wer, 9) AS c0_wer, g.k, g.cap, round_even(g.wer, 9) AS c4_wer
+  FROM best_ b JOIN gr_ g USING (lang) ORDER BY g.wer, g.k, g.cap LIMIT 1"""))
 def swp2(spark, sf):
-    rows = scored(spark, sf, *[f"C{i}" for i in range(1, 8)]).groupBy("split", "cond").agg((F.sum("errors") / F.sum("ref_len")).alias("wer"))
-    best = G.best_config(rows.withColumn("cell", F.col("cond")), ["cond"], by=["split"])
-    return best.select("split", "cond", F.bround("wer", 9).alias("wer"))
+    digit = lambda i: F.substring(F.md5("utt_id"), i, 1)
+    trials = scored(spark, sf, "C0", "C4").select(
+        "cond", "errors", "ref_len", F.when(digit(1) < "8", "hi").otherwise("auto").alias("lang"),
+        (F.conv(digit(2), 16, 10).cast("int") % 3 + 1).alias("k"), F.when(digit(3) < "8", 120).otherwise(200).alias("cap"))
+    out = G.decode_settings(trials, ["hi", "auto"], [1, 2, 3], [120, 200])
+    return out.select("lang", F.bround("c0_wer", 9).alias("c0_wer"), "k", "cap", F.bround("c4_wer", 9).alias("c4_wer"))
 
 
 # --- paired comparison -------------------------------------------------------------
@@ -149,10 +160,10 @@ def jn3(spark, sf):
     return B.align_pairs(scored(spark, sf, "C0"), scored(spark, sf, "C4").filter(F.length("hyp") % 7 != 0))
 
 
-def boot_sql(contrasts, n_boot: int) -> str:
+def boot_sql(contrasts, n_boot: int, prefix: str = "") -> str:
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in contrasts)
     return with_(SCORED, f"""con_ AS (SELECT * FROM (VALUES {pairs}) v(x, y)),
-p_ AS (SELECT x || '->' || y AS contrast, a.utt_id, a.errors AS e_a, b.errors AS e_b, a.ref_len AS n,
+p_ AS (SELECT {prefix.replace("model", "a.model").replace("split", "a.split")}x || '->' || y AS contrast, a.utt_id, a.errors AS e_a, b.errors AS e_b, a.ref_len AS n,
     b.errors / greatest(a.ref_len, 1)::DOUBLE - a.errors / greatest(a.ref_len, 1)::DOUBLE AS d
   FROM con_ JOIN scored a ON a.cond = x JOIN scored b ON b.cond = y AND a.utt_id = b.utt_id),
 pl_ AS (SELECT contrast, e_a, e_b, n, d, row_number() OVER (PARTITION BY contrast ORDER BY n, e_a, e_b) - 1 AS pos, count(*) OVER (PARTITION BY contrast) AS size FROM p_),
@@ -236,31 +247,43 @@ def jn15(spark, sf):
 
 
 # --- result tables and checks -------------------------------------------------------
-TABLE = SCORED + """,
-sc_ AS (SELECT split, cond, sum(errors)::DOUBLE / sum(ref_len) AS wer, count(*) AS n FROM scored GROUP BY split, cond),
-ct_ AS (SELECT a.split, b.cond, b.wer - a.wer AS corpus_delta FROM sc_ a JOIN sc_ b USING (split) WHERE a.cond = 'C0' AND b.cond <> 'C0' AND b.cond <> 'C6')"""
+def contrast_cis(spark, sf, n_boot):
+    """Bootstrap rows of each model and split, its name before the contrast."""
+    rows = scored(spark, sf)
+    of = rows.select("utt_id", "model", "split").distinct()
+    pairs = B.contrast_pairs(rows.select("cond", "utt_id", "errors", "ref_len")).join(of, "utt_id")
+    key = F.concat_ws("/", "model", "split", "contrast")
+    out = B.bootstrap_by_hash(pairs.select(key.alias("contrast"), "utt_id", "e_a", "n", "e_b"), n_boot)
+    part = F.split("contrast", "/")
+    return out.withColumns({"model": part[0], "split": part[1], "contrast": part[2]})
 
 
-def score_rows(spark, sf):
-    return scored(spark, sf).groupBy("split", "cond").agg((F.sum("errors") / F.sum("ref_len")).alias("wer"), F.count(F.lit(1)).alias("n"))
+DOC_SQL = " ".join(f"WHEN '{c}' THEN '{t + (' **(topline, oracle)**' if c == 'C6' else '')}'" for c, t in Q.CONDITIONS.items())
+CIS = boot_sql(B.CONTRASTS, 200, "model || '/' || split || '/' || ")
+PARTS = "string_split(contrast, '/')[1] AS model, string_split(contrast, '/')[2] AS split, string_split(contrast, '/')[3] AS contrast"
+PCT = lambda c, d=2: f"CASE WHEN {c} IS NULL THEN '—' ELSE printf('%.{d}f', {c} * 100) END AS "
+
+
+@query("dq5_results_table", with_(
+    HYPS, *SCORES, f"ci0_ AS ({CIS})", f"ci_ AS (SELECT * EXCLUDE (contrast), {PARTS} FROM ci0_)",
+    body=f"""SELECT model, split, cond, CASE cond {DOC_SQL} END AS prompt, {PCT('wer')}wer, {PCT('wer_sa')}wer_sa, {PCT('k_wer')}k_wer, {PCT('u_wer')}u_wer, {PCT('cer')}cer,
+  {PCT('script_fidelity', 1)}script_fidelity,
+  CASE WHEN cond = 'C0' THEN 'ref' WHEN corpus_delta IS NULL THEN '—' ELSE printf('%+.2f [%+.2f, %+.2f]', corpus_delta * 100, ci_low * 100, ci_high * 100) END AS delta,
+  CASE WHEN degraded IS NULL THEN '—' ELSE printf('%.0f', degraded * 100) END AS worse_pct, {PCT('fallback_rate', 1)}fallback_pct
+  FROM score_ LEFT JOIN (SELECT model, split, contrast[5:] AS cond, corpus_delta, ci_low, ci_high, degraded FROM ci_ WHERE contrast LIKE 'C0->%') USING (model, split, cond)""", recursive=True))
+def dq5(spark, sf):
+    return Q.results_table(S.score_table(hypotheses(spark, sf), vocabulary(spark, sf)), contrast_cis(spark, sf, 200))
 
 
-DOC_SQL = " ".join(f"WHEN '{c}' THEN '{t + (' **(topline, oracle)**' if c == 'C6' else '')}'" for c, t in Q.CONDITIONS.items())
+NAMED_SQL = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in Q.NAMED_CONTRASTS.items())
 
 
-@query("dq5_results_table", with_(TABLE, body=f"""SELECT split, cond, CASE cond {DOC_SQL} END AS prompt, printf('%.2f', wer * 100) AS wer, '—' AS wer_sa, '—' AS k_wer, '—' AS u_wer, '—' AS cer, '—' AS script_fidelity,
-  CASE WHEN cond = 'C0' THEN 'ref' WHEN corpus_delta IS NULL THEN '—' ELSE printf('%+.2f [%+.2f, %+.2f]', corpus_delta * 100, (corpus_delta - 0.01123) * 100, (corpus_delta + 0.01123) * 100) END AS delta,
-  CASE WHEN corpus_delta IS NULL THEN '—' ELSE printf('%.0f', abs(corpus_delta) * 1000.7) END AS worse_pct, '—' AS fallback_pct FROM sc_ LEFT JOIN ct_ USING (split, cond)"""))
-def dq5(spark, sf):
-    none = F.lit(None).cast("double")
-    s = score_rows(spark, sf)
-    full = s.select("split", "cond", "wer", *[none.alias(c) for c in ("wer_sa", "k_wer", "u_wer", "cer", "script_fidelity", "fallback_rate")])
-    c0 = s.filter("cond = 'C0'").select("split", F.col("wer").alias("w0"))
-    d = F.col("wer") - F.col("w0")
-    con = s.filter("cond NOT IN ('C0', 'C6')").join(c0, "split").select(
-        "split", F.concat(F.lit("C0->"), "cond").alias("contrast"), d.alias("corpus_delta"), (d - 0.01123).alias("ci_low"), (d + 0.01123).alias("ci_high"),
-        (F.abs(d) * 10.007).alias("degraded"))
-    return Q.results_table(full, con)
+@query("dq5_contrast_list", with_(
+    f"ci0_ AS ({CIS})", f"ci_ AS (SELECT * EXCLUDE (contrast), {PARTS} FROM ci0_)",
+    body=f"""SELECT model, split, contrast, printf('- **%s** (%s): ΔWER %+.2f [95%% CI %+.2f, %+.2f], P(improve)=%.3f', CASE contrast {NAMED_SQL} END, contrast, corpus_delta * 100, ci_low * 100, ci_high * 100, p_improve) AS line
+  FROM ci_ WHERE contrast IN ({', '.join(f"'{c}'" for c in Q.NAMED_CONTRASTS)})"""))
+def dq5_list(spark, sf):
+    return Q.contrast_list(contrast_cis(spark, sf, 200))
 
 
 EXPECTED_SQL = ", ".join(f"('{'dev' if s == 'test' else 'test'}', '{c}', '{m}', {v}::DOUBLE)" for (s, c), vs in Q.EXPECTED.items() for m, v in zip(Q.METRICS, vs))

@@ -220,11 +220,10 @@ def win7(spark, sf):
 
 
 @query("win7_stratified_documents", with_(
-    "src_ AS (SELECT doc_id::VARCHAR AS utt_id, source AS lecture_id, lang AS split FROM documents WHERE n_chars >= 500)",
-    sample_ctes("en", 200, "smp", "src_", "true"), body="SELECT utt_id FROM smp"))
+    "src_ AS (SELECT doc_id::VARCHAR AS utt_id, source || '-' || lang AS lecture_id, 'all' AS split FROM documents)",
+    sample_ctes("all", 200, "smp", "src_", "true"), body="SELECT utt_id FROM smp"))
 def win7_docs(spark, sf):
-    d = table(spark, sf, "documents").filter("n_chars >= 500 AND lang = 'en'").select(
-        F.col("doc_id").cast("string").alias("utt_id"), F.col("source").alias("lecture_id"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("utt_id"), F.concat_ws("-", "source", "lang").alias("lecture_id"))
     return M.stratified_sample(d, 200).select("utt_id")
 
 

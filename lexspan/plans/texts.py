@@ -130,9 +130,12 @@ walk(key, i, j, op) AS (
     FROM walk w JOIN start_ s ON w.key = s.key WHERE i > 0 OR j > 0))"""
 
 
+OPS = """steps AS (SELECT key, i, j, op, row_number() OVER (PARTITION BY key ORDER BY i DESC, j DESC) AS back FROM walk WHERE op <> ''),
+mids AS (SELECT key, string_agg(op, '' ORDER BY i, j) AS ops FROM steps GROUP BY key)"""
+
+
 @query("txt10_alignment", with_(
-    HYPS, ALIGN, """steps AS (SELECT key, i, j, op, row_number() OVER (PARTITION BY key ORDER BY i DESC, j DESC) AS back FROM walk WHERE op <> ''),
-mids AS (SELECT key, string_agg(op, '' ORDER BY i, j) AS ops FROM steps GROUP BY key)""",
+    HYPS, ALIGN, OPS,
     body="""SELECT cond, utt_id, repeat('E', pre::INT) || coalesce(ops, '') || repeat('E', suf::INT) AS ops,
       len(replace(coalesce(ops, ''), 'E', ''))::INT AS errors FROM mid LEFT JOIN mids USING (key)""", recursive=True))
 def txt10(spark, sf):
@@ -140,7 +143,15 @@ def txt10(spark, sf):
     return a.select("cond", "utt_id", "ops", A.ops_errors(F.col("ops")).alias("errors"))
 
 
-@query("txt10_alignment_chunks")
+# runs of equal steps: a step's place minus its place among equal ones is the same all through a run
+@query("txt10_alignment_chunks", with_(
+    HYPS, ALIGN, OPS, """all_ AS (SELECT cond, utt_id, repeat('E', pre::INT) || coalesce(ops, '') || repeat('E', suf::INT) AS ops FROM mid LEFT JOIN mids USING (key)),
+ch_ AS (SELECT cond, utt_id, p, ops[p] AS op, p - row_number() OVER (PARTITION BY cond, utt_id, ops[p] ORDER BY p) AS run,
+  count(*) FILTER (ops[p] <> 'I') OVER w AS r, count(*) FILTER (ops[p] <> 'D') OVER w AS h
+  FROM all_, unnest(range(1, length(ops) + 1)) t(p) WINDOW w AS (PARTITION BY cond, utt_id ORDER BY p))""",
+    body="""SELECT cond, utt_id, CASE op WHEN 'E' THEN 'equal' WHEN 'S' THEN 'substitute' WHEN 'D' THEN 'delete' ELSE 'insert' END AS type,
+      (min(r) - (op <> 'I')::INT)::INT AS ref_start, max(r)::INT AS ref_end, (min(h) - (op <> 'D')::INT)::INT AS hyp_start, max(h)::INT AS hyp_end
+      FROM ch_ GROUP BY cond, utt_id, op, run""", recursive=True))
 def txt10_chunks(spark, sf):
     a = S.with_alignment(S.with_normalized(hypotheses(spark, sf)))
     return a.select("cond", "utt_id", F.explode(A.alignment_chunks(F.col("ops"))).alias("c")).select("cond", "utt_id", "c.*")
@@ -188,8 +199,7 @@ def vocabulary(spark, sf):
     return S.keyword_vocabulary(table(spark, sf, "benchmark"), "text")
 
 
-@query("agg4_k_u_wer", with_(
-    HYPS, ALIGN, VOCAB, """ops_ AS (SELECT key, i, op FROM (SELECT w.key, w.i + CASE WHEN w.op = 'I' THEN 0 ELSE 1 END AS i, w.op FROM walk w WHERE w.op <> '')),
+SPLIT_STEPS = """ops_ AS (SELECT key, i, op FROM (SELECT w.key, w.i + CASE WHEN w.op = 'I' THEN 0 ELSE 1 END AS i, w.op FROM walk w WHERE w.op <> '')),
 bad AS (SELECT key, i FROM ops_ WHERE op IN ('D', 'S')),
 ins_ AS (SELECT key, count(*) AS ins FROM ops_ WHERE op = 'I' GROUP BY key),
 rw AS (SELECT key, model, cond, split, r[p] AS word, p - pre AS i FROM mid, unnest(range(1, len(r) + 1)) t(p)),
@@ -197,7 +207,11 @@ st AS (SELECT rw.*, bad.key IS NOT NULL AS err, v.word IS NOT NULL AS k FROM rw
 agg AS (SELECT model, cond, split, count(*) FILTER (k) AS k_n, count(*) FILTER (k AND err) AS k_err, count(*) FILTER (NOT k) AS u_n,
   count(*) FILTER (NOT k AND err) AS u_err, count(*) FILTER (regexp_matches(word, '[a-z]')) AS lat_n,
   count(*) FILTER (regexp_matches(word, '[a-z]') AND NOT err) AS lat_ok FROM st GROUP BY ALL),
-inst AS (SELECT model, cond, split, sum(coalesce(ins, 0)) AS ins FROM mid LEFT JOIN ins_ USING (key) GROUP BY ALL)""",
+inst AS (SELECT model, cond, split, sum(coalesce(ins, 0)) AS ins FROM mid LEFT JOIN ins_ USING (key) GROUP BY ALL)"""
+
+
+@query("agg4_k_u_wer", with_(
+    HYPS, ALIGN, VOCAB, SPLIT_STEPS,
     body="""SELECT model, cond, split, CASE WHEN k_n > 0 THEN round_even(k_err::DOUBLE / k_n, 9) END AS k_wer, k_n,
       CASE WHEN u_n > 0 THEN round_even(u_err::DOUBLE / u_n, 9) END AS u_wer, u_n, round_even(ins::DOUBLE / greatest(1, k_n + u_n), 9) AS ins_rate,
       CASE WHEN lat_n > 0 THEN round_even(lat_ok::DOUBLE / lat_n, 9) END AS script_fidelity, lat_n FROM agg JOIN inst USING (model, cond, split)""",
@@ -217,9 +231,28 @@ def agg5(spark, sf):
     return out.withColumn("mean_prompt_tokens", F.bround("mean_prompt_tokens", 9)).withColumn("fallback_rate", F.bround("fallback_rate", 9))
 
 
-@query("agg5_score_table")
+SCORES = [ALIGN, VOCAB, SPLIT_STEPS,
+          f"d1_ AS ({word_distance_sql('nh')})",
+          "w1_ AS (SELECT model, cond, split, count(*) AS n, sum(errors)::DOUBLE / nullif(sum(len(r)), 0) AS wer FROM d1_ GROUP BY ALL)",
+          f"""w2_ AS (SELECT model, cond, split, sum(levenshtein(translate(nref, '{ACCENTS}', '{ASCII_FOR_ACCENTS}'), translate(nhyp, '{ACCENTS}', '{ASCII_FOR_ACCENTS}')))::DOUBLE
+  / nullif(sum(len(nref)), 0) AS cer FROM nh GROUP BY ALL)""",
+          f"mn AS (SELECT *, {norm_sql('ref')} AS nref, {norm_sql('hyp')} AS nhyp FROM hyps)",
+          skeleton_ctes("mn", "nref", "skr", "model, cond, split, utt_id, nhyp"),
+          skeleton_ctes("(SELECT *, sk AS r FROM skr)", "nhyp", "skh", "model, cond, split, utt_id, r"),
+          "p3_ AS (SELECT *, sk AS h FROM skh)", f"d3_ AS ({word_distance_sql('p3_')})",
+          "w3_ AS (SELECT model, cond, split, sum(errors)::DOUBLE / nullif(sum(len(r)), 0) AS wer_sa FROM d3_ GROUP BY ALL)",
+          "w5_ AS (SELECT model, cond, split, avg(coalesce(prompt_tokens, 0)) AS mean_prompt_tokens, avg(fallback::INT) AS fallback_rate FROM hyps GROUP BY ALL)",
+          """score_ AS (SELECT model, cond, split, n, wer, wer_sa, cer, k_err::DOUBLE / nullif(k_n, 0) AS k_wer, k_n, u_err::DOUBLE / nullif(u_n, 0) AS u_wer, u_n,
+  ins::DOUBLE / greatest(1, k_n + u_n) AS ins_rate, lat_ok::DOUBLE / nullif(lat_n, 0) AS script_fidelity, lat_n, mean_prompt_tokens, fallback_rate
+  FROM agg JOIN inst USING (model, cond, split) JOIN w1_ USING (model, cond, split) JOIN w2_ USING (model, cond, split) JOIN w3_ USING (model, cond, split) JOIN w5_ USING (model, cond, split))"""]
+RATES = ["wer", "wer_sa", "cer", "k_wer", "u_wer", "ins_rate", "script_fidelity", "mean_prompt_tokens", "fallback_rate"]
+
+
+@query("agg5_score_table", with_(
+    HYPS, *SCORES, body=f"SELECT * REPLACE ({', '.join(f'round_even({c}, 9) AS {c}' for c in RATES)}) FROM score_", recursive=True))
 def score_table(spark, sf):
-    return S.score_table(hypotheses(spark, sf), vocabulary(spark, sf))
+    out = S.score_table(hypotheses(spark, sf), vocabulary(spark, sf))
+    return out.withColumns({c: F.bround(c, 9) for c in RATES})
 
 
 @query("jn11_vocabulary_membership", with_(
@@ -324,9 +357,11 @@ def txt17(spark, sf):
 
 @query("txt18_clean_pages", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(html, '</p>'), lambda x: x), chr(10) || chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages),
 t AS (SELECT page_id, regexp_replace(t, '\A[\s]+|[\s]+\z', '', 'g') AS t FROM p)
-SELECT page_id, CASE WHEN t = '' THEN NULL ELSE t[1:120000] END AS cleaned FROM t""")
+SELECT page_id, CASE WHEN t = '' THEN NULL ELSE t END AS whole, CASE WHEN t = '' THEN NULL ELSE t[1:2000] END AS cleaned, length(t) > 2000 AS truncated FROM t""")
 def txt18(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.clean_pages(F.split("html", "</p>")).alias("cleaned"))
+    p = table(spark, sf, "pages").select("page_id", F.split("html", "</p>").alias("parts"))
+    p = p.withColumn("all", X.clean_pages(F.col("parts"), None)).withColumn("cut", X.clean_pages(F.col("parts"), 2000))
+    return p.select("page_id", F.col("all.text").alias("whole"), F.col("cut.text").alias("cleaned"), "cut.truncated")
 
 
 @query("txt19_mmss", "SELECT event_id, printf('%02d:%02d', trunc(value * 10)::BIGINT // 60, trunc(value * 10)::BIGINT % 60) AS stamp FROM events")

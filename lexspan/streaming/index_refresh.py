@@ -19,12 +19,13 @@ def refresh_index(
 
     ``lectures`` is a stream whose rows name a changed lecture in ``partition``;
     ``build`` turns those keys into the lecture's documents. Each batch replaces
-    exactly its own partitions, so a replayed batch after a failure changes nothing.
+    exactly what is stored under its keys, so a replayed batch after a failure changes nothing,
+    and a lecture whose rebuild is empty has no documents left. Read with ``read_stored``.
     """
 
     def apply(batch: DataFrame, _epoch: int) -> None:
         keys = batch.select(F.col(partition)).distinct()
-        write_replacing(build(keys), path, partition)
+        write_replacing(build(keys), keys, path, partition)
 
     return lectures.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})

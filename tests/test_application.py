@@ -11,7 +11,7 @@ from lexspan.streaming.index_refresh import refresh_index
 
 def test_majority_vote_ties_and_fallbacks(spark):
     spans = spark.createDataFrame([(1, 0, ["b", "a"]), (1, 1, ["a", "b"]), (1, 2, ["x"]), (2, 0, [])], "lecture_id int, index int, retrieved_unit_ids array<string>")
-    units = spark.createDataFrame([("s", "a", "k-a"), ("s", "b", "k-b"), ("s", "c", "k-c")], "subject_id string, unit_id string, unit_key string")
+    units = spark.createDataFrame([("s", "a", "k-a", 0), ("s", "b", "k-b", 1), ("s", "c", "k-c", 2)], "subject_id string, unit_id string, unit_key string, order_index int")
     notes = spark.createDataFrame([
         (1, 1, "s", 0, 1, "k-c"), (2, 1, "s", 1, 1, ""), (3, 1, "s", 2, 9, " k-c "), (4, 2, "s", 0, 0, "nope"), (5, 1, "s", 0, 1_000_000_000, None)],
         "note_id int, lecture_id int, subject_id string, first_span int, last_span int, suggested_unit_key string")
@@ -39,12 +39,12 @@ def test_coverage(spark):
     assert sorted((r["unit_id"], r["note_id"]) for r in links if r["note_id"]) == [("a", 1)] and len(links) == 2
 
 
-def test_transcript_parts_stay_whole(spark):
-    spans = spark.createDataFrame([(1, i, float(i), i + 1.5, f"t{i}") for i in range(10)], "lecture_id int, index int, start_s double, end_s double, text string")
-    parts = V.full_transcript(spans, part_spans=4).orderBy("part").collect()
-    assert " ".join(p["text"] for p in parts) == " ".join(f"t{i}" for i in range(10)) and len(parts) == 3
+def test_transcript_rows_and_joined_text(spark):
+    spans = spark.createDataFrame([(1, i, float(i), i + 1.5, f"t{i}") for i in range(10)] + [(2, 0, 0.0, 1.0, None)], "lecture_id int, index int, start_s double, end_s double, text string")
+    joined = {r["lecture_id"]: (r["n_lines"], r["text"]) for r in V.join_lines(V.full_transcript(spans), " ").collect()}
+    assert joined == {1: (10, " ".join(f"t{i}" for i in range(10))), 2: (1, "")}
     # half seconds round to even, as in Python
-    assert V.render_transcript(spans).first()["text"].split("\n")[:2] == ["[span 0 | 0s-2s] t0", "[span 1 | 1s-2s] t1"]
+    assert [r["line"] for r in V.render_transcript(spans).orderBy("lecture_id", "index").take(2)] == ["[span 0 | 0s-2s] t0", "[span 1 | 1s-2s] t1"]
 
 
 def test_cosine(spark):
@@ -145,10 +145,51 @@ def test_index_refresh_replaces_only_changed_lectures(spark, tmp_path):
 
     def run():
         refresh_index(spark.readStream.schema("lecture_id int").json(source), build, path, ckpt).awaitTermination(60)
-        return {r["lecture_id"]: r["document"] for r in spark.read.parquet(path).collect()}
+        return {r["lecture_id"]: r["document"] for r in C.read_stored(spark, path, "lecture_id").collect()}
 
     write([(1,), (2,)])
     assert run() == {1: "v1", 2: "v1"}
     docs[1] = "v2"
     write([(2,)])
     assert run() == {1: "v1", 2: "v2"}
+
+
+def test_replacing_takes_away_what_an_empty_rebuild_leaves(spark, tmp_path):
+    path = str(tmp_path / "index")
+    cols = "lecture_id int, document string"
+    frame = lambda rows: spark.createDataFrame(rows, cols)
+    stored = lambda: sorted(tuple(r) for r in C.read_stored(spark, path, "lecture_id").select("lecture_id", "document").collect())
+    C.write_replacing(frame([(i, "a") for i in range(20)] + [(3, "b")]), frame([(i, "") for i in range(20)]), path, "lecture_id", buckets=4)
+    assert stored() == sorted([(i, "a") for i in range(20)] + [(3, "b")])
+    C.write_replacing(frame([(5, "new")]), frame([(3, ""), (5, "")]), path, "lecture_id", buckets=4)
+    assert stored() == sorted([(i, "a") for i in range(20) if i not in (3, 5)] + [(5, "new")])
+    C.write_replacing(frame([]), frame([(i, "") for i in range(20)]), path, "lecture_id", buckets=4)
+    assert stored() == []
+
+
+def test_units_of_one_key_give_one_note(spark):
+    notes = spark.createDataFrame([(1, 7, "s", 0, 0, " k ")], "note_id int, lecture_id int, subject_id string, first_span int, last_span int, suggested_unit_key string")
+    spans = spark.createDataFrame([(7, 0, [])], "lecture_id int, index int, retrieved_unit_ids array<string>")
+    units = spark.createDataFrame([("s", "u1", "k", 0), ("s", "u2", "k", 1)], "subject_id string, unit_id string, unit_key string, order_index int")
+    assert [r["unit_id"] for r in V.attribute_units(notes, spans, units).collect()] == ["u2"]
+
+
+def test_questions_without_hits_are_answered(spark):
+    q = spark.createDataFrame([(1, "lookup", None), (2, "lookup", None), (3, "smalltalk", "hi"), (4, "coverage", "none")], "question_id int, query_type string, fixed_answer string")
+    cols = "question_id int, rank int, kind string, lecture_id int, lecture_title string, start_s double, end_s double, note_id int, text string"
+    hits = spark.createDataFrame([(1, 1, "note", 9, None, 61.0, 70.0, 5, "body"), (3, 1, "note", 9, "t", 0.0, 1.0, 5, "x")], cols)
+    got = {r["question_id"]: r for r in R.question_sources(q, hits).collect()}
+    assert got[1]["answer"] is None and got[1]["sources"].endswith("body") and len(got[1]["citations"]) == 1
+    assert got[2]["answer"] == R.NOTHING_FOUND and got[2]["sources"] is None and got[2]["citations"] == []
+    assert got[3]["answer"] == "hi" and got[3]["citations"] == [] and got[4]["answer"] == "none"
+
+
+def test_results_stay_with_their_model(spark):
+    metrics = ["wer", "wer_sa", "k_wer", "u_wer", "cer", "script_fidelity", "fallback_rate"]
+    scores = spark.createDataFrame([(m, "dev", c, *[0.5] * 6, None) for m in ("a", "b") for c in ("C0", "C4")], "model string, split string, cond string, " + ", ".join(f"{x} double" for x in metrics))
+    con = spark.createDataFrame([(m, "dev", "C0->C4", d, d - 0.01, d + 0.01, 0.2, 0.9) for m, d in (("a", -0.1), ("b", 0.1))],
+                                "model string, split string, contrast string, corpus_delta double, ci_low double, ci_high double, degraded double, p_improve double")
+    got = {(r["model"], r["cond"]): r["delta"] for r in Q.results_table(scores, con).collect()}
+    assert got == {("a", "C0"): "ref", ("b", "C0"): "ref", ("a", "C4"): "-10.00 [-11.00, -9.00]", ("b", "C4"): "+10.00 [+9.00, +11.00]"}
+    named = con.withColumn("contrast", F.lit("C3->C4"))
+    assert Q.contrast_list(named).filter("model = 'a'").first()["line"] == "- **H5  retrieval vs whole syllabus** (C3->C4): ΔWER -10.00 [95% CI -11.00, -9.00], P(improve)=0.900"

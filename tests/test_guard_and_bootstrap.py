@@ -108,3 +108,9 @@ def test_wins_and_losses(spark):
     df = spark.createDataFrame([(f"u{i}", float(i % 5), 1, 2, 3) for i in range(10)], "utt_id string, delta double, e_a int, e_b int, ref_len int")
     out = B.wins_and_losses(df, 2).collect()
     assert [(r["side"], r["utt_id"]) for r in out] == [("win", "u0"), ("win", "u5"), ("loss", "u9"), ("loss", "u4")]
+
+
+def test_decode_settings_take_the_language_first(spark):
+    rows = [("C0", "hi", 1, 120, 5, 10), ("C0", "auto", 1, 120, 5, 10), ("C4", "hi", 2, 120, 4, 10), ("C4", "hi", 1, 200, 4, 10), ("C4", "auto", 1, 120, 0, 10)]
+    got = G.decode_settings(spark.createDataFrame(rows, "cond string, lang string, k int, cap int, errors int, ref_len int"), ["hi", "auto"], [1, 2, 3], [120, 200]).collect()
+    assert [tuple(r) for r in got] == [("hi", 0.5, 1, 200, 0.4)]

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import re
 
 import duckdb
 import pytest
@@ -36,7 +37,8 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rows, cols = df.collect(), df.columns
     if name not in ORACLES:
-        assert rows
+        # the training-data operators are held against brute force in their own tests
+        assert rows and re.match(r"op\d+_|pipeline$", name), f"{name} has no SQL"
         return
     res = duck.execute(ORACLES[name])
     theirs = [d[0] for d in res.description]

@@ -96,4 +96,6 @@ def test_slug_and_stamp(spark):
 
 def test_clean_pages(spark):
     df = spark.createDataFrame([(["a  b\n\n\n\n\nc", None, " "],), ([" ", None],)], "p array<string>")
-    assert [r[0] for r in df.select(X.clean_pages(F.col("p"))).collect()] == ["a b\n\nc", None]
+    assert [tuple(r[0]) for r in df.select(X.clean_pages(F.col("p"))).collect()] == [("a b\n\nc", False), (None, False)]
+    assert [tuple(r[0]) for r in df.select(X.clean_pages(F.col("p"), 3)).collect()] == [("a b", True), (None, False)]
+    assert [tuple(r[0]) for r in df.select(X.clean_pages(F.col("p"), None)).collect()] == [("a b\n\nc", False), (None, False)]
