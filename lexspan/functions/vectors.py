@@ -1,26 +1,16 @@
-"""Vector expressions over ``array<float>`` columns."""
+"""Products of blocks of vectors."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cosine similarity of two vector columns, one block product per Arrow batch.
+def cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Cosine of every vector of ``a`` with every one of ``b``, all of one size; NaN where one has no length."""
+    def unit(v: pd.Series) -> np.ndarray:
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in v])
+        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+        return np.divide(m, norm[:, None], out=np.full_like(m, np.nan), where=norm[:, None] > 0)
 
-    NULL where either side is missing or has no length."""
-    out = np.full(len(a), np.nan)
-    ok = np.array([x is not None and y is not None and len(x) == len(y) for x, y in zip(a, b)], dtype=bool)
-    dims = np.array([len(x) if k else -1 for x, k in zip(a, ok)])
-    for d in np.unique(dims[ok]) if ok.any() else []:
-        at = np.flatnonzero(dims == d)
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in a.iloc[at]])
-        y = np.stack([np.asarray(v, dtype=np.float64) for v in b.iloc[at]])
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-        dot = np.einsum("ij,ij->i", x, y)
-        out[at] = np.divide(dot, norm, out=np.full(len(at), np.nan), where=norm > 0)
-    return pd.Series(out).astype("float64").where(~np.isnan(out), None)
+    return unit(a) @ unit(b).T

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import is_blank, mmss, strip
-from lexspan.functions.vectors import cosine
+from lexspan.functions.vectors import cosines
 from lexspan.operators.ordered import first_n
 
 # fixed values
@@ -18,22 +20,73 @@ NOTHING_FOUND = ("I couldn't find anything about that in your lectures for this
 # end of fixed values
 
 
+# A subject with many questions or items is cut into cells of about this many of each.
+CELL_QUESTIONS, CELL_ITEMS = 1_000, 4_000
+
+
+def _best_in_cells(questions: DataFrame, items: DataFrame, ks: dict[bool, int] | None, k: int) -> DataFrame:
+    """Candidates (question_id, id, score, side) for each question's best items inside its scope.
+
+    Questions and items of a subject are dealt into blocks by their ids, and every pair of blocks is a cell: one matrix
+    product per cell, of which only each question's best rows leave, so neither a large subject nor its
+    vectors pass through one task. ``ks``: how many of the items whose kind is the wanted one (True) and of
+    the others (False) a question may need; otherwise ``k`` of all. An item without a vector, or with one of another size,
+    has a NULL score and comes last.
+    """
+    n_q = questions.groupBy("subject_id").agg(F.ceil(F.count(F.lit(1)) / CELL_QUESTIONS).alias("q_cells"))
+    n_i = items.groupBy("subject_id").agg(F.ceil(F.count(F.lit(1)) / CELL_ITEMS).alias("i_cells"))
+    cells = n_q.join(n_i, "subject_id")
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    wants = F.col("wants_notes") if ks else F.lit(True)
+    is_note = F.col("kind") == "note" if ks else F.lit(True)
+    q = questions.join(cells, "subject_id").select("subject_id", block("question_id", "q_cells").alias("qb"), copies("i_cells").alias("ib"),
+                                                   "question_id", F.col("lecture_id").alias("only_lecture"), "vector", wants.alias("wants"))
+    i = items.join(cells, "subject_id").select("subject_id", copies("q_cells").alias("qb"), block("id", "i_cells").alias("ib"), "id", "lecture_id", "embedding", is_note.alias("is_note"))
+
+    def search(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        order = np.argsort(its["id"].to_numpy(), kind="stable")
+        its = its.iloc[order]
+        for size in {len(v) for v in qs["vector"] if v is not None} | {-1}:
+            mine = qs[np.array([(len(v) if v is not None else -1) == size for v in qs["vector"]], bool)]
+            fit = np.array([v is not None and len(v) == size for v in its["embedding"]], bool)
+            scores = np.full((len(mine), len(its)), np.nan)
+            if size > 0 and fit.any():
+                scores[:, fit] = cosines(mine["vector"], its["embedding"][fit])
+            ranked = np.where(np.isnan(scores), -2.0, np.round(scores, SCORE_DIGITS))
+            for row, (name, only, wanted) in enumerate(zip(mine["question_id"], mine["only_lecture"], mine["wants"])):
+                inside = np.ones(len(its), bool) if pd.isna(only) else (its["lecture_id"] == only).to_numpy()
+                for side in (True, False):
+                    at = np.flatnonzero(inside & ((its["is_note"].to_numpy() == wanted) == side))
+                    at = at[np.argsort(-ranked[row, at], kind="stable")[: (ks or {True: k, False: 0})[side]]]
+                    if len(at):
+                        parts.append(pd.DataFrame({"question_id": name, "id": its["id"].to_numpy()[at], "score": scores[row, at], "primary": side}))
+        if not parts:
+            return pd.DataFrame(columns=["question_id", "id", "score", "primary"])
+        out = pd.concat(parts)
+        return out.assign(score=out["score"].astype(object).where(out["score"].notna(), None))
+
+    types = {f.name: f.dataType.simpleString() for df in (questions, items) for f in df.schema}
+    keys = ["subject_id", "qb", "ib"]
+    found = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(search, f"question_id {types['question_id']}, id {types['id']}, score double, primary boolean")
+    return found.withColumn("score", F.bround("score", SCORE_DIGITS))
+
+
+def _with_items(hits: DataFrame, questions: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits, at most k for each question, with what else their items carry."""
+    return hits.join(items.drop("embedding"), "id").join(questions.select("question_id", "subject_id"), ["question_id", "subject_id"])
+
+
 def vector_top_k(questions: DataFrame, items: DataFrame, k: int = TOP_K) -> DataFrame:
     """The ``k`` most similar items of every question inside its scope.
 
     ``questions``: question_id, subject_id, lecture_id (NULL for the whole
     subject), vector. ``items``: id, subject_id, lecture_id, embedding, and
-    whatever else should be returned. The scope is an equi-join; each map task
-    keeps only its best k per question before anything is shuffled for ranking.
+    whatever else should be returned. Ids are unique.
     """
-    q = questions.select("question_id", "subject_id", F.col("lecture_id").alias("only_lecture"), "vector")
-    scoped = q.join(items, "subject_id").filter(
-        F.col("only_lecture").isNull() | (F.col("only_lecture") == F.col("lecture_id"))
-    )
-    scored = scoped.withColumn("score", F.bround(cosine("vector", "embedding"), SCORE_DIGITS)).drop(
-        "vector", "embedding", "only_lecture"
-    )
-    return first_n(scored, ["question_id"], [F.desc_nulls_last("score"), F.col("id")], k)
+    best = first_n(_best_in_cells(questions, items, None, k).drop("primary"), ["question_id"], [F.desc_nulls_last("score"), F.col("id")], k)
+    return _with_items(best, questions, items)
 
 
 def merge_sources(primary: DataFrame, secondary: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -51,19 +104,14 @@ def gather(questions: DataFrame, items: DataFrame, top_k: int = TOP_K, secondary
     kind ('note' or 'span'). Both collections are scored in one pass; a hit of
     the secondary collection survives only within its own smaller top.
     """
-    q = questions.select("question_id", "subject_id", F.col("lecture_id").alias("only_lecture"), "vector", "wants_notes")
-    scored = (
-        q.join(items, "subject_id")
-        .filter(F.col("only_lecture").isNull() | (F.col("only_lecture") == F.col("lecture_id")))
-        .withColumn("score", F.bround(cosine("vector", "embedding"), SCORE_DIGITS))
-        .drop("vector", "embedding", "only_lecture")
-        .withColumn("source", F.when((F.col("kind") == "note") == F.col("wants_notes"), 0).otherwise(1))
-    )
+    found = _best_in_cells(questions, items, {True: top_k, False: secondary_k}, 0)
+    scored = found.select("question_id", "id", "score", F.when(F.col("primary"), 0).otherwise(1).alias("source"))
     per_side = first_n(scored, ["question_id", "source"], [F.desc_nulls_last("score"), F.col("id")],
                        max(top_k, secondary_k), "source_rank")
     inside = F.col("source_rank") <= F.when(F.col("source") == 0, top_k).otherwise(secondary_k)
-    return first_n(per_side.filter(inside), ["question_id"],
+    kept = first_n(per_side.filter(inside), ["question_id"],
                    [F.desc(F.coalesce("score", F.lit(0.0))), F.col("source"), F.col("source_rank")], keep)
+    return _with_items(kept, questions, items)
 
 
 def resolve_hints(questions: DataFrame, lectures: DataFrame) -> DataFrame:

@@ -287,11 +287,9 @@ VECTORS = """items AS (
     CASE WHEN vec_id % 5 <> 0 THEN 'Lecture ' || (vec_id % 7) END AS lecture_title, CASE WHEN vec_id % 11 <> 0 THEN vec_id * 3.0::DOUBLE END AS start_s,
     vec_id * 3.0::DOUBLE + 25 AS end_s, CASE WHEN vec_id % 3 = 0 THEN vec_id END AS note_id, 'text of ' || vec_id AS text, embedding::DOUBLE[] AS embedding
   FROM embeddings),
-dims_ AS (SELECT label, d, avg(embedding[d]::DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(d) GROUP BY label, d),
 questions AS (
-  SELECT label AS question_id, label AS subject_id, CASE WHEN label % 4 = 3 THEN (label % 7)::BIGINT END AS only_lecture,
-    label % 2 = 1 AS wants_notes, list(x ORDER BY d) AS vector
-  FROM dims_ GROUP BY label)"""
+  SELECT vec_id AS question_id, label AS subject_id, CASE WHEN vec_id % 4 = 3 THEN vec_id % 7 END AS only_lecture,
+    vec_id % 2 = 1 AS wants_notes, embedding::DOUBLE[] AS vector FROM embeddings)"""
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,13 +303,11 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """One question per label, asked with the mean vector of the label."""
-    e = table(spark, sf, "embeddings")
-    dims = e.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    lab = F.col("label")
-    return dims.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("m")).select(
-        lab.alias("question_id"), lab.alias("subject_id"), F.when(lab % 4 == 3, (lab % 7).cast("long")).alias("lecture_id"),
-        (lab % 2 == 1).alias("wants_notes"), F.transform("m", lambda s: s["x"]).alias("vector"))
+    """Every item asks, with its own vector."""
+    v = F.col("vec_id")
+    return table(spark, sf, "embeddings").select(
+        v.alias("question_id"), F.col("label").alias("subject_id"), F.when(v % 4 == 3, v % 7).alias("lecture_id"),
+        (v % 2 == 1).alias("wants_notes"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 # --- mixed-script text ------------------------------------------------------------------

@@ -1,7 +1,9 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.functions.vectors import cosine
+from lexspan.functions.vectors import cosines
 from lexspan.operators import catalog as C
 from lexspan.operators import citations as R
 from lexspan.operators import coverage as V
@@ -47,10 +49,37 @@ def test_transcript_rows_and_joined_text(spark):
     assert [r["line"] for r in V.render_transcript(spans).orderBy("lecture_id", "index").take(2)] == ["[span 0 | 0s-2s] t0", "[span 1 | 1s-2s] t1"]
 
 
-def test_cosine(spark):
-    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0])], "a array<double>, b array<double>")
-    got = [r[0] for r in df.select(cosine("a", "b")).collect()]
-    assert got[0] == pytest.approx(0.5**0.5) and got[1:] == [None, None]
+def test_cosines():
+    got = cosines(pd.Series([[1.0, 0.0], [0.0, 0.0]]), pd.Series([[1.0, 1.0], [2.0, 0.0]]))
+    assert got[0].tolist() == pytest.approx([0.5**0.5, 1.0]) and np.isnan(got[1]).all()
+
+
+@pytest.mark.parametrize("cell", [4_000, 3])
+def test_vector_search_in_cells(spark, monkeypatch, cell):
+    """Cells of any size give the same rows; missing and odd vectors come last, a scope without items gives none."""
+    monkeypatch.setattr(R, "CELL_ITEMS", cell)
+    monkeypatch.setattr(R, "CELL_QUESTIONS", max(1, cell // 2))
+    rng = np.random.default_rng(4)
+    vec = lambda: [float(x) for x in rng.normal(size=4)]
+    rows = [(i, "s", i % 3, "note" if i % 2 else "span", vec()) for i in range(30)] + [(30, "s", 0, "note", None), (31, "s", 0, "note", [0.0] * 4), (32, "t", 0, "note", [1.0])]
+    asks = [(1, "s", None, vec(), True), (2, "s", 1, vec(), True), (3, "s", 9, vec(), True), (4, "t", None, vec(), False), (5, "none", None, vec(), True), (6, "s", 0, None, True)]
+    items = spark.createDataFrame(rows, "id int, subject_id string, lecture_id int, kind string, embedding array<double>")
+    q = spark.createDataFrame(asks, "question_id int, subject_id string, lecture_id int, vector array<double>, wants_notes boolean")
+
+    def brute(ask):
+        def score(v):
+            if v is None or ask[3] is None or len(v) != len(ask[3]) or not any(v):
+                return None
+            a, b = np.array(v), np.array(ask[3])
+            return round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9)
+
+        found = [(score(r[4]), r[0]) for r in rows if r[1] == ask[1] and ask[2] in (None, r[2])]
+        return [i for s, i in sorted(found, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:12]]
+
+    got = {}
+    for r in sorted(R.vector_top_k(q, items).collect(), key=lambda r: (r["question_id"], r["rank"])):
+        got.setdefault(r["question_id"], []).append(r["id"])
+    assert got == {a[0]: brute(a) for a in asks if brute(a)}
 
 
 def test_merge_equals_two_searches(spark):
