@@ -44,7 +44,7 @@ def _of_word(word: str) -> tuple[int, ...]:
 
 @cache
 def _words() -> Memory:
-    return Memory(_of_word, 200_000)
+    return Memory(_of_word, 100_000)
 
 
 def features(text: str | None) -> np.ndarray:

@@ -82,7 +82,7 @@ class Transducer:
         self.bytes_of = {i: as_bytes(t) for t, i in ids.items() if t not in self.special} | {i: t.encode() for t, i in self.special.items()}
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = Memory(self.piece, 250_000)
+        self.pieces = Memory(self.piece, 150_000)
 
     def merged(self, raw: bytes) -> list[int]:
         """The tokens of bytes that are taken as a whole: the lowest rank first, from the left."""
@@ -156,7 +156,7 @@ def _of(vocabulary: str) -> tuple[Transducer, Memory, Memory]:
     """One transducer in each Python worker, with its memories of units as they are and after a space, kept over tasks."""
     t = Transducer(vocabulary)
     both = lambda ids: (",".join(map(str, ids)), array("I", ids).tobytes())
-    return t, Memory(lambda x: both(t.encode(x)), 30_000), Memory(lambda x: both(t.encode_spaced(x)), 250_000)
+    return t, Memory(lambda x: both(t.encode(x)), 20_000), Memory(lambda x: both(t.encode_spaced(x)), 150_000)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
