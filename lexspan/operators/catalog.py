@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.session import durable
@@ -145,6 +145,12 @@ def unit_keys(prefix: Column, order_index: Column) -> Column:
     return F.format_string("%s-u%02d", F.substring(prefix, 1, 12), order_index)
 
 
+def number_units(units: DataFrame, parent: str, order: list[str], prefix: Column) -> DataFrame:
+    """Units with their key: the place among the parent's units. A syllabus holds a handful of units, one window is enough."""
+    place = F.row_number().over(Window.partitionBy(parent).orderBy(*order))
+    return units.withColumn("unit_key", unit_keys(prefix, place))
+
+
 def parse_iso(c: Column) -> tuple[Column, Column]:
     """(timestamp, rejected): ISO-8601 date or date-time, invalid text rejected."""
     iso = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$")

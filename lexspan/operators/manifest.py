@@ -190,3 +190,18 @@ def validate_mapping(manifest: DataFrame, mapping: DataFrame, rules: list[tuple[
         "lecture_id", "course_id", "eval_utts", F.col("explicit").alias("mapped"),
         F.col("__have").isNotNull().alias("has_syllabus"),
     )
+
+
+def course_totals(validated: DataFrame) -> DataFrame:
+    """Evaluated utterances and lectures of each course, from ``validate_mapping``."""
+    return validated.groupBy("course_id").agg(F.sum("eval_utts").alias("eval_utts"), F.count(F.lit(1)).alias("n_lectures"))
+
+
+def mapping_complete(validated: DataFrame, courses: DataFrame, least: int = 2) -> DataFrame:
+    """One row: lectures, courses, syllabi, and whether every lecture is mapped to a course with a syllabus and
+    there are the ``least`` syllabi that a mismatched control needs."""
+    have = courses.agg(F.countDistinct("course_id").alias("n_syllabi"))
+    per = validated.groupBy("course_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("mapped") & F.col("has_syllabus")).alias("ok"))
+    one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lectures"), F.count(F.lit(1)).alias("n_courses"), F.coalesce(F.min("ok"), F.lit(True)).alias("ok"))
+    n = have.scalar()
+    return one.select("n_lectures", "n_courses", n.alias("n_syllabi"), (F.col("ok") & (n >= least)).alias("complete"))

@@ -12,6 +12,10 @@ from lexspan.functions.text import norm_words, normalize, script_of, with_script
 
 GROUP = ["model", "cond", "split"]
 
+# decimal digits of all scripts, and what else counts as a digit: superscripts, subscripts, circled and bracketed ones, and a few scripts' own
+DIGIT = ("[\\p{Nd}\u00b2\u00b3\u00b9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468\u2474-\u247c\u2488-\u2490"
+         "\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792]")
+
 
 def with_normalized(pairs: DataFrame, compose: bool = True) -> DataFrame:
     """Add nref and nhyp."""
@@ -62,6 +66,15 @@ def keyword_vocabulary(keywords: DataFrame, column: str = "keyword", compose: bo
     return keywords.select(F.explode(norm_words(normalize(F.col(column), compose))).alias("word")).distinct()
 
 
+def vocabulary_membership(texts: DataFrame, vocabulary: DataFrame, key: str, column: str) -> DataFrame:
+    """How many normalised words of each text are in the vocabulary, and how many are not; a text without words gives no row."""
+    words = texts.select(key, F.explode(norm_words(normalize(F.col(column)))).alias("word"))
+    words = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    known = vocabulary.select("word").distinct().withColumn("__k", F.lit(1))
+    k = F.coalesce(F.sum(F.when(F.col("__k") == 1, F.col("n"))), F.lit(0))
+    return words.join(known, "word", "left").groupBy(key).agg(k.alias("k_words"), (F.sum("n") - k).alias("u_words"))
+
+
 def with_alignment(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ops", alignment_ops("nref", "nhyp"))
 
@@ -181,7 +194,7 @@ def text_profile(rows: DataFrame, column: str, compose: bool = True) -> DataFram
     share = lambda k: F.avg(F.when(F.col("total") > 0, F.col(k) / F.col("total")).otherwise(0.0))
     return with_script_counts(rows.select(column), F.col(column), compose).agg(
         F.count(F.lit(1)).alias("n"), *[share(k).alias(k) for k in ("dev", "lat", "other")],
-        F.sum(F.col(column).rlike(r"\p{Nd}").cast("int")).alias("with_digits"),
+        F.sum(F.col(column).rlike(DIGIT).cast("int")).alias("with_digits"),
     )
 
 

@@ -163,10 +163,12 @@ def pack_segments(
 
 
 # --- overlapping chunks ---------------------------------------------------------
-def overlapping_chunks(spans: DataFrame, index_block: int = 4096) -> DataFrame:
+def overlapping_chunks(spans: DataFrame, lectures: DataFrame | None = None, index_block: int = 4096) -> DataFrame:
     """Windows of 3 spans every 2 by position; blank windows are skipped.
 
-    Input: lecture_id, index, start_s, end_s, text (other columns are ignored).
+    Input: lecture_id, index, start_s, end_s, text (other columns are ignored). With ``lectures``
+    (lecture_id, subject_id, lecture_title) a chunk also has its kind, subject and lecture title, as
+    a search within a subject needs.
     A span belongs to the window starting at its own even position and, when the
     position is even, to the one before, so windows form by grouping.
     """
@@ -180,7 +182,7 @@ def overlapping_chunks(spans: DataFrame, index_block: int = 4096) -> DataFrame:
         lambda s: s.isNotNull() & ((s == 0) | (s + 1 < F.col("n"))),
     )
     member = F.array_sort(F.collect_list(F.struct("p", "index", "text")))
-    return (
+    chunks = (
         rows.withColumn("w", F.explode(starts))
         .groupBy("lecture_id", "w")
         .agg(
@@ -197,6 +199,10 @@ def overlapping_chunks(spans: DataFrame, index_block: int = 4096) -> DataFrame:
         )
         .filter(F.col("document") != "")
     )
+    if lectures is None:
+        return chunks
+    of = lectures.select("lecture_id", "subject_id", "lecture_title")
+    return chunks.join(of, "lecture_id", "left").withColumn("kind", F.lit("span"))
 
 
 def span_checks(spans: DataFrame, durations: DataFrame, index_block: int = 4096,

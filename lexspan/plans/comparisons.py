@@ -9,7 +9,7 @@ from lexspan.operators import guard as G
 from lexspan.operators import quality as Q
 from lexspan.operators import scoring as S
 from lexspan.plans.base import (
-    HYPS, hypotheses, nhyps_sql, query, table, tokens_sql, with_, word_distance_sql, words_sql,
+    HYPS, hypotheses, nhyps_sql, norm_sql, query, table, tokens_sql, with_, word_distance_sql, words_sql,
 )
 from lexspan.plans.texts import SCORES, vocabulary
 
@@ -79,7 +79,7 @@ def prj2(spark, sf):
 
 @query("agg8_lecture_stats", with_(SPAN_PASSES, f"""tok_ AS (SELECT lecture_id, has, safeguard_fallback, start_s, end_s, index, {{words}} AS w FROM final_),
 agg_ AS (SELECT lecture_id, count(*) AS n_spans, bool_or(has) AS conditioned, sum(safeguard_fallback::INT)::BIGINT AS fb, max(end_s) AS dur, sum(len(w)) AS t,
-  sum(len(list_filter(w, lambda x: regexp_matches(x, '[a-z]')))) AS l FROM tok_ GROUP BY lecture_id)""".replace("{words}", words_sql(__import__("lexspan.plans.base", fromlist=["x"]).norm_sql("text"))),
+  sum(len(list_filter(w, lambda x: regexp_matches(x, '[a-z]')))) AS l FROM tok_ GROUP BY lecture_id)""".replace("{words}", words_sql(norm_sql("text"))),
     body="""SELECT lecture_id, n_spans, round_even(dur / greatest(1, n_spans), 2) AS mean_span_s, conditioned, fb AS safeguard_fallbacks,
       round_even(fb::DOUBLE / greatest(1, n_spans), 4) AS safeguard_fallback_rate, 0.0::DOUBLE AS dev, CASE WHEN t > 0 THEN round_even(l::DOUBLE / t, 4) ELSE 0 END AS lat,
       CASE WHEN t > 0 THEN round_even((t - l)::DOUBLE / t, 4) ELSE 0 END AS other FROM agg_"""))

@@ -30,9 +30,10 @@ def silent_spans(spark, sf):
 st_ AS (SELECT DISTINCT lecture_id, n, s FROM pos_, unnest(range(0, n, 2)) t(s) WHERE s = 0 OR s + 1 < n),
 ch_ AS (SELECT st_.lecture_id, s, string_agg(text, ' ' ORDER BY p) AS t, min_by(start_s, p) AS start_s, max_by(end_s, p) AS end_s, string_agg(index::VARCHAR, ',' ORDER BY p) AS span_indices
   FROM st_ JOIN pos_ ON pos_.lecture_id = st_.lecture_id AND p BETWEEN s AND s + 2 GROUP BY ALL)""",
-    body="SELECT lecture_id || ':w' || s AS id, lecture_id, trim(t) AS document, start_s, end_s, span_indices FROM ch_ WHERE trim(t) <> ''"))
+    body="""SELECT lecture_id || ':w' || s AS id, lecture_id, trim(t) AS document, start_s, end_s, span_indices, subject_id, lecture_title, 'span' AS kind
+      FROM ch_ LEFT JOIN lectures USING (lecture_id) WHERE trim(t) <> ''"""))
 def win3(spark, sf):
-    return P.overlapping_chunks(silent_spans(spark, sf))
+    return P.overlapping_chunks(silent_spans(spark, sf), lectures(spark, sf))
 
 
 @query("win9_span_checks", with_(SPANS, """x_ AS (SELECT lecture_id, index, start_s + CASE WHEN length(text) % 50 = 0 THEN 1 ELSE 0 END AS start_s, end_s FROM spans),
@@ -398,12 +399,10 @@ def set5(spark, sf):
 
 @query("win8_unit_keys", "SELECT l_orderkey, l_linenumber, substr('order-' || l_orderkey || '-syllabus', 1, 12) || printf('-u%02d', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS unit_key FROM lineitem")
 def win8(spark, sf):
-    from pyspark.sql import Window
-
-    # one order holds a handful of lines, as one syllabus holds a handful of units
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     prefix = F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit("-syllabus"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.unit_keys(prefix, F.row_number().over(w)).alias("unit_key"))
+    lines = table(spark, sf, "lineitem").withColumn("prefix", prefix)
+    keyed = C.number_units(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("prefix"))
+    return keyed.select("l_orderkey", "l_linenumber", "unit_key")
 
 
 @query("jsn1_json_columns", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, '{\"k\":' || (props::JSON ->> '$.k') || ',\"type\":\"' || event_type || ' é\"}' AS written FROM events")

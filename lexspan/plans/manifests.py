@@ -323,14 +323,33 @@ def set2(spark, sf):
     return M.set_difference(need.distinct(), have)
 
 
-@query("jn10_validate_mapping", with_(COURSES, body=f"""SELECT lecture_id, course_id, sum(({hash_sql('doc_id')} % 3 = 0)::BIGINT)::BIGINT AS eval_utts, bool_or(explicit) AS mapped,
-  course_id IN (SELECT source FROM documents WHERE n_chars > 10000 UNION SELECT 'q0') AS has_syllabus FROM courses_ GROUP BY lecture_id, course_id"""))
-def jn10(spark, sf):
+VALID = f"""have_ AS (SELECT DISTINCT source AS course_id FROM documents WHERE n_chars > 10000 UNION SELECT 'q0'),
+valid_ AS (SELECT lecture_id, course_id, sum(({hash_sql('doc_id')} % 3 = 0)::BIGINT)::BIGINT AS eval_utts, bool_or(explicit) AS mapped,
+  course_id IN (SELECT course_id FROM have_) AS has_syllabus FROM courses_ GROUP BY lecture_id, course_id)"""
+
+
+def validated(spark, sf):
     d, mapping = lecture_map(spark, sf)
     rows = d.select("lecture_id", (seeded_hash(F.col("doc_id")) % 3 == 0).alias("in_eval"))
     big = table(spark, sf, "documents").filter("n_chars > 10000").select(F.col("source").alias("course_id"))
-    q0 = mapping.filter("course_id = 'q0'").select("course_id")
-    return M.validate_mapping(rows, mapping, RULES, big.union(q0))
+    have = big.union(mapping.filter("course_id = 'q0'").select("course_id"))
+    return M.validate_mapping(rows, mapping, RULES, have), have
+
+
+@query("jn10_validate_mapping", with_(COURSES, VALID, body="SELECT lecture_id, course_id, eval_utts, mapped, has_syllabus FROM valid_"))
+def jn10(spark, sf):
+    return validated(spark, sf)[0]
+
+
+@query("jn10_course_totals", with_(COURSES, VALID, body="SELECT course_id, sum(eval_utts)::BIGINT AS eval_utts, count(*) AS n_lectures FROM valid_ GROUP BY course_id"))
+def jn10_totals(spark, sf):
+    return M.course_totals(validated(spark, sf)[0])
+
+
+@query("jn10_mapping_complete", with_(COURSES, VALID, body="""SELECT count(*) AS n_lectures, count(DISTINCT course_id) AS n_courses, (SELECT count(*) FROM have_) AS n_syllabi,
+  bool_and(mapped AND has_syllabus) AND (SELECT count(*) FROM have_) >= 2 AS complete FROM valid_"""))
+def jn10_complete(spark, sf):
+    return M.mapping_complete(*validated(spark, sf))
 
 
 @query("jn18_resolve_paths", """WITH w AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a/' || c_name || '.wav' WHEN 1 THEN '/data/b/' || c_name || '.wav' ELSE 'old/' || c_name || '.wav' END AS path FROM customer),

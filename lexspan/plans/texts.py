@@ -260,9 +260,7 @@ def score_table(spark, sf):
     body="""SELECT w.utt_id, count(*) FILTER (v.word IS NOT NULL) AS k_words, count(*) FILTER (v.word IS NULL) AS u_words
       FROM w LEFT JOIN vocab v USING (word) GROUP BY w.utt_id"""))
 def jn11(spark, sf):
-    words = utterances(spark, sf).select("utt_id", F.explode(X.norm_words(X.normalize(F.col("ref")))).alias("word"))
-    known = vocabulary(spark, sf).withColumn("k", F.lit(1))
-    return words.join(known, "word", "left").groupBy("utt_id").agg(F.count("k").alias("k_words"), (F.count(F.lit(1)) - F.count("k")).alias("u_words"))
+    return S.vocabulary_membership(utterances(spark, sf), vocabulary(spark, sf), "utt_id", "ref")
 
 
 @query("agg12_keyword_vocabulary", with_(VOCAB, body="SELECT word FROM vocab"))
@@ -289,7 +287,7 @@ def agg13(spark, sf):
     f"len(list_filter(w, lambda x: NOT regexp_matches(x, '{DEV_SQL}') AND regexp_matches(x, '[a-z]'))) AS l FROM w)",
     body="""SELECT count(*) AS n, round_even(avg(CASE WHEN t > 0 THEN d::DOUBLE / t ELSE 0 END), 9) AS dev, round_even(avg(CASE WHEN t > 0 THEN l::DOUBLE / t ELSE 0 END), 9) AS lat,
       round_even(avg(CASE WHEN t > 0 THEN (t - d - l)::DOUBLE / t ELSE 0 END), 9) AS other,
-      (SELECT count(*) FROM mixed WHERE regexp_matches(text, '\\p{Nd}')) AS with_digits FROM c"""))
+      (SELECT count(*) FROM mixed WHERE regexp_matches(text, '{digit}')) AS with_digits FROM c""".replace("{digit}", S.DIGIT)))
 def agg16(spark, sf):
     out = S.text_profile(mixed_docs(spark, sf), "text")
     return out.select("n", *[F.bround(c, 9).alias(c) for c in ("dev", "lat", "other")], "with_digits")
