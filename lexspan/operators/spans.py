@@ -274,19 +274,25 @@ def plan_spans(
     ``frames`` is (rec, frame, rms), ``lengths`` is (rec, total_s). The walk is
     greedy, left to right; a remainder of at most ``max_s`` is the last span.
     Returns (rec, index, start_s, end_s).
+
+    Long recordings are walked in blocks, tabulated by the frame at which a block is entered. Settings whose cuts may
+    leave the frame grid (a minimum within five seconds of the target, say) have no such table: then a
+    recording is walked as one block.
     """
     fps, p = float(frames_per_s), (target_s, min_s, max_s)
     reach = math.ceil((min(max_s, target_s + 3.0)) * fps) + 2  # frames a cut can look ahead
-    if not _grid_safe(fps, p):
-        raise ValueError("the search window must start past min_s and end by max_s")
-    block_frames = max(block_frames, 2 * reach)
+    if not 0 < target_s or not 0 <= min_s <= max_s or max_s <= 0:
+        raise ValueError("target_s and max_s must be positive, min_s between 0 and max_s")
+    block_frames = max(block_frames, 2 * reach) if _grid_safe(fps, p) else 1 << 52
 
     n = frames.groupBy("rec").agg((F.max("frame") + 1).alias("n_frames"))
     # a recording without samples still gets its one (empty) span
-    rows = lengths.join(n, "rec", "left").join(frames, "rec", "left").select(
-        "rec", "total_s", F.coalesce("n_frames", F.lit(1)).alias("n_frames"),
-        F.coalesce("frame", F.lit(0)).alias("frame"), F.coalesce("rms", F.lit(0.0)).alias("rms"),
-    )
+    known = lengths.join(n, "rec", "left")
+    bare = known.filter("n_frames IS NULL").select("rec", "total_s", F.lit(1).cast("long").alias("n_frames"), F.lit(0).cast("long").alias("frame"), F.lit(0.0).alias("rms"))
+    # an inner join: the frames of one huge recording can be split over tasks
+    rows = frames.join(known.filter("n_frames IS NOT NULL"), "rec").select(
+        "rec", "total_s", "n_frames", F.col("frame").cast("long").alias("frame"), F.coalesce("rms", F.lit(0.0)).alias("rms")
+    ).union(bare)
     own = F.floor(F.col("frame") / block_frames)
     borrowed = F.when((own > 0) & (F.col("frame") % block_frames < 2 * reach), own - 1)
     blocks = rows.withColumn("blk", F.explode(F.filter(F.array(own, borrowed), lambda b: b.isNotNull())))
