@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,22 @@ def fill_open_ends(segments: DataFrame, lengths: DataFrame) -> DataFrame:
     )
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files under ``path`` as (file, line_no, value), numbered from 0 in each file.
+
+    Lines are numbered inside each split of a file, and the splits' counts are added up in the order of their offsets,
+    so a huge file is never gathered in one task.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    counts = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # ids of one split follow each other without a gap: they come from one task, line by line
+    return rows.join(starts, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "value")
+
+
 def discover(lines: DataFrame, n_head: int = 5) -> DataFrame:
     """Per file: number of lines and the first ``n_head`` of them.
 

@@ -133,3 +133,25 @@ def test_discover_file_heads(spark):
     lines = spark.createDataFrame([("f", i, f"l{i}") for i in range(9)] + [("g", 0, "x")], "file string, line_no int, value string")
     got = {r["file"]: (r["n_lines"], r["head"]) for r in K.discover(lines).collect()}
     assert got == {"f": (9, ["l0", "l1", "l2", "l3", "l4"]), "g": (1, ["x"])}
+
+
+def test_lines_are_numbered_across_the_splits_of_a_file(spark, tmp_path):
+    from lexspan.sources import kaldi as K
+
+    texts = {"a.txt": [f"line {i}" for i in range(500)], "b.txt": ["only"], "c.txt": []}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = K.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["file"], r["line_no"])):
+        got.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["line_no"], r["value"]))
+    assert got == {name: list(enumerate(lines)) for name, lines in texts.items() if lines}
+    heads = {r["file"].rsplit("/", 1)[1]: (r["n_lines"], r["head"]) for r in K.discover(K.read_lines(spark, str(tmp_path)), 2).collect()}
+    assert heads == {"a.txt": (500, ["line 0", "line 1"]), "b.txt": (1, ["only"])}
