@@ -10,7 +10,7 @@ labelled pages. The tree is built over branches, level by level from the root. A
   than TESTED labels can't be told apart.
 
 A template is rejected when its smoothed share of bad labels is REJECT or more; the prior is the share among all
-labels, with a weight of WEIGHT labels. Rules by host and path come before templates.
+labels, with a weight of WEIGHT labels. A template without labels is never rejected. Rules by host and path come before templates.
 
 Every step is an aggregation with partial sums or a join on host, template and segment, so a host with a third
 of all pages is split by its segments.
@@ -105,7 +105,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
     prior = per.agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
     share = F.coalesce(F.expr("try_divide(all_bad, all_labelled)"), F.lit(0.0))
     # one row of two sums
-    purity = per.join(F.broadcast(prior)).withColumn("reject", (F.col("bad") + WEIGHT * share) >= REJECT * (F.col("labelled") + WEIGHT))
+    purity = per.join(F.broadcast(prior)).withColumn("reject", (F.col("labelled") > 0) & ((F.col("bad") + WEIGHT * share) >= REJECT * (F.col("labelled") + WEIGHT)))
     of_branch = tree.select(*key, "template").join(purity.select("template", "n_pages", "reject"), "template")
     out = cut.join(of_branch, key).select("page_id", "host", "path", "template", "n_pages", "reject").withColumn("rule", rule).withColumn("given", given)
     verdict = F.coalesce("given", F.when(F.col("reject"), "block").otherwise("allow"))
@@ -151,7 +151,7 @@ b0 AS (SELECT {keys}, count(*) AS n, count(is_bad) AS labelled, coalesce(sum(is_
 tree AS (SELECT *, host || t || CASE WHEN more THEN '/**' ELSE '' END AS template FROM b{DEPTH}),
 per AS (SELECT template, sum(n)::BIGINT AS n_pages, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY template),
 prior AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(labelled), 0), 0) AS share FROM per),
-purity AS (SELECT template, n_pages, bad + {WEIGHT} * share >= {REJECT} * (labelled + {WEIGHT}) AS reject FROM per, prior)
+purity AS (SELECT template, n_pages, labelled > 0 AND bad + {WEIGHT} * share >= {REJECT} * (labelled + {WEIGHT}) AS reject FROM per, prior)
 SELECT page_id, host, path, {case(lambda v, n: n)} AS rule, coalesce({case(lambda v, n: v)}, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict, template, n_pages
 FROM cut JOIN tree USING ({keys}) JOIN purity USING (template)"""
 
