@@ -7,8 +7,8 @@ benchmark  documents that hold a benchmark item go
 bpe        ids of what is left, and the text decoded from them
 
 All stages but the last return the columns of documents; n_chars is the length of the text as
-it now is. Rows with a null text pass the filters as empty texts do; a null id is an id of
-its own that no benchmark item is found for.
+it now is. Rows with a null text pass the filters as empty texts do. Where ids are null or shared, rows
+are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import settled
+from lexspan.llm.common import apart, row_key, settled
 from lexspan.llm.decontamination import contaminated
-from lexspan.llm.line_dedup import NO_ID, dedup_lines
-from lexspan.llm.lsh_forest import near_duplicates
+from lexspan.llm.line_dedup import dedup_lines
+from lexspan.llm.lsh_forest import kept_rows
 from lexspan.llm.ordinal import LEAST, graded, scored, train
 from lexspan.llm.transducer import encode_decode
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
     judged = docs.withColumn("__quality", scored(model, F.col("text"), spark))
@@ -37,15 +41,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    kept = near_duplicates(docs).where("kept").select(key.alias("__key")).distinct()
-    # equal rows of one id are in one group: one of them stays
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key", "text"]).select(*docs.columns)
+    kept = kept_rows(docs).withColumnRenamed("row", "__row")
+    # equal rows of one id are in one group, and so are equal texts without an id: one of them stays
+    copies = F.when(F.col("doc_id").isNull(), apart(F.col("text"))).otherwise(0)
+    return keyed(docs).join(kept, "__row", "left_semi").withColumn("__apart", copies).dropDuplicates(["__row", "__apart"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    return keyed(docs).join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def row_key(name: Column, text: Column) -> Column:
+    """Tells rows apart where ids are null or shared: 64 bits of hash of id and text."""
+    return F.xxhash64(name.cast("long"), text.cast("string"))
+
+
+def apart(text: Column) -> Column:
+    """0 for a text with words; a text without any isn't a copy of another, so it gets a number of its own."""
+    return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) != "", F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())
+
+
 def words(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; bytes.split() cuts at exactly these six bytes."""
     return text.encode().lower().split() if text else []

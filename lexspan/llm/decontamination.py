@@ -89,15 +89,15 @@ def _searched(texts: DataFrame, parts: list[int], minimal: np.ndarray, any_gram:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minimal, any_gram = maps.value
         for part in slices(batches):
-            names = part.column("doc_id").to_pylist()
+            names, nameless = part.column("doc").to_pylist(), part.column("no_id").to_pylist()
             tokens = [words(t) for t in part.column("text").to_pylist()]
             hashed = word_hashes([w for t in tokens for w in t])
-            ids, keys, found, at = [], [], [], 0
-            for name, t in zip(names, tokens, strict=True):
+            ids, no_id, keys, found, at = [], [], [], [], 0
+            for name, none, t in zip(names, nameless, tokens, strict=True):
                 grams = shingles(hashed[at : at + len(t)], SHINGLE)
                 at += len(t)
                 near = np.flatnonzero(_in(minimal, grams))
-                if name is None or not len(near):
+                if not len(near):
                     continue
                 mine: set[tuple[int, int, int]] = set()
                 for size in parts:
@@ -109,12 +109,13 @@ def _searched(texts: DataFrame, parts: list[int], minimal: np.ndarray, any_gram:
                             mine.update((size, k, v) for k, v in zip(hit.tolist(), minima[hit].view(np.int64).tolist(), strict=True))
                 if mine:
                     ids.append(name)
+                    no_id.append(none)
                     keys.append([{"part": p, "k": k, "minimum": v} for p, k, v in sorted(mine)])
                     found.append(np.unique(grams[_in(any_gram, grams)]).view(np.int64))
             key = pa.struct([("part", pa.int64()), ("k", pa.int32()), ("minimum", pa.int64())])
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "keys": pa.array(keys, pa.list_(key)), "grams": pa.array(found, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "no_id": pa.array(no_id, pa.bool_()), "keys": pa.array(keys, pa.list_(key)), "grams": pa.array(found, pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(run, "doc_id long, keys array<struct<part: long, k: int, minimum: long>>, grams array<long>")
+    return texts.mapInArrow(run, "doc long, no_id boolean, keys array<struct<part: long, k: int, minimum: long>>, grams array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,8 +124,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINME
     Words are those of ``words``; a set holds the distinct five-word shingles; n_item is the size of the
     item's set, n_shared how many of these the document has; containment, their ratio, is ``least`` or
     more. An item of fewer than five words is one shingle and is found in documents of just these words.
-    Null or empty texts and items, and null ids, give no row. Rows that share an id count as one
-    document (its shingles together), repeated items give one row; an item id with several texts counts each text's
+    Null or empty texts and items, and items without an id, give no row. Rows that share an id count as one
+    document (its shingles together); texts without an id are documents of their own, equal ones one, repeated items give one row; an item id with several texts counts each text's
     own containment and returns the largest. Empty tables give an empty result; other columns aren't read.
     """
     spark = docs.sparkSession
@@ -134,15 +135,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINME
         return spark.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
     minimal = _bitmap(items.select(F.explode("origins").alias("v")), "v")
     any_gram = _bitmap(items.select(F.explode("grams").alias("v")), "v")
-    hits = settled(_searched(id_and_text(docs, id_col, text_col), parts, minimal, any_gram), "decontamination")
+    no_id = F.isnull("doc_id")
+    texts = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), no_id.alias("no_id"), "text")
+    hits = settled(_searched(texts, parts, minimal, any_gram), "decontamination")
     keys = items.select("item_id", "text_no", "part", F.posexplode("minima").alias("k", "minimum"))
-    candidates = hits.select("doc_id", F.explode("keys").alias("key")).select("doc_id", "key.*").distinct().join(keys, ["part", "k", "minimum"]).select("doc_id", "item_id", "text_no").distinct()
-    own = hits.select("doc_id", F.explode("grams").alias("gram")).distinct()
+    candidates = hits.select("doc", "no_id", F.explode("keys").alias("key")).select("doc", "no_id", "key.*").distinct().join(keys, ["part", "k", "minimum"]).select("doc", "no_id", "item_id", "text_no").distinct()
+    own = hits.select("doc", "no_id", F.explode("grams").alias("gram")).distinct()
     theirs = items.select("item_id", "text_no", F.size("grams").cast("long").alias("n_item"), F.explode("grams").alias("gram"))
-    shared = candidates.join(theirs, ["item_id", "text_no"]).join(own, ["doc_id", "gram"]).groupBy("doc_id", "item_id", "text_no", "n_item").agg(F.count("*").alias("n_shared"))
+    shared = candidates.join(theirs, ["item_id", "text_no"]).join(own, ["doc", "no_id", "gram"]).groupBy("doc", "no_id", "item_id", "text_no", "n_item").agg(F.count("*").alias("n_shared"))
     enough = shared.where(F.col("n_shared") >= F.lit(least) * F.col("n_item"))
-    best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
+    best = enough.groupBy("doc", "no_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b"))
+    return best.select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), "item_id", "b.n_item", "b.n_shared", "b.containment")
 
 
 def op2_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

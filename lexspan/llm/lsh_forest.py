@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import id_and_text, scrambled, settled, shingles, slices, word_hashes, words
+from lexspan.llm.common import id_and_text, row_key, scrambled, settled, shingles, slices, word_hashes, words
 from lexspan.llm.components import components
 
 SHINGLE = 5
@@ -61,11 +61,11 @@ def _sets_of(part: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray, byt
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """By document: doc_id, n_shingles, digest of its set (null if empty), keys (the minima, tree by tree), bits and bytes (sketches, one of each minimum)."""
+    """By document: doc_id, row (its key), n_shingles, digest of its set (null if empty), keys (the minima, tree by tree), bits and bytes (sketches, one of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out: dict[str, list] = {"doc_id": [], "n_shingles": [], "digest": [], "keys": [], "bits": [], "bytes": []}
+            out: dict[str, list] = {"doc_id": [], "row": part.column("row"), "n_shingles": [], "digest": [], "keys": [], "bits": [], "bytes": []}
             for name, grams, digest in _sets_of(part):
                 low = minima(grams) if digest else None
                 out["doc_id"].append(name)
@@ -76,9 +76,9 @@ def signatures(texts: DataFrame) -> DataFrame:
                 out["bits"].append(np.packbits(mixed & np.uint64(1) == 1).tobytes() if digest else None)
                 out["bytes"].append((mixed >> np.uint64(56)).astype(np.uint8).tobytes() if digest else None)
             types = {"doc_id": pa.int64(), "n_shingles": pa.int64()}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
+            yield pa.RecordBatch.from_pydict({k: v if k == "row" else pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys binary, bits binary, bytes binary")
+    return texts.mapInArrow(run, "doc_id long, row long, n_shingles long, digest binary, keys binary, bits binary, bytes binary")
 
 
 _ROW = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("digest", pa.binary()), ("sketch", pa.binary()), ("label", pa.binary())])
@@ -211,10 +211,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null one, and all of it is kept. Rows that share an id are rows of their own with that id; of
     equal rows all are kept or none. An empty table gives an empty result; other columns aren't read.
     """
-    texts = id_and_text(docs, id_col, text_col)
+    rows, whole = _labelled(docs, id_col, text_col)
+    least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_set = whole.join(least, "label").select("digest", "component_id")
+    out = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row: the keys (``row_key``) of the rows to keep, one of each component: the least id, null ids last, then the least key. Texts without words are kept."""
+    rows, whole = _labelled(docs, id_col, text_col)
+    return whole.groupBy("label").agg(F.min("least").alias("least")).select("least.row").union(rows.where("digest IS NULL").select("row"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of rows; and by different set its least row, that row's id and the label of its component."""
+    texts = id_and_text(docs, id_col, text_col).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     rows = settled(signatures(texts), "signatures")
-    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("bytes").alias("bytes"))
-    nodes = settled(nodes, "nodes")
+    least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("least")
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(least, F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("bytes").alias("bytes"))
+    nodes = settled(nodes.withColumn("doc_id", F.col("least.doc_id")), "nodes")
     pairs = settled(met(nodes.select("digest", "keys", F.col("bits").alias("sketch"), F.col("digest").alias("label")), every=False), "pairs")
     first = verified(texts, nodes, pairs.where(F.col("tree") < FIRST))
     labels = components(first)
@@ -222,12 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = nodes.join(touched, "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     second = verified(texts, nodes, met(again.select("digest", "keys", F.col("bytes").alias("sketch"), "label"), every=True))
     labels = components(first.union(second))
-    whole = nodes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("label", "digest").alias("label"))
-    least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = whole.join(least, "label").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, nodes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", "least", F.coalesce("label", "digest").alias("label"))
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
