@@ -8,11 +8,26 @@ from lexspan.llm.lsh_forest import op10_lsh_forest
 from lexspan.llm.maxent import op6_maxent_lm
 from lexspan.llm.oracles import ORACLES  # noqa: F401
 from lexspan.llm.ordinal import op9_ordinal_quality
+from lexspan.llm.piece_backtrack import op11_piece_backtracking
 from lexspan.llm.repetition import op3_repetition_coverage
 from lexspan.llm.token_counts import op7_token_counts
 from lexspan.llm.token_files import op1_token_files
 from lexspan.llm.transducer import op4_bpe_transducer
 from lexspan.llm.url_templates import op5_url_templates
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_benchmark_containment, op3_repetition_coverage, op4_bpe_transducer, op5_url_templates, op6_maxent_lm, op7_token_counts, op8_line_dedup, op9_ordinal_quality, op10_lsh_forest)}
-
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_benchmark_containment,
+        op3_repetition_coverage,
+        op4_bpe_transducer,
+        op5_url_templates,
+        op6_maxent_lm,
+        op7_token_counts,
+        op8_line_dedup,
+        op9_ordinal_quality,
+        op10_lsh_forest,
+        op11_piece_backtracking,
+    )
+}
