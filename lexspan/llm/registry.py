@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from lexspan.llm.conversation_trie import OP12_SQL, op12_conversation_trie
 from lexspan.llm.decontamination import op2_benchmark_containment
 from lexspan.llm.line_dedup import op8_line_dedup
 from lexspan.llm.lsh_forest import op10_lsh_forest
 from lexspan.llm.maxent import op6_maxent_lm
-from lexspan.llm.oracles import ORACLES  # noqa: F401
+from lexspan.llm.oracles import ORACLES as _ORACLES
 from lexspan.llm.ordinal import op9_ordinal_quality
 from lexspan.llm.piece_backtrack import op11_piece_backtracking
 from lexspan.llm.repetition import op3_repetition_coverage
@@ -29,5 +30,7 @@ QUERIES = {
         op9_ordinal_quality,
         op10_lsh_forest,
         op11_piece_backtracking,
+        op12_conversation_trie,
     )
 }
+ORACLES = _ORACLES | {"op12_conversation_trie": OP12_SQL}
