@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexspan.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from lexspan.llm.conversation_trie import OP12_SQL, op12_conversation_trie
 from lexspan.llm.decontamination import op2_benchmark_containment
 from lexspan.llm.line_dedup import op8_line_dedup
@@ -31,6 +32,7 @@ QUERIES = {
         op10_lsh_forest,
         op11_piece_backtracking,
         op12_conversation_trie,
+        op13_conversation_repair,
     )
 }
-ORACLES = _ORACLES | {"op12_conversation_trie": OP12_SQL}
+ORACLES = _ORACLES | {"op12_conversation_trie": OP12_SQL, "op13_conversation_repair": OP13_SQL}
