@@ -368,8 +368,8 @@ a AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
   CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM hit, unnest(range(0, CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)),
 m AS (SELECT *, md5(length(role) || ':' || role || text) AS mark, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail, left(role, 1) AS initial FROM a),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS i,
-  row_number() OVER (PARTITION BY conv_id, mark ORDER BY turn NULLS FIRST) AS seen FROM m),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS i FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, mark ORDER BY i) AS seen FROM z),
 r AS (SELECT *, (tail = '')::INT AS blank, (tail <> '' AND seen > 1)::INT AS duplicate, (tail <> '' AND seen = 1 AND tail NOT IN ('.', '!', '?'))::INT AS cut,
   (tail = '' OR seen > 1)::INT AS gone, (i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'))::INT AS illegal FROM o),
 n AS (SELECT conv_id, max(i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank) AS blank, sum(duplicate) AS duplicate,

@@ -3,9 +3,9 @@
 Merging takes the pair of the highest score first, from the left. Two facts make its result a
 path that can be searched from the left: in the tokens of a text each two neighbours, merged
 anew by themselves, come out as they are; and only one sequence of tokens has this
-property. So the search takes the longest token at a place (Aho-Corasick, over reversed
-pieces, gives it for every place in one pass), goes to shorter ones while a token doesn't
-stand beside the one before, and steps back where none does. A place from which no way leads
+property. So the search takes the longest token at a place (Aho-Corasick over the pieces),
+goes to shorter ones while a token doesn't stand beside the one before, and steps back where
+none does. A place from which no way leads
 on is set in a bitfield and never tried again, so the search ends after linear work.
 
 No text is encoded by the library: it lists the pieces and normalises.
@@ -64,10 +64,12 @@ class Pieces:
             self.bytes_of[i] = bytes([b])
         self.leads, self.squeezes = model.normalize("a").startswith(SPACE), model.normalize("a  b").count(SPACE) == model.normalize("a b").count(SPACE)
         self.starts_with_space = {i for s, i in self.ids.items() if s.startswith(SPACE)}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.digits = [str(i) for i in every]
+        self.automaton = ahocorasick.Automaton()
         for s in self.score:
-            self.automaton.add_word(s[::-1], len(s))
+            self.automaton.add_word(s, s)
         self.automaton.make_automaton()
+        self.neighbours = {pair for s in self.score for pair in zip(s, s[1:], strict=False)}
         # cuts that no piece reaches across: before a space that follows anything else, around a letter that no piece holds
         if any(SPACE in s.lstrip(SPACE) for s in self.score):
             raise ValueError("a piece holds a space after other letters: texts can't be cut at words")
@@ -97,25 +99,28 @@ class Pieces:
             self.shorter[token] = next(fits, None)
         return self.shorter[token]
 
+    def longest(self, text: str, at: int) -> str:
+        """The longest piece that begins here, or the letter."""
+        for end, token in self.automaton.iter_long(text, at):
+            if end + 1 - len(token) == at:
+                return token
+            break
+        return text[at]
+
     def tokens(self, text: str) -> list[str]:
         """The pieces of a normalised text; a letter without a piece is a token of its own."""
-        n = len(text)
-        longest = array("q", bytes(8 * n))
-        for end, size in self.automaton.iter(text[::-1]):
-            start = n - 1 - end
-            if size > longest[start]:
-                longest[start] = size
+        n, stands, next_shorter = len(text), self.stands, self.next_shorter
         failed = bytearray((n >> 3) + 1)
         out: list[str] = []
         at = 0
         while at < n:
-            token: str | None = text[at : at + (longest[at] or 1)]
+            token: str | None = self.longest(text, at)
             while True:
                 while token is not None:
                     end = at + len(token)
-                    if not failed[end >> 3] >> (end & 7) & 1 and self.stands[(out[-1], token) if out else (token,)]:
+                    if not failed[end >> 3] >> (end & 7) & 1 and stands[(out[-1], token) if out else (token,)]:
                         break
-                    token = self.next_shorter(token)
+                    token = next_shorter(token)
                 if token is not None:
                     out.append(token)
                     at = end
@@ -143,13 +148,14 @@ class Pieces:
         return [first, *[w if w[:1] == "\n" else SPACE + w for w in more]]
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.parts(self.normalize(text)) if part for i in self.encode_lines(part)]
+        return [i for part in self.parts(self.normalize(text)) for piece in self.split(part) for i in self.encode_part(piece)]
 
-    def encode_lines(self, part: str) -> list[int]:
-        """A line break has no piece, so what follows it is encoded by itself."""
-        if self.line and part[:1] == "\n":
-            return [self.byte[10], *self.encode_part(part[1:])]
-        return self.encode_part(part)
+    def split(self, part: str) -> list[str]:
+        """A part, cut between letters that stand side by side in no piece: no merge reaches across."""
+        if self.neighbours.issuperset(zip(part, part[1:], strict=False)):
+            return [part]
+        cuts = [i + 1 for i, pair in enumerate(zip(part, part[1:], strict=False)) if pair not in self.neighbours]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
 
 
 class PieceDecoder:
@@ -170,12 +176,23 @@ class PieceDecoder:
         return self.machine.decode(raw + b"".join(map(bytes_of.__getitem__, ids)), last)
 
 
+class Known(Memory):
+    """Ids of parts, as bytes: a part that isn't remembered is put together from smaller ones that may be."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__(self.found, 300_000)
+        self.pieces = pieces
+
+    def found(self, part: str) -> bytes:
+        few = self.pieces.split(part)
+        return b"".join([self[x] for x in few]) if len(few) > 1 else array("I", self.pieces.encode_part(part)).tobytes()
+
+
 @cache
-def _of(vocabulary: str) -> tuple[Pieces, Memory]:
+def _of(vocabulary: str) -> tuple[Pieces, Known]:
     """One encoder in each Python worker, with its memory of parts, kept over tasks."""
     p = Pieces(vocabulary)
-    both = lambda ids: (",".join(map(str, ids)), array("I", ids).tobytes())
-    return p, Memory(lambda x: both(p.encode_lines(x)), 150_000)
+    return p, Known(p)
 
 
 def encode_decode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -191,12 +208,12 @@ def encode_decode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, known = _of(vocabulary)
+        digits = pieces.digits
         for part in slices(batches):
             n, coded, text, all_ids, decoded = [], [], [], [], []
             for whole in part.column("text").to_pylist():
-                got = [known[x] for x in pieces.parts(pieces.normalize(whole)) if x] if whole else []
-                coded.append(hashlib.sha256(",".join([x for x, _ in got]).encode()).hexdigest())
-                ids = array("I", b"".join([x for _, x in got]))
+                ids = array("I", b"".join(map(known.__getitem__, pieces.parts(pieces.normalize(whole))))) if whole else array("I")
+                coded.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 machine, plain, kept = PieceDecoder(pieces), hashlib.sha256(), []
                 for at in range(0, max(1, len(ids)), CHUNK):
                     out = machine.feed(ids[at : at + CHUNK], at + CHUNK >= len(ids))
