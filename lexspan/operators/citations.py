@@ -114,27 +114,47 @@ def gather(questions: DataFrame, items: DataFrame, top_k: int = TOP_K, secondary
     return _with_items(kept, questions, items)
 
 
+#: Letters of a gram by which hints look for titles.
+HINT_GRAM = 3
+
+
+def _title_grams(title: Column) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1)))
+    sizes = F.array(*[F.lit(n) for n in range(1, HINT_GRAM + 1)])
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(sizes, lambda n: F.substring(title, i, n)))))
+
+
+def title_index(postings: DataFrame) -> DataFrame:
+    """(subject_id, gram, n, lecture_id): how many titles have a gram, and the first of them."""
+    return postings.groupBy("subject_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min_by("lecture_id", "created_order").alias("lecture_id"))
+
+
+def rarest_grams(hinted: DataFrame, index: DataFrame) -> DataFrame:
+    """(subject_id, hint, gram, n): of each hint the gram that the fewest titles have; none where no title has some gram of it."""
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hint") - HINT_GRAM + 1), lambda i: F.substring(F.col("hint"), i, F.lit(HINT_GRAM))))
+    asked = hinted.select("subject_id", "hint", F.size(own).alias("needs"), F.explode(own).alias("gram")).join(index.select("subject_id", "gram", "n"), ["subject_id", "gram"])
+    by_hint = asked.groupBy("subject_id", "hint", "needs").agg(F.count(F.lit(1)).alias("has"), F.min(F.struct("n", "gram")).alias("best"))
+    return by_hint.filter("has = needs").select("subject_id", "hint", "best.gram", "best.n")
+
+
 def resolve_hints(questions: DataFrame, lectures: DataFrame) -> DataFrame:
     """The first lecture (by created order) of the subject whose lower-cased title
     contains the trimmed hint; NULL for an empty hint or no match.
 
-    A title containing the hint contains the hint's first three characters, so
-    candidates meet on (subject, that prefix) and only those are checked.
+    An index of title grams counts the titles of each (subject, gram) and knows the first
+    of them, which already answers a hint of up to three letters. A longer hint asks with
+    the rarest of its grams only; one that has a gram no title has asks for nothing.
     ``lectures``: lecture_id, subject_id, title, created_order.
     """
     hint = strip(F.lower(F.coalesce("lecture_hint", F.lit(""))))
     hinted = questions.select("subject_id", hint.alias("hint")).filter(F.col("hint") != "").distinct()
-    hinted = hinted.withColumn("probe", F.substring("hint", 1, 3))
-    title = F.lower(F.col("title"))
-    pieces = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1))),
-        lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(title, i, n)),
-    )))
-    probes = lectures.select("subject_id", "lecture_id", "created_order", title.alias("low"), F.explode(pieces).alias("probe"))
-    first = (
-        hinted.join(probes, ["subject_id", "probe"]).filter(F.contains("low", "hint"))
-        .groupBy("subject_id", "hint").agg(F.min_by("lecture_id", "created_order").alias("lecture_id"))
-    )
+    low = F.lower(F.col("title"))
+    postings = lectures.select("subject_id", "lecture_id", "created_order", low.alias("low"), F.explode(_title_grams(low)).alias("gram"))
+    index = title_index(postings)
+    short = hinted.filter(F.length("hint") <= HINT_GRAM).join(index.select("subject_id", F.col("gram").alias("hint"), "lecture_id"), ["subject_id", "hint"])
+    met = rarest_grams(hinted.filter(F.length("hint") > HINT_GRAM), index).join(postings, ["subject_id", "gram"])
+    found = met.filter(F.contains("low", "hint")).groupBy("subject_id", "hint").agg(F.min_by("lecture_id", "created_order").alias("lecture_id"))
+    first = short.unionByName(found)
     return questions.withColumn("hint", hint).join(first, ["subject_id", "hint"], "left").select(*questions.columns, "lecture_id")
 
 

@@ -1,24 +1,45 @@
-"""Character n-gram TF-IDF per course, and top-k units for a query text."""
+"""Character n-gram TF-IDF per course, and top-k units for a query text.
+
+Texts are shuffled once, into cells: a course with its queries, or blocks of both where a
+course is huge. A cell is weighed and scored in numpy, so grams never become rows. For a
+top-k only units that can still reach it are scored in full: a query meets its rare grams
+first; what the others can add to any unit is bounded by their largest weights, and a unit whose
+bound stays below the k-th score so far is left out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lexspan.functions.text import WHITESPACE, is_blank
 from lexspan.operators.ordered import first_n
-from lexspan.session import fan_out
 
 # fixed values
 NGRAM_MIN, NGRAM_MAX = 3, 5
 SCORE_DIGITS = 9
 
+#: A course with more queries or units than this is cut into cells of so many of each.
+CELL_QUERIES, CELL_UNITS = 10_000, 1_000
+#: Numbers that a step of a cell handles at once.
+STEP = 2_000_000
+#: Grams are met in steps by the share of a cell's units that have them, when only the best units are wanted.
+RARE = (0.05, 0.2, 0.5, 0.8)
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), WHITESPACE + "+", " "))
+
 
 def explode_grams(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """One row per gram of a text: lower-cased, each word padded with one space,
     3 to 5 characters, never reaching past the padding."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.col(text)), WHITESPACE + "+", " "))
-    words = df.select(*ids, F.explode(F.split(spaced, " ")).alias("__w")).filter("__w <> ''")
+    words = df.select(*ids, F.explode(F.split(_spaced(F.col(text)), " ")).alias("__w")).filter("__w <> ''")
     padded = words.withColumn("__w", F.concat(F.lit(" "), "__w", F.lit(" ")))
     at = padded.select(*ids, "__w", F.explode(F.sequence(F.lit(1), F.length("__w") - NGRAM_MIN + 1)).alias("__p"))
     of_size = lambda n: F.when(
@@ -31,93 +52,303 @@ def unit_document(title: Column, prose: Column, keywords: Column) -> Column:
     return F.concat_ws(" ", title, prose, F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))
 
 
-# A course with many queries or units is cut into cells of this many of each, so
-# that no gram of it is joined in one task.
-CELL_QUERIES, CELL_UNITS = 10_000, 1_000
-
-
-def _gram_counts(df: DataFrame, ids: list[str], text: str) -> DataFrame:
-    """Grams of each text with their counts.
+class Cell:
+    """The units of a cell with their weights, and what queries make of them.
 
-    Texts are shuffled by id before they are exploded, a fraction of the size of
-    their grams; the counting then stays where the text is.
+    ``counts``: document frequencies over the whole course, where it has several cells.
     """
-    rows = fan_out(df, "course_id", ids[1])
-    return explode_grams(rows, ids, text).groupBy(*ids, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+    def __init__(self, texts: list[str], n_course: int, counts: dict[str, int]):
+        self.ids: dict[str, int] = {}
+        self.of_word: dict[str, list[int]] = {}
+        self.n_course, self.n = n_course, len(texts)
+        per_unit = [np.unique(np.array(self._grams(t, True), np.int64), return_counts=True) for t in texts]
+        sizes = [len(g) for g, _ in per_unit]
+        gram = np.concatenate([g for g, _ in per_unit]) if per_unit else np.zeros(0, np.int64)
+        self.unit = np.repeat(np.arange(self.n), sizes)
+        self.in_cell = np.bincount(gram, minlength=len(self.ids))
+        self.df = np.array([counts.get(g, 0) for g in self.ids], np.int64) if counts else self.in_cell
+        self.idf = np.log((1 + n_course) / (1 + self.df)) + 1
+        self.tf = np.concatenate([c for _, c in per_unit]) if per_unit else gram
+        self.raw = (1 + np.log(self.tf)) * self.idf[gram]
+        length = np.sqrt(np.bincount(self.unit, self.raw * self.raw, minlength=self.n))
+        self.gram, self.weight = gram, self.raw / length[self.unit]
+        order = np.argsort(gram, kind="stable")
+        self.posted_unit, self.posted_weight = self.unit[order], self.weight[order]
+        self.starts = np.concatenate([[0], np.cumsum(self.in_cell)])
+        self.largest = np.zeros(len(self.ids))
+        np.maximum.at(self.largest, gram, self.weight)
+        self.key = self.unit * max(1, len(self.ids)) + gram  # sorted: units come one after another, so do their grams
+        self.products = 0
+
+    def _grams(self, text: str, new: bool) -> list[int]:
+        """Ids of a text's grams; without ``new`` only of grams that some unit has."""
+        out: list[int] = []
+        ids, of_word = self.ids, self.of_word
+        for word in text.split(" "):
+            known = of_word.get(word)
+            if known is None:
+                padded = f" {word} "
+                all_of = [padded[p : p + n] for n in range(NGRAM_MIN, NGRAM_MAX + 1) for p in range(len(padded) - n + 1)] if word else []
+                known = [ids.setdefault(g, len(ids)) for g in all_of] if new else [ids[g] for g in all_of if g in ids]
+                of_word[word] = known
+            out += known
+        return out
+
+    def queries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, gram, raw weight) over the units' grams."""
+        vectors = [np.unique(np.array(self._grams(t, False), np.int64), return_counts=True) for t in texts]
+        query = np.repeat(np.arange(len(texts)), [len(g) for g, _ in vectors])
+        gram = np.concatenate([g for g, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        tf = np.concatenate([c for _, c in vectors]) if vectors else gram
+        return query, gram, (1 + np.log(tf)) * self.idf[gram]
+
+    def squares(self, query: np.ndarray, gram: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
+        """This cell's share of each query's squared length: over all cells of a course the shares of a gram add up to one."""
+        return np.bincount(query, raw * raw * self.in_cell[gram] / self.df[gram], minlength=n)
+
+    def dots(self, query: np.ndarray, gram: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
+        """Products of all queries with all units, one row per query."""
+        out = np.zeros(n * self.n)
+        sizes = self.starts[gram + 1] - self.starts[gram]
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(gram):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+            some = sizes[at:to]
+            within = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+            place = np.repeat(self.starts[gram[at:to]], some) + within
+            pair = np.repeat(query[at:to], some) * self.n + self.posted_unit[place]
+            out += np.bincount(pair, np.repeat(raw[at:to], some) * self.posted_weight[place], minlength=len(out))
+            self.products += len(place)
+            at = to
+        return out.reshape(n, self.n)
+
+    def best(self, query: np.ndarray, gram: np.ndarray, raw: np.ndarray, n: int, k: int, slack: np.ndarray) -> np.ndarray:
+        """As ``dots``, exact for every unit within ``slack`` of a query's k-th product; others may be too small."""
+        step = np.searchsorted(RARE, self.in_cell[gram] / max(1, self.n))
+        if self.n <= 4 * k or not step.any():
+            return self.dots(query, gram, raw, n)
+        bound = raw * self.largest[gram]
+        rest = np.bincount(query, np.where(step > 0, bound, 0.0), minlength=n)
+        out = self.dots(query[step == 0], gram[step == 0], raw[step == 0], n)
+        row, unit = np.divmod(np.arange(n * self.n), self.n)
+        for now in range(1, int(step.max()) + 1):
+            least = np.partition(out, self.n - k, axis=1)[:, self.n - k] - slack
+            reach = out[row, unit] + rest[row] >= least[row]
+            row, unit, some = row[reach], unit[reach], step == now
+            self._add(out, row, unit, query[some], gram[some], raw[some], n)
+            rest -= np.bincount(query[some], bound[some], minlength=n)
+            rest[rest < 1e-12] = 0.0
+        return out
+
+    def _add(self, out: np.ndarray, row: np.ndarray, unit: np.ndarray, query: np.ndarray, gram: np.ndarray, raw: np.ndarray, n: int) -> None:
+        """Adds the products of these grams to the pairs (row, unit) of ``out``, looked up one by one."""
+        count = np.bincount(query, minlength=n)
+        first = np.cumsum(count) - count
+        sizes = count[row]
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+            some = sizes[at:to]
+            within = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+            place = np.repeat(first[row[at:to]], some) + within
+            key = np.repeat(unit[at:to], some) * len(self.ids) + gram[place]
+            found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            product = np.where(self.key[found] == key, self.weight[found] * raw[place], 0.0)
+            out[row[at:to], unit[at:to]] += np.bincount(np.repeat(np.arange(to - at), some), product, minlength=to - at)
+            self.products += len(place)
+            at = to
+
+
+def _typed(**kinds: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in kinds.items()])
+
+
+_CELL = ["course_id", "qb", "ub"]
+
+
+def _dealt(units: DataFrame, queries: DataFrame | None) -> DataFrame:
+    """Document frequencies, units in their order, and queries of each cell, one after another."""
+    counts = units.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_units"), F.ceil(F.count(F.lit(1)) / CELL_UNITS).alias("u_cells"))
+    if queries is None:
+        cells = counts.withColumn("q_cells", F.lit(1).cast("long"))
+    else:
+        cells = counts.join(queries.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("q_cells")), "course_id")
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).alias(n[0] + "b")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n[0] + "b")
+    placed = units.join(cells, "course_id").select("*", block("unit_id", "u_cells"))
+    rows = placed.select("course_id", all_of("q_cells"), "ub", F.lit(1).alias("kind"), "unit_id", "unit_order", _spaced(F.col("document")).alias("spaced"), F.col("n_units").alias("n"))
+    # only a course of several cells needs its frequencies from outside
+    several = placed.where("u_cells > 1")
+    grams = explode_grams(several, ["course_id", "ub", "q_cells", "unit_id"], "document").distinct()
+    here = grams.groupBy("course_id", "gram", "ub", "q_cells").agg(F.count(F.lit(1)).alias("n"))
+    whole = here.groupBy("course_id", "gram").agg(F.sum("n").alias("n"))
+    df = here.drop("n").join(whole, ["course_id", "gram"]).select("course_id", all_of("q_cells"), "ub", F.lit(0).alias("kind"), F.col("gram").alias("spaced"), "n")
+    rows = rows.unionByName(df, allowMissingColumns=True)
+    if queries is not None:
+        asked = queries.join(cells, "course_id").select("course_id", block("query_id", "q_cells"), all_of("u_cells"), F.lit(2).alias("kind"), "query_id",
+                                                        _spaced(F.col("text")).alias("spaced"), is_blank(F.col("text")).alias("blank"))
+        rows = rows.unionByName(asked, allowMissingColumns=True)
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "kind", "unit_order")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple]:
+    """(course, cell, unit ids, unit orders, queries): queries in parts, (ids, texts, blank). One cell is held at a time."""
+    now, cell = None, None
+    counts: dict[str, int] = {}
+    ids: list = []
+    orders: list = []
+    texts: list[str] = []
+    asked: list[tuple] = []
+    n_course = 0
+
+    def some() -> tuple:
+        nonlocal cell, asked
+        if cell is None:
+            cell = Cell(texts, n_course, counts)
+        out, asked = asked, []
+        return now[0], cell, ids, orders, out
+
+    for b in batches:
+        names = ["course_id", "qb", "ub", "kind", "spaced", "n", "unit_id", "unit_order", "query_id", "blank"]
+        for course, qb, ub, kind, text, n, unit, order, query, blank in zip(*[b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows for c in names], strict=True):
+            if (course, qb, ub) != now:
+                if now is not None and (asked or cell is None):
+                    yield some()
+                now, cell, counts, ids, orders, texts, asked = (course, qb, ub), None, {}, [], [], [], []
+            if kind == 0:
+                counts[text] = n
+            elif kind == 1:
+                ids.append(unit)
+                orders.append(order)
+                texts.append(text or "")
+                n_course = n
+            else:
+                asked.append((query, text or "", blank))
+                if len(asked) * max(1, len(ids)) >= parts:
+                    yield some()
+    if now is not None and (asked or cell is None):
+        yield some()
+
+
+def _through_cells(units: DataFrame, queries: DataFrame | None, schema: StructType, make) -> DataFrame:
+    """``make(course, cell, unit ids, unit orders, queries)`` gives columns of the result; it runs for each cell."""
+    kinds = {f.name: f.dataType for f in schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = [to_arrow_type(t) for t in kinds.values()]
+        waiting: list[tuple] = []
+        n = 0
+        for found in _cells(batches, STEP):
+            columns = make(*found)
+            waiting.append(columns)
+            n += len(columns[0])
+            if n > 20_000:
+                yield joined(waiting, arrow)
+                waiting, n = [], 0
+        if waiting:
+            yield joined(waiting, arrow)
+
+    def joined(parts: list[tuple], arrow: list) -> pa.RecordBatch:
+        whole = [pa.concat_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c in same]) for same, t in zip(zip(*parts, strict=True), arrow, strict=True)]
+        return pa.RecordBatch.from_arrays(whole, list(kinds))
+
+    return _dealt(units, queries).mapInArrow(run, schema)
+
+
+def _taken(values: list, at: np.ndarray) -> pa.Array:
+    return pa.array(values).take(pa.array(at))
+
+
+def _with_order(units: DataFrame) -> DataFrame:
+    cols = units.columns
+    return units.select("course_id", "unit_id", F.col("unit_order") if "unit_order" in cols else F.lit(None).cast("long").alias("unit_order"), "document")
 
 
 def tfidf_weights(units: DataFrame) -> DataFrame:
-    """Raw TF-IDF weight of each gram of each unit, with idf and df.
+    """Raw TF-IDF weight of each gram of each unit, with idf and df, and the weight scaled to unit length.
 
-    ``units``: course_id, unit_id, document. N and df are per course; df is
-    summed map-side before it is joined back; its keys are unique, so each
-    partition of it is hashed instead of sorting all grams.
+    ``units``: course_id, unit_id, document. N and df are per course.
     """
-    n = units.groupBy("course_id").agg(F.count(F.lit(1)).alias("n_units"))
-    tf = _gram_counts(units.join(n, "course_id"), ["course_id", "unit_id", "n_units"], "document")
-    df = tf.groupBy("course_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((1 + F.col("n_units")) / (1 + F.col("df"))) + 1
-    return tf.join(df.hint("shuffle_hash"), ["course_id", "gram"]).withColumn("idf", idf).select(
-        "course_id", "gram", "unit_id", "df", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("weight")
-    )
+    t = units.schema
+    schema = _typed(course_id=t["course_id"].dataType, gram=StringType(), unit_id=t["unit_id"].dataType, df=LongType(), idf=DoubleType(), weight=DoubleType(), scaled=DoubleType())
 
+    def make(course, cell, ids, orders, asked):
+        g = cell.gram
+        return _taken([course], np.zeros(len(g), np.int64)), _taken(list(cell.ids), g), _taken(ids, cell.unit), cell.df[g], cell.idf[g], cell.raw, cell.weight
 
-def _unit_length(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Scale each vector to length one. A key holds the grams of one text, so the
-    window never gathers more than that."""
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*keys)))
-    return vectors.withColumn("weight", F.col("weight") / norm)
+    return _through_cells(_with_order(units), None, schema, make)
 
 
 def normalized_weights(weights: DataFrame) -> DataFrame:
     """Unit vectors of length one."""
-    return _unit_length(weights, ["course_id", "unit_id"])
-
+    return weights.withColumn("weight", F.col("scaled")).drop("scaled")
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Gram counts of each query: course_id, query_id, gram, tf."""
-    return _gram_counts(queries, ["course_id", "query_id"], "text")
 
-
-def query_vectors(queries: DataFrame, weights: DataFrame) -> DataFrame:
+def query_vectors(queries: DataFrame, units: DataFrame) -> DataFrame:
     """Unit-length query vectors over the course vocabulary; unknown grams are
     dropped before the norm is taken."""
-    vocab = weights.groupBy("course_id", "gram").agg(F.first("idf").alias("idf"))
-    raw = query_terms(queries).join(vocab.hint("shuffle_hash"), ["course_id", "gram"]).select(
-        "course_id", "query_id", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("weight"))
-    return _unit_length(raw, ["course_id", "query_id"])
+    t, u = queries.schema, units.schema
+    schema = _typed(course_id=u["course_id"].dataType, query_id=t["query_id"].dataType, gram=StringType(), raw=DoubleType())
 
+    def make(course, cell, ids, orders, asked):
+        q, g, w = cell.queries([x for _, x, _ in asked])
+        return _taken([course], np.zeros(len(g), np.int64)), _taken([i for i, _, _ in asked], q), _taken(list(cell.ids), g), w
+
+    # a gram of a course of several cells comes from each cell that has it
+    found = _through_cells(_with_order(units), queries, schema, make).groupBy("course_id", "query_id", "gram").agg(F.first("raw").alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("course_id", "query_id")))
+    return found.select("course_id", "query_id", "gram", (F.col("raw") / norm).alias("weight"))
 
-def scores(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """Cosine of every query with the units of its own course that share a gram.
 
-    Query grams meet unit grams on (course, cell, gram). A usual course is one
-    cell; a huge one is cut both ways, its query blocks each meeting all its unit
-    blocks, so every task sees a bounded part of a frequent gram. The query norm
-    is gathered in the same pass: a gram found in ``df`` units meets the query
-    ``df`` times, so each meeting carries w²/df.
+def _products(queries: DataFrame, units: DataFrame, k: int | None) -> DataFrame:
+    """(course_id, query_id, unit_id, unit_order, blank, dot, sq): all units that share a gram, or all that may be among the best k.
+
+    sq stands in one row of each query and cell; summed over a query it is its squared length.
     """
-    cells = (
-        units.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / CELL_UNITS).alias("u_cells"))
-        .join(queries.groupBy("course_id").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("q_cells")), "course_id")
-    )
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # the cell travels inside the id, so the long gram tables need no further join
-    placed_units = units.join(cells, "course_id").select(
-        "course_id", F.struct("unit_id", block("unit_id", "u_cells").alias("ub"), "q_cells").alias("unit_id"), "document")
-    placed_queries = queries.join(cells, "course_id").select(
-        "course_id", F.struct("query_id", block("query_id", "q_cells").alias("qb"), "u_cells").alias("query_id"), "text")
-    weights = normalized_weights(tfidf_weights(placed_units))
-    w = weights.select("course_id", "gram", "unit_id", "df", "idf", "weight", F.col("unit_id.ub").alias("ub"), copies("unit_id.q_cells").alias("qb"))
-    q = query_terms(placed_queries).select(
-        "course_id", "gram", "tf", "query_id", F.col("query_id.qb").alias("qb"), copies("query_id.u_cells").alias("ub"))
-    wq = (1 + F.log("tf")) * F.col("idf")
-    pairs = q.join(w.hint("shuffle_hash"), ["course_id", "qb", "ub", "gram"]).groupBy("course_id", "query_id", "unit_id").agg(
-        F.sum(wq * F.col("weight")).alias("dot"), F.sum(wq * wq / F.col("df")).alias("sq")
-    )
-    norm_q = F.sqrt(F.sum("sq").over(Window.partitionBy("course_id", "query_id")))
-    return pairs.select("course_id", "query_id.query_id", "unit_id.unit_id", F.bround(F.col("dot") / norm_q, SCORE_DIGITS).alias("score"))
+    t, u = queries.schema, units.schema
+    schema = _typed(course_id=u["course_id"].dataType, query_id=t["query_id"].dataType, unit_id=u["unit_id"].dataType, unit_order=u["unit_order"].dataType,
+                    blank=IntegerType(), dot=DoubleType(), sq=DoubleType())
+
+    def make(course, cell, ids, orders, asked):
+        texts, n = [x for _, x, _ in asked], len(asked)
+        q, g, w = cell.queries(texts)
+        sq = cell.squares(q, g, w, n)
+        if k is None or cell.n <= k:
+            dot = cell.dots(q, g, w, n)
+            pick = dot > 0 if k is None else np.ones_like(dot, bool)
+        else:
+            # scores are compared rounded: what rounds alike must come along, however long the query's vector may be
+            top = (np.log((1 + cell.n_course) / 2) + 1) * np.array([3 * len(x) + 3 for x in texts])
+            slack = top * 1.01 * 10.0**-SCORE_DIGITS
+            dot = cell.best(q, g, w, n, k, slack)
+            least = np.partition(dot, cell.n - k, axis=1)[:, cell.n - k]
+            pick = (dot > 0) & (dot >= (least - slack)[:, None])
+            short = (dot > 0).sum(axis=1) < k
+            if short.any():  # units come in their order: the first without a shared gram fill up
+                empty = (dot <= 0) & short[:, None]
+                pick |= empty & (np.cumsum(empty, axis=1) + (dot > 0).sum(axis=1)[:, None] <= k)
+        row, unit = np.nonzero(pick)
+        first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+        share = np.where(first, sq[row], 0.0)
+        blanks = np.array([int(b) for _, _, b in asked], np.int32)
+        return _taken([course], np.zeros(len(row), np.int64)), _taken([i for i, _, _ in asked], row), _taken(ids, unit), _taken(orders, unit), blanks[row], dot[row, unit], share
+
+    return _through_cells(units, queries, schema, make)
+
+
+def _score() -> Column:
+    norm = F.sqrt(F.sum("sq").over(Window.partitionBy("course_id", "query_id")))
+    return F.when(norm > 0, F.bround(F.col("dot") / norm, SCORE_DIGITS)).otherwise(F.lit(0.0))
+
+
+def scores(queries: DataFrame, units: DataFrame) -> DataFrame:
+    """Cosine of every query with the units of its own course that share a gram."""
+    return _products(queries, _with_order(units), None).select("course_id", "query_id", "unit_id", _score().alias("score"))
 
 
 def top_units(queries: DataFrame, units: DataFrame, k: int = 3, blank_reversed: bool = True) -> DataFrame:
@@ -129,27 +360,13 @@ def top_units(queries: DataFrame, units: DataFrame, k: int = 3, blank_reversed:
     score 0. A blank query takes the first k units; ``blank_reversed`` renders
     them last-first instead of in order.
     """
-    first_k = first_n(units.select("course_id", "unit_id", "unit_order"), ["course_id"], [F.col("unit_order")], k)
-    # padding: at most k rows per query
-    fill = queries.select("course_id", "query_id").join(first_k.select("course_id", "unit_id"), "course_id").select(
-        "course_id", "query_id", "unit_id", F.lit(0.0).alias("score")
-    )
-    best = (
-        scores(queries, units).unionByName(fill)
-        .groupBy("course_id", "query_id", "unit_id").agg(F.max("score").alias("score"))
-        .join(units.select("course_id", "unit_id", "unit_order"), ["course_id", "unit_id"])
-    )
+    best = _products(queries, _with_order(units), k).withColumn("score", _score())
     ranked = first_n(best, ["course_id", "query_id"], [F.desc("score"), F.col("unit_order")], k)
-    blank = queries.select("course_id", "query_id", is_blank(F.col("text")).alias("blank"))
     got = F.count(F.lit(1)).over(Window.partitionBy("course_id", "query_id"))
     upwards = F.col("got") - F.col("rank") + 1
-    in_order = F.col("blank") & F.lit(not blank_reversed)
-    return (
-        ranked.withColumn("got", got)
-        .join(blank, ["course_id", "query_id"])
-        .select("course_id", "query_id", "unit_id", "score", "rank",
-                F.when(in_order, F.col("rank")).otherwise(upwards).alias("place"))
-    )
+    in_order = (F.col("blank") == 1) & F.lit(not blank_reversed)
+    return ranked.withColumn("got", got).select(
+        "course_id", "query_id", "unit_id", "score", "rank", F.when(in_order, F.col("rank")).otherwise(upwards).alias("place"))
 
 
 def retrieved_ids(top: DataFrame, ascending: bool = True) -> DataFrame:

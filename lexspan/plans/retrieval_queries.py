@@ -64,7 +64,7 @@ def txt11(spark, sf):
 
 @query("txt12_query_vectors", with_(QUERY_VEC, body="SELECT course_id, query_id, gram, round_even(weight / norm, 9) AS weight FROM qw_ JOIN qn_ USING (course_id, query_id)"))
 def txt12(spark, sf):
-    return R.query_vectors(sentence_queries(spark, sf), R.tfidf_weights(course_units(spark, sf))).withColumn("weight", F.bround("weight", 9))
+    return R.query_vectors(sentence_queries(spark, sf), course_units(spark, sf)).withColumn("weight", F.bround("weight", 9))
 
 
 @query("jn12_retrieval_scores", with_(SCORES, body="SELECT course_id, query_id, unit_id, score FROM scores"))

@@ -222,3 +222,29 @@ def test_results_stay_with_their_model(spark):
     assert got == {("a", "C0"): "ref", ("b", "C0"): "ref", ("a", "C4"): "-10.00 [-11.00, -9.00]", ("b", "C4"): "+10.00 [+9.00, +11.00]"}
     named = con.withColumn("contrast", F.lit("C3->C4"))
     assert Q.contrast_list(named).filter("model = 'a'").first()["line"] == "- **H5  retrieval vs whole syllabus** (C3->C4): ΔWER -10.00 [95% CI -11.00, -9.00], P(improve)=0.900"
+
+
+def test_numbered_lectures_meet_few_titles(spark):
+    """One subject, 20,000 titles that begin alike, 5,000 hints that begin alike: each hint asks by its rarest gram."""
+    lec = spark.range(20_000).select(F.col("id").alias("lecture_id"), F.lit("s").alias("subject_id"), F.concat(F.lit("Lecture "), F.col("id").cast("string")).alias("title"), (-F.col("id")).alias("created_order"))
+    q = spark.range(5_000).select(F.col("id").alias("question_id"), F.lit("s").alias("subject_id"), F.concat(F.lit(" lecture "), (F.col("id") * 5).cast("string")).alias("lecture_hint"))
+    got = {r["question_id"]: r["lecture_id"] for r in R.resolve_hints(q, lec).collect()}
+    titles = [f"lecture {i}" for i in range(20_000)]
+    first = {}
+    for i in range(19_999, -1, -1):  # created last to first; a title answers each of its own beginnings
+        for end in range(9, len(titles[i]) + 1):
+            first.setdefault(titles[i][:end], i)
+    assert got == {i: first.get(f"lecture {i * 5}") for i in range(5_000)}
+    low = F.lower("title")
+    postings = lec.select("subject_id", "lecture_id", "created_order", low.alias("low"), F.explode(R._title_grams(low)).alias("gram"))
+    hinted = q.select("subject_id", F.trim("lecture_hint").alias("hint"))
+    met = R.rarest_grams(hinted, R.title_index(postings)).agg(F.sum("n"), F.count("*")).first()
+    assert met[1] == 5_000 and met[0] < 5_000 * 20_000 / 100
+
+
+def test_short_and_impossible_hints(spark):
+    lec = spark.createDataFrame([(1, "s", "Öl und Wasser", 2), (2, "s", "öl", 1), (3, "t", "", 0), (4, "t", None, 0)], "lecture_id int, subject_id string, title string, created_order int")
+    asks = ["ÖL", "ö", " wasser ", "wassex", "l u", "l un", "", None, "t wasser"]
+    q = spark.createDataFrame([(i, "s", h) for i, h in enumerate(asks)] + [(99, "t", "x")], "question_id int, subject_id string, lecture_hint string")
+    got = {r["question_id"]: r["lecture_id"] for r in R.resolve_hints(q, lec).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 3: None, 4: 1, 5: 1, 6: None, 7: None, 8: None, 99: None}
