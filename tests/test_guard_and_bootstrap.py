@@ -6,13 +6,23 @@ from lexspan.operators import bootstrap as B
 from lexspan.operators import guard as G
 
 
+WORDS = " ".join("abcdefghijklmnop")
+
+
+# at and just past each threshold: 0.25 of log probability, compression 2, one and a half times the words
 @pytest.mark.parametrize("text,lp,cr,base,blp,want", [
-    ("process scheduling की बात करते हैं", -0.3, 1.4, "प्रोसेस शेड्यूलिंग की बात करते हैं", -0.3, False),
-    ("garbage", -2.0, 1.4, "baseline", -0.3, True),
-    ("loop loop loop", -0.3, 4.0, "baseline text here", -0.3, True),
-    (" ".join(["word"] * 40), -0.3, 1.4, " ".join(["word"] * 10), -0.3, True),
-    ("ok", None, None, "base", None, False),
-    ("many words here", -0.3, 1.4, "", -0.3, False),
+    ("a b", -0.75, 1.0, "a b", -0.5, False),
+    ("a b", -0.7501, 1.0, "a b", -0.5, True),
+    ("a b", None, 1.0, "a b", -0.5, False),
+    ("a b", -9.0, 1.0, "a b", None, False),
+    ("a b", -0.5, 2.0, "a b", -0.5, False),
+    ("a b", -0.5, 2.0001, "a b", -0.5, True),
+    ("a b", -0.5, None, "a b", -0.5, False),
+    (WORDS[:17], -0.5, 1.0, WORDS[:11], -0.5, False),
+    (WORDS[:19], -0.5, 1.0, WORDS[:11], -0.5, True),
+    (WORDS, -0.5, 1.0, " \t", -0.5, False),
+    (WORDS, -0.5, 1.0, None, -0.5, False),
+    (None, 0.5, 1.0, WORDS, -0.5, False),
 ])
 def test_should_revert(spark, text, lp, cr, base, blp, want):
     df = spark.createDataFrame([(text, lp, cr, base, blp)], "t string, lp double, cr double, b string, bl double")
