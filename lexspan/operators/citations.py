@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import is_blank, mmss, strip
-from lexspan.functions.vectors import cosines
+from lexspan.functions.vectors import Balls, unit_rows
 from lexspan.operators.ordered import first_n
 
 # fixed values
@@ -20,16 +20,16 @@ NOTHING_FOUND = ("I couldn't find anything about that in your lectures for this
 # end of fixed values
 
 
-# A subject with many questions or items is cut into cells of about this many of each.
-CELL_QUESTIONS, CELL_ITEMS = 1_000, 4_000
+# A subject with many questions or items is cut into cells of about this many of each; balls keep the products of a cell few.
+CELL_QUESTIONS, CELL_ITEMS = 1_000, 32_000
 
 
 def _best_in_cells(questions: DataFrame, items: DataFrame, ks: dict[bool, int] | None, k: int) -> DataFrame:
     """Candidates (question_id, id, score, side) for each question's best items inside its scope.
 
-    Questions and items of a subject are dealt into blocks by their ids, and every pair of blocks is a cell: one matrix
-    product per cell, of which only each question's best rows leave, so neither a large subject nor its
-    vectors pass through one task. ``ks``: how many of the items whose kind is the wanted one (True) and of
+    Questions and items of a subject are dealt into blocks by their ids, and every pair of blocks is a cell. In it items lie
+    in balls and a question meets only balls whose bound reaches its k-th score so far; only each question's best rows leave, so neither a
+    large subject nor its vectors pass through one task. ``ks``: how many of the items whose kind is the wanted one (True) and of
     the others (False) a question may need; otherwise ``k`` of all. An item without a vector, or with one of another size,
     has a NULL score and comes last.
     """
@@ -45,23 +45,50 @@ def _best_in_cells(questions: DataFrame, items: DataFrame, ks: dict[bool, int] |
     i = items.join(cells, "subject_id").select("subject_id", copies("q_cells").alias("qb"), block("id", "i_cells").alias("ib"), "id", "lecture_id", "embedding", is_note.alias("is_note"))
 
     def search(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        its = its.iloc[np.argsort(its["id"].to_numpy(), kind="stable")]
+        ids, of_note = its["id"].to_numpy(), its["is_note"].to_numpy(dtype=bool)
+        sizes = np.array([-1 if v is None else len(v) for v in its["embedding"]], int)
+        asked_size = np.array([-1 if v is None else len(v) for v in qs["vector"]], int)
+        names, wanted = qs["question_id"].to_numpy(), qs["wants"].to_numpy(dtype=bool)
         parts = []
-        order = np.argsort(its["id"].to_numpy(), kind="stable")
-        its = its.iloc[order]
-        for size in {len(v) for v in qs["vector"] if v is not None} | {-1}:
-            mine = qs[np.array([(len(v) if v is not None else -1) == size for v in qs["vector"]], bool)]
-            fit = np.array([v is not None and len(v) == size for v in its["embedding"]], bool)
-            scores = np.full((len(mine), len(its)), np.nan)
-            if size > 0 and fit.any():
-                scores[:, fit] = cosines(mine["vector"], its["embedding"][fit])
-            ranked = np.where(np.isnan(scores), -2.0, np.round(scores, SCORE_DIGITS))
-            for row, (name, only, wanted) in enumerate(zip(mine["question_id"], mine["only_lecture"], mine["wants"])):
-                inside = np.ones(len(its), bool) if pd.isna(only) else (its["lecture_id"] == only).to_numpy()
-                for side in (True, False):
-                    at = np.flatnonzero(inside & ((its["is_note"].to_numpy() == wanted) == side))
-                    at = at[np.argsort(-ranked[row, at], kind="stable")[: (ks or {True: k, False: 0})[side]]]
-                    if len(at):
-                        parts.append(pd.DataFrame({"question_id": name, "id": its["id"].to_numpy()[at], "score": scores[row, at], "primary": side}))
+
+        def add(who: np.ndarray, score: np.ndarray, at: np.ndarray, rest: np.ndarray, side: bool, keep: int) -> None:
+            """The best rows of these questions; items without a score follow by id."""
+            found = np.isfinite(score)
+            spare = np.maximum(0, keep - found.sum(axis=1))
+            if len(rest) and spare.any():
+                more = rest[: int(spare.max())]
+                fill = np.arange(len(more)) < spare[:, None]
+                at, score = np.concatenate([at, np.broadcast_to(more, (len(at), len(more)))], axis=1), np.concatenate([score, np.full(fill.shape, np.nan)], axis=1)
+                found = np.concatenate([found, fill], axis=1)
+            row, column = np.nonzero(found)
+            parts.append(pd.DataFrame({"question_id": names[who][row], "id": ids[at[row, column]], "score": score[row, column], "primary": side}))
+
+        only = qs["only_lecture"].to_numpy()
+        free = pd.isna(only)
+        scopes = [(np.ones(len(its), bool), free)] + [((its["lecture_id"] == x).to_numpy(), only == x) for x in pd.unique(only[~free])]
+        for size in np.unique(asked_size):
+            units = np.full((len(its), max(size, 1)), np.nan)
+            if size > 0 and (sizes == size).any():
+                units[sizes == size] = unit_rows(its["embedding"][sizes == size])
+            scored = ~np.isnan(units[:, 0])
+            for inside, mine in scopes:
+                for kind in (True, False):
+                    members = np.flatnonzero(inside & (of_note == kind))
+                    if not len(members):
+                        continue
+                    balls = Balls(units[members[scored[members]]])
+                    for want in (True, False):
+                        keep = (ks or {True: k, False: 0})[want == kind]
+                        who = np.flatnonzero(mine & (asked_size == size) & (wanted == want))
+                        if not len(who) or not keep:
+                            continue
+                        asks = unit_rows(qs["vector"].iloc[who]) if size > 0 else np.full((len(who), 1), np.nan)
+                        none = np.isnan(asks[:, 0])
+                        score, at = balls.best(asks[~none], keep)
+                        place = np.append(members[scored[members]], -1)
+                        add(who[~none], score, place[at], members[~scored[members]], want == kind, keep)
+                        add(who[none], np.zeros((none.sum(), 0)), np.zeros((none.sum(), 0), int), members, want == kind, keep)
         if not parts:
             return pd.DataFrame(columns=["question_id", "id", "score", "primary"])
         out = pd.concat(parts)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.functions.vectors import cosines
+from lexspan.functions.vectors import Balls, unit_rows
 from lexspan.operators import catalog as C
 from lexspan.operators import citations as R
 from lexspan.operators import coverage as V
@@ -50,7 +50,8 @@ def test_transcript_rows_and_joined_text(spark):
 
 
 def test_cosines():
-    got = cosines(pd.Series([[1.0, 0.0], [0.0, 0.0]]), pd.Series([[1.0, 1.0], [2.0, 0.0]]))
+    unit = unit_rows(pd.Series([[1.0, 0.0], [0.0, 0.0], [1.0, 1.0], [2.0, 0.0]]))
+    got = unit[:2] @ unit[2:].T
     assert got[0].tolist() == pytest.approx([0.5**0.5, 1.0]) and np.isnan(got[1]).all()
 
 
@@ -248,3 +249,21 @@ def test_short_and_impossible_hints(spark):
     q = spark.createDataFrame([(i, "s", h) for i, h in enumerate(asks)] + [(99, "t", "x")], "question_id int, subject_id string, lecture_hint string")
     got = {r["question_id"]: r["lecture_id"] for r in R.resolve_hints(q, lec).collect()}
     assert got == {0: 2, 1: 2, 2: 1, 3: None, 4: 1, 5: 1, 6: None, 7: None, 8: None, 99: None}
+
+
+@pytest.mark.parametrize("clusters,share", [(40, 0.2), (0, 1.01)])
+def test_balls_are_exact_and_skip(clusters, share):
+    """With and without clusters the same best vectors as from all products, ties by place."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(max(clusters, 1), 64)) if clusters else np.zeros((1, 64))
+    made = lambda n: unit_rows(centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 64)) * (0.25 if clusters else 1.0))
+    items = made(8_000)
+    items[4_000:4_050] = items[100]
+    asks = np.concatenate([made(300), items[100:101]])
+    balls = Balls(items)
+    score, at = balls.best(asks, 12)
+    whole = asks @ items.T
+    want = np.lexsort((np.broadcast_to(np.arange(8_000), whole.shape), -np.round(whole, 9)), axis=-1)[:, :12]
+    assert (at == want).all() and np.allclose(score, np.take_along_axis(whole, want, 1))
+    assert balls.products < share * whole.size
+    assert Balls(items[:0]).best(asks, 2)[1].tolist() == [[0, 0]] * len(asks)
