@@ -214,8 +214,13 @@ def agg14_large(spark, sf):
     return near_normal(B.contrast_pairs(scored(spark, sf, "C0", "C4"), [("C0", "C4")]))
 
 
-@query("agg15_contrasts", near_normal_sql(B.CONTRASTS))
+@query("agg15_contrasts", boot_sql(B.CONTRASTS, B.N_BOOT))
 def agg15(spark, sf):
+    return B.bootstrap_contrasts(B.contrast_pairs(scored(spark, sf)), [f"{a}->{b}" for a, b in B.CONTRASTS])
+
+
+@query("agg15_contrasts_by_class", near_normal_sql(B.CONTRASTS))
+def agg15_by_class(spark, sf):
     return near_normal(B.contrast_pairs(scored(spark, sf)))
 
 

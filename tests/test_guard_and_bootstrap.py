@@ -124,3 +124,13 @@ def test_decode_settings_take_the_language_first(spark):
     rows = [("C0", "hi", 1, 120, 5, 10), ("C0", "auto", 1, 120, 5, 10), ("C4", "hi", 2, 120, 4, 10), ("C4", "hi", 1, 200, 4, 10), ("C4", "auto", 1, 120, 0, 10)]
     got = G.decode_settings(spark.createDataFrame(rows, "cond string, lang string, k int, cap int, errors int, ref_len int"), ["hi", "auto"], [1, 2, 3], [120, 200]).collect()
     assert [tuple(r) for r in got] == [("hi", 0.5, 1, 200, 0.4)]
+
+
+def test_contrasts_in_one_pass_equal_each_by_itself(spark):
+    """Contrasts of equal and of other sizes, one of the list without pairs."""
+    rng = np.random.default_rng(2)
+    rows = [(c, f"u{i:04d}", int(rng.integers(0, 6)), int(rng.integers(1, 20)), int(rng.integers(0, 5))) for c, n in (("a->b", 90), ("a->c", 90), ("b->c", 37)) for i in range(n)]
+    df = spark.createDataFrame(rows, "contrast string, utt_id string, e_a int, n int, e_b int")
+    together = B.bootstrap_contrasts(df, ["a->b", "a->c", "b->c", "x->y"], 300)
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, B.bootstrap_by_hash(df, 300).collect()))
+    assert B.bootstrap_contrasts(df.limit(0), ["a->b"], 20).collect() == []
