@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.functions.jsons import is_json
 from lexspan.session import durable
 
 # fixed values
@@ -165,3 +166,29 @@ def read_json(c: Column, schema: str) -> Column:
 def write_json(c: Column) -> Column:
     """JSON text; characters outside ASCII are kept as they are."""
     return F.to_json(c)
+
+
+def json_value(c: Column) -> Column:
+    """A JSON text as a variant of any shape: lists, dicts and citation arrays need no schema. NULL for NULL and for broken text."""
+    return F.when(is_json(c), F.try_parse_json(c))
+
+
+def broken_json(c: Column) -> Column:
+    """True for text that isn't JSON; a NULL column and the JSON null aren't broken."""
+    return c.isNotNull() & ~is_json(c)
+
+
+def json_path(value: Column, path: str, kind: str = "string") -> Column:
+    """What lies at a path of a variant, NULL where there is nothing of that kind."""
+    return F.try_variant_get(value, path, kind)
+
+
+def json_elements(df: DataFrame, keys: list[str], value: str, path: str = "$") -> DataFrame:
+    """(keys, pos, element): the elements of the array at a path of a variant column; rows without one give none."""
+    inner = F.try_variant_get(F.col(value), path, "array<variant>")
+    return df.select(*keys, F.posexplode(inner).alias("pos", "element"))
+
+
+def json_shape(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """The schema that all values of a variant column share, by key; merged map-side."""
+    return df.groupBy(*(keys or [])).agg(F.schema_of_variant_agg(value).alias("shape"))

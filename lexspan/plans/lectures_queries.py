@@ -411,6 +411,25 @@ def jsn1(spark, sf):
     return e.select("event_id", "p.k", C.write_json(F.struct(F.col("p.k").alias("k"), F.concat("event_type", F.lit(" é")).alias("type"))).alias("written"))
 
 
+# citations of an event, nested, with text outside ASCII; every seventh text is broken, every ninth is null
+@query("jsn1_nested_citations", """WITH e AS (SELECT event_id, user_id, event_type, event_id % 7 = 0 AS broken, event_id % 9 = 0 AS absent FROM events)
+SELECT event_id, CASE WHEN absent THEN 'null' WHEN broken THEN 'broken' ELSE 'ok' END AS state, CASE WHEN NOT absent AND NOT broken THEN pos::INT END AS pos,
+  CASE WHEN NOT absent AND NOT broken THEN event_type || ' é समझ ' || pos END AS title, CASE WHEN NOT absent AND NOT broken THEN user_id + pos END AS lecture,
+  CASE WHEN NOT absent AND NOT broken AND pos = 0 THEN 2.5::DOUBLE END AS start_s
+FROM e, unnest(range(0, CASE WHEN absent OR broken THEN 1 ELSE event_id % 3 END)) t(pos)""")
+def jsn1_nested(spark, sf):
+    e = table(spark, sf, "events")
+    cite = lambda i: F.struct((F.col("user_id") + i).alias("lecture"), F.concat("event_type", F.lit(" é समझ "), i.cast("string")).alias("title"), F.when(i == 0, 2.5).alias("start_s"))
+    cites = F.transform(F.filter(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), lambda i: i < F.col("event_id") % 3), cite)
+    text = C.write_json(F.struct(F.col("event_id").alias("id"), cites.alias("citations")))
+    raw = F.when(F.col("event_id") % 9 == 0, None).when(F.col("event_id") % 7 == 0, F.concat(text, F.lit("]"))).otherwise(text)
+    rows = e.select("event_id", raw.alias("raw")).select("event_id", C.broken_json(F.col("raw")).alias("broken"), F.col("raw").isNull().alias("absent"), C.json_value(F.col("raw")).alias("v"))
+    got = C.json_elements(rows, ["event_id"], "v", "$.citations").select(
+        "event_id", F.lit("ok").alias("state"), "pos", *[C.json_path(F.col("element"), f"$.{p}", k).alias(p) for p, k in (("title", "string"), ("lecture", "bigint"), ("start_s", "double"))])
+    odd = rows.filter("broken OR absent").select("event_id", F.when(F.col("absent"), "null").otherwise("broken").alias("state"))
+    return got.unionByName(odd, allowMissingColumns=True)
+
+
 @query("dat1_parse_iso", """WITH t AS (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%d/%m/%Y') ELSE '2024-13-' || (event_id % 10) END AS raw FROM events)
 SELECT event_id, raw, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts)::TIMESTAMP END AS parsed, event_id % 4 >= 2 AS rejected FROM t""")
 def dat1(spark, sf):

@@ -70,6 +70,20 @@ def src3(spark, sf):
     return T.select_split(T.union_manifests(*base_and_packed(spark, sf)), "test")
 
 
+# every eleventh line is cut, every thirteenth lacks its split, every seventeenth has a word for a number
+@query("src3_manifest_rejects", with_(BASE_PACKED, f"""n_ AS (SELECT utt_id, split, {hash_sql("'line'", 'utt_id')} AS h FROM base_)""",
+    body="""SELECT utt_id, CASE WHEN h % 11 = 0 OR h % 17 = 0 THEN 'not a JSON record' WHEN h % 13 = 0 THEN 'missing split' END AS problem,
+  CASE WHEN h % 11 <> 0 AND h % 17 <> 0 AND h % 13 <> 0 THEN split END AS split FROM n_"""))
+def src3_rejects(spark, sf):
+    base, _ = base_and_packed(spark, sf)
+    h = seeded_hash("line", F.col("utt_id"))
+    row = F.struct("utt_id", "ref", F.when(h % 13 != 0, F.col("split")).alias("split"), F.when(h % 17 == 0, "many").otherwise("3").alias("n_segments"))
+    text = F.regexp_replace(F.to_json(row), '"n_segments":"3"', '"n_segments":3')
+    lines = base.select("utt_id", F.when(h % 11 == 0, F.substr(text, F.lit(1), F.length(text) - 3)).otherwise(text).alias("value"))
+    checked = T.checked_records(lines, T.MANIFEST, T.MANIFEST_FIELDS)
+    return checked.select("utt_id", "problem", F.when(F.col("problem").isNull(), F.col("record.split")).alias("split"))
+
+
 @query("set1_union_manifests", with_(BASE_PACKED, body="SELECT * FROM base_ UNION ALL SELECT * FROM packed_"))
 def set1(spark, sf):
     return T.union_manifests(*base_and_packed(spark, sf))

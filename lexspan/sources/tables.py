@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.functions.jsons import is_json
+from lexspan.functions.text import is_blank
+from lexspan.sources.kaldi import read_lines
+
 MANIFEST = (
     "utt_id string, lecture_id string, wav string, start double, end double, dur double, ref string, "
     "n_segments int, split string, title_source boolean, in_eval boolean"
@@ -29,6 +35,75 @@ CONTRAST = (
 HYP_KEYS = ["model", "cond", "split"]
 
 
+#: Fields that a record must name, whatever their value.
+MANIFEST_FIELDS = ("utt_id", "split")
+COURSE_FIELDS = ("course_id", "title", "provenance", "units")
+UNIT_FIELDS = ("unit_id", "title", "prose", "keywords")
+_WHOLE = "__whole"
+
+
+def _missing(text: Column, fields: tuple[str, ...]) -> Column:
+    """The first of these fields that a JSON object doesn't name, NULL if it names all."""
+    named = F.json_object_keys(text)
+    return F.coalesce(*[F.when(~F.array_contains(named, f), F.lit(f)) for f in fields])
+
+
+def checked_records(lines: DataFrame, schema: str, required: tuple[str, ...], units: tuple[str, ...] = ()) -> DataFrame:
+    """Each record with what is wrong with it: the other columns of ``lines``, value, record, problem.
+
+    ``value`` is a JSON text. The problem is "not a JSON record" (broken text, another type, a field of a
+    wrong type), "missing <field>", "unit missing <field>" for an element of ``units``, or NULL. Blank
+    lines are left out, so records and rejects add up to the others.
+    """
+    place = [c for c in lines.columns if c != "value"]
+    kept = lines.filter(~is_blank(F.col("value")))
+    parsed = F.from_json("value", f"{schema}, {_WHOLE} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _WHOLE})
+    rows = kept.select(*place, "value", parsed.alias("record"))
+    problem = F.when(~is_json(F.col("value")) | F.json_object_keys("value").isNull() | F.col(f"record.{_WHOLE}").isNotNull(), "not a JSON record")
+    problem = problem.otherwise(F.concat(F.lit("missing "), _missing(F.col("value"), required)))
+    if units:
+        each = F.from_json(F.get_json_object("value", "$.units"), "array<string>")
+        bad = F.filter(F.transform(each, lambda u: F.concat(F.lit("unit missing "), _missing(u, units))), F.isnotnull)
+        problem = F.coalesce(problem, F.get(bad, F.lit(0)))
+    return rows.select(*place, "value", F.col("record").dropFields(_WHOLE).alias("record"), problem.alias("problem"))
+
+
+def good_records(checked: DataFrame) -> DataFrame:
+    return checked.filter("problem IS NULL").select("record.*")
+
+
+def rejects(checked: DataFrame) -> DataFrame:
+    """Broken records: where they stand, what is wrong, and their text."""
+    return checked.filter("problem IS NOT NULL").drop("record")
+
+
+def strict_records(checked: DataFrame) -> DataFrame:
+    """The records; the first broken one ends the job with its place and problem."""
+    place = [F.col(c).cast("string") for c in checked.columns if c not in ("value", "record", "problem")]
+    error = F.raise_error(F.concat_ws(": ", *place, "problem"))
+    return checked.withColumn("record", F.when(F.col("problem").isNotNull(), error.cast(checked.schema["record"].dataType)).otherwise(F.col("record"))).select("record.*")
+
+
+def store_checked(checked: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) from one scan of the source: both are written by one job, under ``path``."""
+    checked.withColumn("rejected", F.col("problem").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(path)
+    stored = checked.sparkSession.read.schema(checked.withColumn("rejected", F.lit(True)).schema).parquet(path)
+    part = lambda flag: stored.filter(F.col("rejected") == flag).drop("rejected")
+    return good_records(part(False)), rejects(part(True))
+
+
+def check_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of manifests, checked: file, line_no from 0, value, record, problem."""
+    lines = [read_lines(spark, p) for p in paths]
+    return checked_records(reduce(DataFrame.unionByName, lines), MANIFEST, MANIFEST_FIELDS)
+
+
+def check_syllabi(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Syllabus files, one course each, checked: file, value, record, problem."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return checked_records(files, SYLLABUS, COURSE_FIELDS, UNIT_FIELDS)
+
+
 def read_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(MANIFEST).json(paths)
 

@@ -155,3 +155,47 @@ def test_lines_are_numbered_across_the_splits_of_a_file(spark, tmp_path):
     assert got == {name: list(enumerate(lines)) for name, lines in texts.items() if lines}
     heads = {r["file"].rsplit("/", 1)[1]: (r["n_lines"], r["head"]) for r in K.discover(K.read_lines(spark, str(tmp_path)), 2).collect()}
     assert heads == {"a.txt": (500, ["line 0", "line 1"]), "b.txt": (1, ["only"])}
+
+
+def test_broken_manifest_lines_are_rejects(spark, tmp_path):
+    """Rows and rejects add up to the lines that aren't blank; each reject names its file and line."""
+    a = write(tmp_path / "a.jsonl", '{"utt_id":"1","split":"test"}\n\n{"utt_id":"2","spl\n{"utt_id":"3"}\n  \n{"utt_id":"4","split":null,"start":1.5}\n')
+    b = write(tmp_path / "b.jsonl", '[1]\n{"utt_id":"5","split":"dev","start":"soon"}\n"text"\n{"utt_id":"6","split":"dev","more":1}\n')
+    checked = T.check_manifests(spark, [a, b])
+    bad = {(r["file"].rsplit("/", 1)[-1], r["line_no"], r["problem"]) for r in T.rejects(checked).collect()}
+    first = min(n for f, n, _ in bad if f == "b.jsonl")
+    assert first == 0 and bad == {
+        ("a.jsonl", 2, "not a JSON record"), ("a.jsonl", 3, "missing split"), ("b.jsonl", 0, "not a JSON record"), ("b.jsonl", 1, "not a JSON record"), ("b.jsonl", 2, "not a JSON record")}
+    good, broken = T.store_checked(checked, str(tmp_path / "stored"))
+    assert sorted(r["utt_id"] for r in good.collect()) == ["1", "4", "6"] and good.columns == [c.split()[0] for c in T.MANIFEST.split(", ")]
+    assert broken.count() + good.count() == 8
+    with pytest.raises(Exception, match="not a JSON record|missing split"):
+        T.strict_records(checked).collect()
+    assert T.strict_records(checked.filter("problem IS NULL")).count() == 3
+
+
+def test_broken_syllabus_files(spark, tmp_path):
+    unit = '{"unit_id":"u","title":"t","prose":null,"keywords":[]}'
+    texts = {
+        "ok": '{"course_id":"c","title":"t","provenance":"real",\n"units":[' + unit + "]}",
+        "none": '{"course_id":"c","title":"t","provenance":"real","units":[]}',
+        "field": '{"course_id":"c","provenance":"real","units":[]}',
+        "unit": '{"course_id":"c","title":"t","provenance":"real","units":[' + unit + ',{"unit_id":"v","title":"t","prose":"p"}]}',
+        "cut": '{"course_id":"c"',
+    }
+    for name, text in texts.items():
+        write(tmp_path / f"{name}.json", text)
+    got = {r["file"].rsplit("/", 1)[-1]: r["problem"] for r in T.check_syllabi(spark, str(tmp_path)).collect()}
+    assert got == {"ok.json": None, "none.json": None, "field.json": "missing title", "unit.json": "unit missing keywords", "cut.json": "not a JSON record"}
+
+
+def test_json_of_any_shape(spark):
+    from lexspan.operators import catalog as C
+
+    rows = [(1, '[1,"x",{"a":[true,null]}]'), (2, '{"k":"é समझ","n":{"m":2}}'), (3, "null"), (4, None), (5, '{"k":'), (6, ""), (7, '{"k":1}]'), (8, '1,"x":2'), (9, "[1]}"), (10, "1 2"), (11, " 5 ")]
+    df = spark.createDataFrame(rows, "id int, raw string").select("id", "raw", C.json_value(F.col("raw")).alias("v"), C.broken_json(F.col("raw")).alias("broken"))
+    assert {r["id"] for r in df.filter("broken").collect()} == {5, 6, 7, 8, 9, 10}
+    assert [r["k"] for r in df.filter("id = 2").select(C.json_path(F.col("v"), "$.k").alias("k")).collect()] == ["é समझ"]
+    elements = C.json_elements(df, ["id"], "v").select("id", "pos", F.to_json("element").alias("e")).collect()
+    assert [tuple(r) for r in elements] == [(1, 0, "1"), (1, 1, '"x"'), (1, 2, '{"a":[true,null]}')]
+    assert "m: BIGINT" in C.json_shape(df.filter("id = 2"), "v").first()["shape"]
