@@ -51,13 +51,13 @@ OP8 = f"""WITH l AS (SELECT doc_id, n - 1 AS line_no, trim(lower(string_split(te
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(n)),
 p AS (SELECT * FROM l WHERE line <> ''),
 f AS (SELECT line, min((doc_id, line_no)) AS first, regexp_split_to_array(line, '[\\x20\\x09\\x0B\\x0C\\x0D]+') AS w FROM p GROUP BY line),
-g AS ({_shingles('f', 'line')}), n AS (SELECT line, count(*) AS n FROM g GROUP BY line),
+g AS (SELECT DISTINCT line, unnest(w) AS g FROM f), n AS (SELECT line, count(*) AS n FROM g GROUP BY line),
 k AS (SELECT a.line AS a, b.line AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.line <> b.line GROUP BY ALL),
 e AS (SELECT a, min(first) AS linked FROM k JOIN n x ON x.line = a JOIN n y ON y.line = b JOIN f ON f.line = b WHERE 4 * k >= 3 * (x.n + y.n - k) GROUP BY a),
 t AS (SELECT line, CASE WHEN linked < first THEN linked ELSE first END AS first FROM f LEFT JOIN e ON a = line),
-gone AS (SELECT doc_id, line_no, first[1] AS first_doc FROM p JOIN t USING (line) WHERE (doc_id, line_no) > first),
-c AS (SELECT doc_id, count(*) AS n_removed, count(DISTINCT first_doc) AS n_first_docs, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id)
-SELECT d.doc_id, coalesce(m.n, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_first_docs, 0) AS n_first_docs, coalesce(removed, '') AS removed
+gone AS (SELECT doc_id, line_no FROM p JOIN t USING (line) WHERE (doc_id, line_no) > first),
+c AS (SELECT doc_id, count(*) AS n_removed, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id) m ON m.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
 
 OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOW)} AS w FROM documents), g AS ({_shingles('d', 'doc_id')}),
