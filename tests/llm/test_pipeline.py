@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexspan.llm.common import settled
@@ -62,3 +63,18 @@ def test_odd_rows_pass(spark, sf, edge):
         docs = settled(stage(spark, docs, sf), name)
     got = [r.doc_id for r in docs.collect()]
     assert got.count(1) == got.count(2) == got.count(3) == 1 and got.count(9) == 1
+
+
+def test_any_column_names_and_empty_tables(spark, sf):
+    """Names with dots and names that stages use inside come through every stage untouched, and so does a table without rows."""
+    odd = ["meta.source", "__row", "row", "whole", "gone", "apart", "judged", "rest", "h", "nameless", "n_removed"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    docs = docs.toDF(*docs.columns).select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in odd])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = settled(stage(spark, docs, sf), name)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in odd), name
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.columns == docs.columns and empty.collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).collect() == []
