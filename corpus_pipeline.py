@@ -8,7 +8,7 @@ bpe        ids of what is left, and the text decoded from them
 
 All stages but the last return the columns of documents; n_chars is the length of the text as
 it now is. Rows with a null text pass the filters as empty texts do. Where ids are null or shared, rows
-are told apart by their texts.
+are told apart by their texts. Other columns, whatever their names, come along as they are. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,32 +27,38 @@ from lexspan.llm.transducer import encode_decode
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
+    """whole, a struct of all columns, so that none of them can clash with what a stage adds; row, the row's key; doc_id and text."""
+    return docs.select(F.struct("*").alias("whole"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose probability of the highest grade is LEAST or more, as they are; a null text is judged as an empty one."""
     model = train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
-    judged = docs.withColumn("__quality", scored(model, F.col("text"), spark))
-    return judged.where(F.col("__quality.tail_probability") >= LEAST).select(*docs.columns)
+    judged = keyed(docs).withColumn("judged", scored(model, F.col("text"), spark))
+    return judged.where(F.col("judged.tail_probability") >= LEAST).select("whole.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the lines that repeat an earlier one (see dedup_lines), n_chars anew; rows left without a word go."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = kept_rows(docs).withColumnRenamed("row", "__row")
+    """One row of each group of near-duplicates, that of the least id; texts without words are in no group and all stay."""
+    kept = kept_rows(docs).select("row")
     # equal rows of one id are in one group, and so are equal texts without an id: one of them stays
     copies = F.when(F.col("doc_id").isNull(), apart(F.col("text"))).otherwise(0)
-    return keyed(docs).join(kept, "__row", "left_semi").withColumn("__apart", copies).dropDuplicates(["__row", "__apart"]).select(*docs.columns)
+    return keyed(docs).join(kept, "row", "left_semi").withColumn("apart", copies).dropDuplicates(["row", "apart"]).select("whole.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    return keyed(docs).join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item, as they are."""
+    found = contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return keyed(docs).join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("whole.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row: doc_id, n_tokens and digests of ids and decoded text."""
     import public_tokenizers
 
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
