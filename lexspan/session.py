@@ -27,17 +27,26 @@ def local_session(cores: int = 8, partitions: int | None = None, app: str = "lex
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder set in code.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where nothing is
-    configured (tests) is a temporary folder set.
+    Where neither is set, a session on one machine (tests) gets a temporary folder; on a cluster that
+    would be each machine's own disk, so it is an error there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root:
+        return root
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the folder the cluster names (see ``shared_root``)."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
