@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.session import ship_package
+from lexspan.session import shared_root, ship_package
 
 #: Bytes of text that one step inside a task handles at once.
 SLICE_BYTES = 1 << 20
@@ -21,9 +20,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where nothing is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-llm-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that driver and executors share."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
