@@ -191,6 +191,21 @@ def join_lines(lines: DataFrame, separator: str) -> DataFrame:
     )
 
 
+def nested_transcripts(lectures: DataFrame, spans: DataFrame) -> DataFrame:
+    """One row per lecture with title, status, duration, the joined text and its spans as an array in index order.
+
+    ``lectures``: lecture_id, lecture_title, status, duration_s. A lecture without spans has an empty text and an
+    empty array. A row is as long as its lecture: ``full_transcript`` gives the same as rows.
+    """
+    columns = [c for c in spans.columns if c not in ("lecture_id", "index")]
+    span = F.struct("index", *columns)
+    of_lecture = spans.groupBy("lecture_id").agg(F.array_sort(F.collect_list(span), lambda x, y: F.when(x["index"] < y["index"], -1).when(x["index"] > y["index"], 1).otherwise(0)).alias("spans"))
+    none = F.array().cast(of_lecture.schema["spans"].dataType)
+    whole = lectures.select("lecture_id", "lecture_title", "status", "duration_s").join(of_lecture, "lecture_id", "left").withColumn("spans", F.coalesce("spans", none))
+    text = F.array_join(F.transform("spans", lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+    return whole.select("lecture_id", F.col("lecture_title").alias("title"), "status", "duration_s", text.alias("text"), "spans")
+
+
 def render_units(subjects: DataFrame, units: DataFrame) -> DataFrame:
     """``- key: title`` lines of each subject's syllabus."""
     line = F.concat(F.lit("- "), "unit_key", F.lit(": "), "title")

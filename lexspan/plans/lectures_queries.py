@@ -204,6 +204,19 @@ def txt25_joined(spark, sf):
     return V.join_lines(V.full_transcript(spans(spark, sf)), " ")
 
 
+# lectures of one subject have no spans yet
+@query("txt25_nested_transcript", with_(SPANS, body="""SELECT l.lecture_id, lecture_title AS title, CASE WHEN subject_id = 4 THEN 'queued' ELSE 'ready' END AS status, duration_s,
+  coalesce(string_agg(text, ' ' ORDER BY index), '') AS text, count(index) AS n_spans,
+  coalesce(string_agg(index || '|' || start_s::INT || '|' || end_s::INT || '|' || length(text) || '|' || array_to_string(retrieved_unit_ids, '+'), ';' ORDER BY index), '') AS spans
+FROM lectures l LEFT JOIN spans s ON s.lecture_id = l.lecture_id AND subject_id <> 4 GROUP BY ALL"""))
+def txt25_nested(spark, sf):
+    lec = lectures(spark, sf).withColumn("status", F.when(F.col("subject_id") == 4, "queued").otherwise("ready"))
+    own = spans(spark, sf).filter(F.col("lecture_id") % 5 != 4).select("lecture_id", "index", "start_s", "end_s", "text", "retrieved_unit_ids")
+    shown = lambda x: F.concat_ws("|", x["index"].cast("string"), x["start_s"].cast("int").cast("string"), x["end_s"].cast("int").cast("string"), F.length(x["text"]).cast("string"), F.array_join(x["retrieved_unit_ids"], "+"))
+    return V.nested_transcripts(lec, own).select(
+        "lecture_id", "title", "status", "duration_s", "text", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", shown), ";").alias("spans"))
+
+
 # --- retrieval contexts -----------------------------------------------------------------
 SCOPED = VECTORS + """,
 sim_ AS (SELECT question_id, wants_notes, items.*, round_even(list_cosine_similarity(vector, items.embedding), 9) AS score
