@@ -215,6 +215,42 @@ def keep_last_tokens(c: Column, n: int, split: Callable[[Column], Column] = toke
     )
 
 
+#: Stand around each subword while a word is merged, and before a word's first one: private letters that texts don't hold.
+_OPEN, _SHUT, WORD_START = "\ue000", "\ue001", "▁"
+
+
+def merge_list(merges: DataFrame) -> Column:
+    """The merges of a table (rank, left, right) as one value: a bounded list, read once. Add it as a column, and give that to ``merged_subwords``."""
+    steps = F.struct("rank", "left", "right")
+    return merges.agg(F.transform(F.sort_array(F.collect_list(steps)), lambda m: F.struct(
+        F.concat(F.lit(_OPEN), m["left"], F.lit(_SHUT + _OPEN), m["right"], F.lit(_SHUT)).alias("pair"),
+        F.concat(F.lit(_OPEN), m["left"], m["right"], F.lit(_SHUT)).alias("whole"))).alias("steps")).scalar()
+
+
+def merged_subwords(merges: Column) -> Callable[[Column], Column]:
+    """A tokenizer of words: letters, then each merge of the list in its order, from the left; the first subword has a mark before it."""
+
+    def subwords(word: Column) -> Column:
+        letters = F.array_join(F.transform(F.split(word, ""), lambda x: F.concat(F.lit(_OPEN), x, F.lit(_SHUT))), "")
+        done = F.aggregate(merges, letters, lambda text, m: F.replace(text, m["pair"], m["whole"]))
+        parts = F.split(F.substr(done, F.lit(2), F.length(done) - 2), _SHUT + _OPEN)
+        return F.transform(parts, lambda p, i: F.when(i == 0, F.concat(F.lit(WORD_START), p)).otherwise(p))
+
+    return subwords
+
+
+def keep_last_subwords(c: Column, n: int, subwords: Callable[[Column], Column]) -> Column:
+    """Keep the end of a text: its last ``n`` subwords, or all of it when it has no more.
+
+    Every word has a subword at least, so the last ``n`` lie in the last ``n`` words, and a word's subwords
+    don't depend on others: only these words are split, whatever the length of the text. ``subwords`` turns a word into an array.
+    """
+    words = tokens(c)
+    tail = F.flatten(F.transform(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), subwords))
+    end = F.array_join(F.slice(tail, F.greatest(F.size(tail) - n + 1, F.lit(1)), n), "")
+    return F.when((F.size(words) <= n) & (F.size(tail) <= n), c).otherwise(F.ltrim(F.replace(end, F.lit(WORD_START), F.lit(" "))))
+
+
 def token_count(c: Column, split: Callable[[Column], Column] = tokens) -> Column:
     return F.size(split(c))
 

@@ -329,6 +329,41 @@ def txt15(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"), X.keep_last_tokens(F.col("text"), 200).alias("kept"))
 
 
+# a merge list in a table: the most frequent pairs of letters, then of such a pair and a letter behind it
+MERGES = """lw_ AS (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part),
+l2_ AS (SELECT substr(w, i, 1) AS a, substr(w, i + 1, 1) AS b, count(*) AS n FROM lw_, unnest(range(1, length(w))) t(i) GROUP BY ALL),
+m2_ AS (SELECT a AS "left", b AS "right", row_number() OVER (ORDER BY n DESC, a, b) AS rank FROM l2_),
+l3_ AS (SELECT substr(w, i, 2) AS a, substr(w, i + 2, 1) AS b, count(*) AS n FROM lw_, unnest(range(1, length(w) - 1)) t(i) GROUP BY ALL),
+m3_ AS (SELECT a AS "left", b AS "right", 1000 + row_number() OVER (ORDER BY n DESC, a, b) AS rank FROM l3_ WHERE a IN (SELECT "left" || "right" FROM m2_ WHERE rank <= 30)),
+merges AS (SELECT * FROM m2_ WHERE rank <= 30 UNION ALL SELECT * FROM m3_ WHERE rank <= 1030)"""
+
+
+def merges(spark, sf):
+    words = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    n = F.count(F.lit(1)).alias("n")
+
+    def pairs(size: int):
+        at = words.select("w", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.length("w"), F.lit(1))), lambda i: i <= F.length("w") - size)).alias("i"))
+        return at.select(F.substr("w", F.col("i"), F.lit(size)).alias("left"), F.substr("w", F.col("i") + size, F.lit(1)).alias("right")).groupBy("left", "right").agg(n)
+
+    order = [F.desc("n"), F.col("left"), F.col("right")]
+    two = pairs(1).orderBy(*order).limit(30)
+    three = pairs(2).join(two.select(F.concat("left", "right").alias("left")), "left", "left_semi").orderBy(*order).limit(30)
+    both = two.withColumn("step", F.lit(0)).unionByName(three.withColumn("step", F.lit(1)))
+    return both.select(F.struct("step", -F.col("n"), "left", "right").alias("rank"), "left", "right")
+
+
+@query("txt15_keep_last_subwords", with_(MERGES, f"""steps_ AS (SELECT list(struct_pack(f := '<' || "left" || '><' || "right" || '>', t := '<' || "left" || "right" || '>') ORDER BY rank) AS ms FROM merges),
+w_ AS (SELECT conv_id, turn, text, {tokens_sql('text')} AS ws FROM conversations),
+x_ AS (SELECT conv_id, turn, i, list_reduce(list_prepend('<' || array_to_string(string_split(ws[i], ''), '><') || '>', list_transform(ms, lambda m: m.f || chr(1) || m.t)),
+  lambda acc, m: replace(acc, split_part(m, chr(1), 1), split_part(m, chr(1), 2))) AS s FROM w_, steps_, unnest(range(1, len(ws) + 1)) t(i)),
+y_ AS (SELECT conv_id, turn, flatten(list(list_transform(string_split(s[2:-2], '><'), lambda p, j: CASE WHEN j = 1 THEN ' ' || p ELSE p END) ORDER BY i)) AS parts FROM x_ GROUP BY ALL)""",
+    body="SELECT conv_id, turn, CASE WHEN len(parts) <= 60 THEN text ELSE ltrim(array_to_string(parts[-60:], '')) END AS kept FROM w_ JOIN y_ USING (conv_id, turn)"))
+def txt15_subwords(spark, sf):
+    subwords = X.merged_subwords(F.col("steps"))
+    return table(spark, sf, "conversations").withColumn("steps", X.merge_list(merges(spark, sf))).select("conv_id", "turn", X.keep_last_subwords(F.col("text"), 60, subwords).alias("kept"))
+
+
 @query("txt16_condition_prompt", with_(
     "c_ AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in NOISE) + ") v(cond))",
     "lines_ AS (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda l: true) AS ls FROM conversations)",

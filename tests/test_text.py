@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -99,3 +100,33 @@ def test_clean_pages(spark):
     assert [tuple(r[0]) for r in df.select(X.clean_pages(F.col("p"))).collect()] == [("a b\n\nc", False), (None, False)]
     assert [tuple(r[0]) for r in df.select(X.clean_pages(F.col("p"), 3)).collect()] == [("a b", True), (None, False)]
     assert [tuple(r[0]) for r in df.select(X.clean_pages(F.col("p"), None)).collect()] == [("a b\n\nc", False), (None, False)]
+
+
+MERGES = [(1, "t", "h"), (2, "th", "e"), (3, "i", "n"), (4, "a", "a"), (5, "in", "g"), (6, "aa", "aa"), (7, "e", "r"), (8, "the", "r")]
+
+
+def subwords_by_hand(text):
+    out = []
+    for word in text.split():
+        parts = list(word)
+        for _, a, b in MERGES:
+            i = 0
+            while i < len(parts) - 1:
+                if (parts[i], parts[i + 1]) == (a, b):
+                    parts[i : i + 2] = [a + b]
+                i += 1
+        out += [" " + parts[0], *parts[1:]]
+    return out
+
+
+def test_last_subwords_equal_cutting_the_whole(spark):
+    """1,000 random texts: splitting only the last words gives the end of all subwords."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the", "ring", "aa", "a", "er", "x", "é", " ", "  ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df = df.withColumn("steps", X.merge_list(spark.createDataFrame(MERGES, "rank int, left string, right string")))
+    for n in (1, 7):
+        got = {r["i"]: r["k"] for r in df.select("i", X.keep_last_subwords(F.col("t"), n, X.merged_subwords(F.col("steps"))).alias("k")).collect()}
+        for i, t in enumerate(texts):
+            parts = subwords_by_hand(t)
+            assert got[i] == (t if len(parts) <= n else "".join(parts[-n:]).lstrip(" ")), (n, t)
