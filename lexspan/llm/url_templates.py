@@ -1,7 +1,9 @@
 """URL filter: a tree of path templates for each host, with DataFrame functions only.
 
-URLs become branches first: host and the first DEPTH path segments, with counts of pages and of
-labelled pages. The tree is built over branches, level by level from the root. At each node:
+URLs become branches first: host and all path segments, with counts of pages and of
+labelled pages. The tree is built over branches, level by level from the root, until no branch has a further
+segment. A branch that is alone in its node is finished at once, so there are as many levels as branches of one host
+share segments. At each node:
 
 - Generalising: where a node has BRANCHES or more different segments, a segment that holds less than
   one in RARE of its pages becomes a wildcard of its shape: {n} digits, {x} with digits, {w} others.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from lexspan.llm.common import ascii_lower, settled
 
-DEPTH = 3
+#: Levels that the SQL is written out for; the job itself has no such limit.
+SQL_DEPTH = 8
 BRANCHES, RARE = 10, 20
 TESTED, Z = 5, 1.96
 WEIGHT, REJECT = 10, 0.5
@@ -60,13 +63,15 @@ def _shape(segment: Column) -> Column:
 
 
 def templates(branches: DataFrame) -> DataFrame:
-    """branches (host, s1 .. sDEPTH, more, n, labelled, bad) with their template."""
-    out = branches.withColumn("t", F.lit(""))
+    """branches (host, segments, n, labelled, bad) with their template."""
+    active = branches.withColumn("t", F.lit(""))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    for k in range(1, DEPTH + 1):
-        seg = f"s{k}"
-        child = out.groupBy("host", "t", F.col(seg).alias("seg")).agg(*sums)
-        node = child.groupBy("host", "t").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    finished, k = [], 0
+    while True:
+        here = active.withColumn("seg", F.coalesce(F.get("segments", F.lit(k)), F.lit(STOP)))
+        child = here.groupBy("host", "t", "seg").agg(F.count("*").alias("branches"), *sums)
+        node = child.groupBy("host", "t").agg(
+            F.count("*").alias("kinds"), F.sum("branches").alias("all_branches"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         rare = (F.col("kinds") >= BRANCHES) & (F.col("n") * RARE < F.col("all_n")) & (F.col("seg") != STOP)
         wild = child.join(node, ["host", "t"]).withColumn("token", F.when(rare, _shape(F.col("seg"))).otherwise(F.col("seg")))
         mine = wild.groupBy("host", "t", "token", "all_labelled", "all_bad").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
@@ -77,10 +82,16 @@ def templates(branches: DataFrame) -> DataFrame:
         tested = (n1 >= TESTED) & (n2 >= TESTED)
         final = F.when((F.col("token") == STOP) | (tested & apart & (b1 * n2 != b2 * n1)), F.col("token")).otherwise("{=}")
         merged = mine.select("host", "t", "token", final.alias("final"))
-        step = wild.select("host", "t", "seg", "token").join(merged, ["host", "t", "token"]).select("host", "t", F.col("seg").alias(seg), "final")
-        grown = F.when(F.col("final") == STOP, F.col("t")).otherwise(F.concat("t", F.lit("/"), "final"))
-        out = settled(out.join(step, ["host", "t", seg]).withColumn("t", grown).drop("final"), "templates")
-    return out.withColumn("template", F.concat("host", "t", F.when(F.col("more"), "/**").otherwise("")))
+        step = wild.select("host", "t", "seg", "token", (F.col("all_branches") == 1).alias("alone")).join(merged, ["host", "t", "token"]).select("host", "t", "seg", "final", "alone")
+        # alone, all further segments have no sibling to be told from
+        rest = F.repeat(F.lit("/{=}"), F.greatest(F.size("segments") - k, F.lit(0)))
+        grown = F.when(F.col("final") == STOP, F.col("t")).when(F.col("alone"), F.concat("t", rest)).otherwise(F.concat("t", F.lit("/"), "final"))
+        done = (F.col("final") == STOP) | F.col("alone")
+        out = settled(here.join(step, ["host", "t", "seg"]).select("host", "segments", "n", "labelled", "bad", grown.alias("t"), done.alias("done")), "templates")
+        finished.append(out.where("done").drop("done"))
+        active, k = out.where("NOT done").drop("done"), k + 1
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, finished).withColumn("template", F.concat("host", "t"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -88,16 +99,15 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
 
     ``labels``: (page_id, bad boolean); an id labelled twice is bad if any of its labels is, null ids and labels are left out. Null
     urls and urls without ``://`` have empty host and path, and share the empty host's template. Repeated pages
-    count each. An empty table gives an empty result; other columns aren't read.
+    count each. Paths of any length enter the tree whole, and a segment of any length is one. An empty table gives an empty result; other columns aren't read.
     """
     host, path = host_and_path(F.col(url_col))
     rule, given = by_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)
     known = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("is_bad"))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     seg = F.split(F.col("path"), "/")
-    levels = [F.coalesce(F.get(seg, F.lit(k)), F.lit(STOP)).alias(f"s{k}") for k in range(1, DEPTH + 1)]
-    cut = urls.select("*", *levels, (F.size(seg) > DEPTH + 1).alias("more"))
-    key = ["host", *(f"s{k}" for k in range(1, DEPTH + 1)), "more"]
+    cut = urls.select("*", F.slice(seg, F.lit(2), F.size(seg)).alias("segments"))
+    key = ["host", "segments"]
     counted = cut.join(known, "page_id", "left")
     branches = counted.groupBy(*key).agg(F.count("*").alias("n"), F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
     tree = templates(settled(branches, "branches"))
@@ -122,7 +132,7 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same in SQL."""
     ctes = []
-    for k in range(1, DEPTH + 1):
+    for k in range(1, SQL_DEPTH + 1):
         p = f"b{k - 1}"
         ctes.append(f"""
 c{k} AS (SELECT host, t, s{k} AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM {p} GROUP BY ALL),
@@ -138,17 +148,17 @@ f{k} AS (SELECT host, t, token,
       AND (b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) >= {Z * Z!r}::DOUBLE * (b1 + b2) * (n1 + n2 - b1 - b2) * n1 * n2) THEN token ELSE '{{=}}' END AS final FROM m{k}),
 b{k} AS (SELECT b.* EXCLUDE (t), CASE WHEN final = '{STOP}' THEN b.t ELSE b.t || '/' || final END AS t
   FROM {p} b JOIN w{k} w ON b.host = w.host AND b.t = w.t AND b.s{k} = w.seg JOIN f{k} f ON f.host = w.host AND f.t = w.t AND f.token = w.token)""")
-    segments = ", ".join(f"coalesce(string_split(path, '/')[{k + 1}], '{STOP}') AS s{k}" for k in range(1, DEPTH + 1))
-    keys = ", ".join(["host", *(f"s{k}" for k in range(1, DEPTH + 1)), "more"])
+    segments = ", ".join(f"coalesce(string_split(path, '/')[{k + 1}], '{STOP}') AS s{k}" for k in range(1, SQL_DEPTH + 1))
+    keys = ", ".join(["host", *(f"s{k}" for k in range(1, SQL_DEPTH + 1)), "more"])
     order = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     case = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{out(v, h + p)}'" for v, h, p in order) + " END"
     return f"""WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 urls AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
-cut AS (SELECT *, {segments}, len(string_split(path, '/')) > {DEPTH + 1} AS more FROM urls),
-known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS is_bad FROM labels GROUP BY doc_id),
+cut AS (SELECT *, {segments}, len(string_split(path, '/')) > {SQL_DEPTH + 1} AS more FROM urls),
+known AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS is_bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
 b0 AS (SELECT {keys}, count(*) AS n, count(is_bad) AS labelled, coalesce(sum(is_bad), 0) AS bad, '' AS t FROM cut LEFT JOIN known USING (page_id) GROUP BY ALL),
 {",".join(ctes)},
-tree AS (SELECT *, host || t || CASE WHEN more THEN '/**' ELSE '' END AS template FROM b{DEPTH}),
+tree AS (SELECT *, host || t || CASE WHEN more THEN '/**' ELSE '' END AS template FROM b{SQL_DEPTH}),
 per AS (SELECT template, sum(n)::BIGINT AS n_pages, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY template),
 prior AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(labelled), 0), 0) AS share FROM per),
 purity AS (SELECT template, n_pages, labelled > 0 AND bad + {WEIGHT} * share >= {REJECT} * (labelled + {WEIGHT}) AS reject FROM per, prior)

@@ -52,3 +52,17 @@ def test_query_against_sql(spark, sf):
     df = entry.queries()["op5_url_templates"](spark, sf)
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_branches_below_the_third_segment(spark):
+    """Spam and clean pages part at the fourth segment, and at the tenth."""
+    rows, labels = [], []
+    for i in range(200):
+        bad = i % 2 == 0
+        rows += [(i, f"http://h.example/a/b/c/{'win' if bad else 'news'}/i{i}"), (1000 + i, f"http://d.example/{'x/' * 9}{'win' if bad else 'news'}/{i}")]
+        labels += [(i, bad), (1000 + i, bad)] if i < 160 else []
+    rows.append((5000, "http://long.example/" + "s/" * 3000 + "z" * 5000))
+    out = {r.page_id: r for r in judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, LABELS), rules=[]).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i].verdict == out[1000 + i].verdict == ("block" if i % 2 == 0 else "allow") for i in range(200))
+    assert out[5000].verdict == "allow" and out[198].template.startswith("h.example/{=}/{=}/{=}/win/")
