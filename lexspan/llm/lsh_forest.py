@@ -12,8 +12,12 @@ which cuts a large region anywhere; rows at the cuts are compared in a second, s
    sets and joined to components. That is at most one pair per node and tree.
 3. Nodes that met any other are sorted again, with their components and a longer sketch. Now all pairs
    within WINDOW places are taken that join different components, verified, and joined in turn.
+4. A region is what shares the first REGION minima of a tree. Where it holds more than WINDOW nodes and still more
+   than one component, its nodes outside the region's largest component are held against all of it, in blocks of
+   fixed size: the likeliest partners are verified first, then all others that would still join two components.
 
-So what is shuffled grows with the nodes, not with the squares of groups.
+So a large group is met by the few nodes that haven't joined it, never by its own square, and no number of
+neighbours is a limit. Two sets linked at 0.75 exactly share no region in 2 of a million cases, fewer above.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ LINK = 75
 TREES, DEPTH = 24, 8
 #: Trees whose pairs are verified in the first round, and places in an order that are looked at after each row.
 FIRST, WINDOW = 6, 32
+#: Minima that make a region, and rows on each side of a block when a crowded region is searched whole.
+REGION, BLOCK = 3, 4096
 #: A pair is ruled out below these estimates, from a bit of each minimum and from a byte of each: five standard deviations under 0.75.
 LEAST_BY_BITS, LEAST_BY_BYTES = 0.5, 0.6
 KEY, BIT_SKETCH, BYTE_SKETCH = 4 * DEPTH, TREES * DEPTH // 8, TREES * DEPTH
@@ -202,6 +208,53 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return settled(both.where(f"100L * n >= {LINK}L * (nx + ny - n)").select("a", "b"), "linked")
 
 
+def across_crowds(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, best) of different labels that may be linked, in regions too full for WINDOW; best: the likeliest of a row in a block.
+
+    ``nodes``: digest, label, keys, bits, bytes. Each row that isn't of its region's most frequent label meets all rows of the region.
+    """
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    shared = F.expr(f"substring(keys, tree * {KEY} + 1, {4 * REGION})")
+    spread = nodes.select("digest", "label", "keys", tree).select(F.xxhash64("tree", shared).alias("region"), "digest", "label")
+    mark = F.xxhash64("label")
+    full = spread.groupBy("region").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    members = settled(spread.join(full.where(f"n > {WINDOW} AND low < high").select("region"), "region"), "crowds")
+    sizes = members.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region")
+    sizes = sizes.agg(F.max_by("label", "n").alias("main"), F.ceil(F.sum("n") / BLOCK).alias("wide"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("high"))
+    rows = members.join(sizes, "region").join(nodes.select("digest", "bits", "bytes"), "digest")
+    place = F.xxhash64("digest")
+    met_by = F.transform(F.sequence(F.lit(0).cast("long"), F.col("high") - 1), lambda q: F.struct(q.alias("q"), F.pmod(place, F.col("wide")).alias("t"), F.lit(False).alias("asks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda t: F.struct(F.pmod(place, F.col("high")).alias("q"), t.alias("t"), F.lit(True).alias("asks")))
+    rows = rows.select("region", "digest", "label", "bits", "bytes", F.explode(F.when(F.col("label") == F.col("main"), met_by).otherwise(F.concat(met_by, meets))).alias("in"))
+
+    def held_against(table: pa.Table) -> pa.Table:
+        """All pairs of an asking row and another row of one block, by blocks of 64 asking rows."""
+        asks = table["asks"].to_numpy()
+        digest, label = np.array(table["digest"].to_pylist(), object), _matrix(table["label"], 16, "<u8")
+        bits, sketch = _matrix(table["bits"], BIT_SKETCH, "<u8"), _matrix(table["bytes"], BYTE_SKETCH, "u1")
+        asking, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+        a, b, best = [], [], []
+        for at in range(0, len(asking), 64):
+            ask = asking[at : at + 64]
+            apart = sum(np.bitwise_count(bits[ask, w][:, None] ^ bits[other, w][None, :]).astype(np.int16) for w in range(bits.shape[1]))
+            x, y = np.nonzero(apart <= (1 - LEAST_BY_BITS) / 2 * 8 * BIT_SKETCH)
+            x, y = ask[x], other[y]
+            unlike = (label[x] != label[y]).any(axis=1)
+            x, y = x[unlike], y[unlike]
+            alike = np.concatenate([(sketch[x[i : i + BLOCK]] == sketch[y[i : i + BLOCK]]).sum(axis=1) for i in range(0, max(len(x), 1), BLOCK)])
+            likely = alike >= LEAST_BY_BYTES * BYTE_SKETCH
+            x, y, alike = x[likely], y[likely], alike[likely]
+            order = np.lexsort((-alike, x))
+            x, y = x[order], y[order]
+            a += digest[np.where(digest[x] < digest[y], x, y)].tolist()
+            b += digest[np.where(digest[x] < digest[y], y, x)].tolist()
+            best.append(np.diff(x, prepend=-1) != 0)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "best": pa.array(np.concatenate(best) if best else np.zeros(0, bool))})
+
+    found = rows.select("region", "in.*", "digest", "label", "bits", "bytes").groupBy("region", "t", "q").applyInArrow(held_against, "a binary, b binary, best boolean")
+    return settled(found.groupBy("a", "b").agg(F.max("best").alias("best")), "across")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable, its own included), kept (doc_id is component_id).
 
@@ -238,7 +291,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     touched = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     again = nodes.join(touched, "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     second = verified(texts, nodes, met(again.select("digest", "keys", F.col("bytes").alias("sketch"), "label"), every=True))
-    labels = components(first.union(second))
+    links = first.union(second)
+    labels = components(links)
+    of_node = labels.withColumnRenamed("node", "digest")
+    more = across_crowds(nodes.join(of_node, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
+    if not more.isEmpty():
+        links = links.union(verified(texts, nodes, more.where("best")))
+        labels = components(links)
+        side = [labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab"]
+        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+        rest = settled(more.where("NOT best").join(side[0], "a", "left").join(side[1], "b", "left").where(apart).select("a", "b"), "rest")
+        if not rest.isEmpty():
+            labels = components(links.union(verified(texts, nodes, rest)))
     return rows, nodes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", "least", F.coalesce("label", "digest").alias("label"))
 
 

@@ -65,6 +65,23 @@ def test_groups(spark):
     assert Counter(map(tuple, near_duplicates(df).collect())) == all_pairs(rows)
 
 
+def test_star_keeps_every_link(spark):
+    """Variants linked to one base and hardly to each other: none is lost, however many stand between it and the base."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [" ".join(base)]
+    for n in range(2500):
+        t = list(base)
+        for at in rng.choice(200, 5, replace=False):
+            t[at] = f"x{n}y{at}"
+        rows.append(" ".join(t))
+    whole = grams(rows[0])
+    linked = {i for i, t in enumerate(rows) if 100 * len(whole & grams(t)) >= 75 * len(whole | grams(t))}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert len(linked) > 1000 and {i for i in linked if got[i] != 0} == set()
+
+
 def test_neighbours_look_past_unlike_rows():
     n = 6
     rng = np.random.default_rng(0)
