@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import id_and_text, row_key, scrambled, settled, shingles, slices, word_hashes, words
+from lexspan.llm.common import MIX, id_and_text, row_key, scrambled, settled, shingles, slices, word_hashes, words
 from lexspan.llm.components import components
 
 SHINGLE = 5
@@ -88,8 +88,8 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 _ROW = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("digest", pa.binary()), ("sketch", pa.binary()), ("label", pa.binary())])
-_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), *_ROW, ("gap", pa.int32()), ("after", pa.bool_())])
-FOUND = "a binary, b binary, tree int, key binary, digest binary, sketch binary, label binary, gap int, after boolean"
+_FOUND = pa.schema([("a", pa.binary()), ("b", pa.binary()), *_ROW, ("gap", pa.int32()), ("after", pa.bool_()), ("region", pa.int64())])
+FOUND = "a binary, b binary, tree int, key binary, digest binary, sketch binary, label binary, gap int, after boolean, region long"
 
 
 def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
@@ -97,6 +97,23 @@ def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(-1, width // np.dtype(kind).itemsize)
 
 
+def region_of(tree: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Names of regions: a hash of the tree and its first REGION minima."""
+    out = tree.astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        for at in range(REGION):
+            out = scrambled(out * MIX + first[..., at].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def full_regions(rows: pa.Table, new_from: int) -> np.ndarray:
+    """Regions with more than WINDOW rows, seen by a row and the one WINDOW places after it (from place new_from on)."""
+    if rows.num_rows <= WINDOW:
+        return np.zeros(0, np.int64)
+    names = region_of(rows["tree"].to_numpy(), _matrix(rows["key"], KEY, ">u4")[:, :REGION])
+    return np.unique(names[:-WINDOW][(names[:-WINDOW] == names[WINDOW:]) & (np.arange(WINDOW, len(names)) >= new_from)])
+
+
 def pairs_within(rows: pa.Table, new_from: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of rows close in the order that may be linked; only those with j >= new_from.
 
@@ -142,11 +159,17 @@ def _pair_batch(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 
 
 def met(rows: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b, tree) that are close in some tree of ``rows`` (digest, keys, sketch, label); the sketch is the bytes with ``every``, else the bits."""
+    """Pairs (a, b, tree) that are close in some tree of ``rows`` (digest, keys, sketch, label); the sketch is the bytes with ``every``, else the bits.
+
+    Without ``every`` also rows (region) without a pair, for regions with more than WINDOW rows.
+    """
+
+    def named(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found) if f.name == "region" else pa.nulls(len(found), f.type) for f in _FOUND], schema=_FOUND)
 
     def edge(rows: pa.Table, gap: int, after: bool) -> list[pa.RecordBatch]:
         n = rows.num_rows
-        more = {"a": pa.nulls(n, pa.binary()), "b": pa.nulls(n, pa.binary()), "gap": pa.array([gap] * n, pa.int32()), "after": pa.array([after] * n)}
+        more = {"a": pa.nulls(n, pa.binary()), "b": pa.nulls(n, pa.binary()), "gap": pa.array([gap] * n, pa.int32()), "after": pa.array([after] * n), "region": pa.nulls(n, pa.int64())}
         columns = [more[f.name] if f.name in more else rows[f.name] for f in _FOUND]
         return pa.Table.from_arrays(columns, schema=_FOUND).combine_chunks().to_batches()
 
@@ -161,6 +184,9 @@ def met(rows: DataFrame, every: bool) -> DataFrame:
             i, j = pairs_within(both, held.num_rows, every)
             if len(i):
                 yield _pair_batch(both, i, j)
+            full = full_regions(both, held.num_rows) if not every else ()
+            if len(full):
+                yield named(full)
             held = both.slice(max(0, both.num_rows - WINDOW))
         if heads:
             yield from edge(pa.concat_tables(head), at - 1, True)
@@ -172,25 +198,31 @@ def met(rows: DataFrame, every: bool) -> DataFrame:
         before = table.num_rows - int(np.sum(table["after"].to_numpy()))
         i, j = pairs_within(table, before, every)
         keep = i < before
-        return pa.Table.from_batches([_pair_batch(table, i[keep], j[keep])]).select(["a", "b", "tree"])
+        full = full_regions(table, before) if not every else np.zeros(0, np.int64)
+        return pa.Table.from_batches([_pair_batch(table, i[keep], j[keep]), named(full)]).select(["a", "b", "tree", "region"])
 
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     spread = rows.select("digest", "keys", "sketch", "label", tree)
     spread = spread.select("tree", F.expr(f"substring(keys, tree * {KEY} + 1, {KEY})").alias("key"), "digest", "sketch", "label")
     order = ["tree", "key", "digest"]
     found = settled(spread.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(inside, FOUND), "forest")
-    cut = found.where("gap IS NOT NULL").groupBy("gap").applyInArrow(across, "a binary, b binary, tree int")
-    return found.where("gap IS NULL").select("a", "b", "tree").union(cut)
+    cut = found.where("gap IS NOT NULL").groupBy("gap").applyInArrow(across, "a binary, b binary, tree int, region long")
+    return found.where("gap IS NULL").select("a", "b", "tree", "region").union(cut)
+
+
+def bitmap_of(marks: DataFrame) -> np.ndarray:
+    """BITS bits, those of ``marks`` (bit) set; at most BITS / 64 rows come to the driver."""
+    marks = marks.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[marks["at"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are linked. Only texts that stand for a node of a pair are read into sets."""
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    marks = nodes.join(wanted, "digest").select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS // 64, np.uint64)  # at most BITS / 64 rows come to the driver
-    bitmap[marks["at"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
-    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+    held = texts.sparkSession.sparkContext.broadcast(bitmap_of(nodes.join(wanted, "digest").select(bit.alias("bit"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -208,19 +240,26 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return settled(both.where(f"100L * n >= {LINK}L * (nx + ny - n)").select("a", "b"), "linked")
 
 
-def across_crowds(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, best) of different labels that may be linked, in regions too full for WINDOW; best: the likeliest of a row in a block.
+def across_crowds(nodes: DataFrame, labels: DataFrame, bitmap: Broadcast, every: bool) -> DataFrame:
+    """Pairs (a, b) of different labels that may be linked, in regions too full for WINDOW; unless ``every``, the likeliest of each row in a block.
 
-    ``nodes``: digest, label, keys, bits, bytes. Each row that isn't of its region's most frequent label meets all rows of the region.
+    ``nodes``: digest, keys, bits, bytes; ``labels``: node, label; ``bitmap``: marks of the full regions. Each row that isn't
+    of its region's most frequent label meets all rows of the region.
     """
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    shared = F.expr(f"substring(keys, tree * {KEY} + 1, {4 * REGION})")
-    spread = nodes.select("digest", "label", "keys", tree).select(F.xxhash64("tree", shared).alias("region"), "digest", "label")
-    mark = F.xxhash64("label")
-    full = spread.groupBy("region").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high"))
-    members = settled(spread.join(full.where(f"n > {WINDOW} AND low < high").select("region"), "region"), "crowds")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            first = _matrix(part.column("keys"), KEY * TREES, ">u4").reshape(-1, TREES, DEPTH)[:, :, :REGION]
+            names = region_of(np.broadcast_to(np.arange(TREES), first.shape[:2]), first).ravel()
+            bit = names & (BITS - 1)
+            at = np.flatnonzero((bitmap.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+            of = pa.array(at // TREES)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), part.column("digest").take(of), part.column("label").take(of)], ["region", "digest", "label"])
+
+    now = nodes.select("digest", "keys").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    members = settled(now.mapInArrow(spread, "region long, digest binary, label binary"), "crowds")
     sizes = members.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region")
-    sizes = sizes.agg(F.max_by("label", "n").alias("main"), F.ceil(F.sum("n") / BLOCK).alias("wide"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("high"))
+    sizes = sizes.agg(F.max_by("label", "n").alias("main"), F.ceil(F.sum("n") / BLOCK).alias("wide"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("high")).where("high > 0")
     rows = members.join(sizes, "region").join(nodes.select("digest", "bits", "bytes"), "digest")
     place = F.xxhash64("digest")
     met_by = F.transform(F.sequence(F.lit(0).cast("long"), F.col("high") - 1), lambda q: F.struct(q.alias("q"), F.pmod(place, F.col("wide")).alias("t"), F.lit(False).alias("asks")))
@@ -233,7 +272,7 @@ def across_crowds(nodes: DataFrame) -> DataFrame:
         digest, label = np.array(table["digest"].to_pylist(), object), _matrix(table["label"], 16, "<u8")
         bits, sketch = _matrix(table["bits"], BIT_SKETCH, "<u8"), _matrix(table["bytes"], BYTE_SKETCH, "u1")
         asking, other = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b, best = [], [], []
+        a, b = [], []
         for at in range(0, len(asking), 64):
             ask = asking[at : at + 64]
             apart = sum(np.bitwise_count(bits[ask, w][:, None] ^ bits[other, w][None, :]).astype(np.int16) for w in range(bits.shape[1]))
@@ -246,13 +285,15 @@ def across_crowds(nodes: DataFrame) -> DataFrame:
             x, y, alike = x[likely], y[likely], alike[likely]
             order = np.lexsort((-alike, x))
             x, y = x[order], y[order]
+            if not every:
+                best = np.diff(x, prepend=-1) != 0
+                x, y = x[best], y[best]
             a += digest[np.where(digest[x] < digest[y], x, y)].tolist()
             b += digest[np.where(digest[x] < digest[y], y, x)].tolist()
-            best.append(np.diff(x, prepend=-1) != 0)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "best": pa.array(np.concatenate(best) if best else np.zeros(0, bool))})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    found = rows.select("region", "in.*", "digest", "label", "bits", "bytes").groupBy("region", "t", "q").applyInArrow(held_against, "a binary, b binary, best boolean")
-    return settled(found.groupBy("a", "b").agg(F.max("best").alias("best")), "across")
+    found = rows.select("region", "in.*", "digest", "label", "bits", "bytes").groupBy("region", "t", "q").applyInArrow(held_against, "a binary, b binary")
+    return settled(found.distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,24 +326,23 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     least = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("least")
     nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(least, F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("bytes").alias("bytes"))
     nodes = settled(nodes.withColumn("doc_id", F.col("least.doc_id")), "nodes")
-    pairs = settled(met(nodes.select("digest", "keys", F.col("bits").alias("sketch"), F.col("digest").alias("label")), every=False), "pairs")
+    found = settled(met(nodes.select("digest", "keys", F.col("bits").alias("sketch"), F.col("digest").alias("label")), every=False), "pairs")
+    pairs, regions = found.where("region IS NULL").select("a", "b", "tree"), found.where("region IS NOT NULL")
     first = verified(texts, nodes, pairs.where(F.col("tree") < FIRST))
     labels = components(first)
     touched = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     again = nodes.join(touched, "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    second = verified(texts, nodes, met(again.select("digest", "keys", F.col("bytes").alias("sketch"), "label"), every=True))
+    second = verified(texts, nodes, met(again.select("digest", "keys", F.col("bytes").alias("sketch"), "label"), every=True).select("a", "b"))
     links = first.union(second)
     labels = components(links)
-    of_node = labels.withColumnRenamed("node", "digest")
-    more = across_crowds(nodes.join(of_node, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
-    if not more.isEmpty():
-        links = links.union(verified(texts, nodes, more.where("best")))
-        labels = components(links)
-        side = [labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab"]
-        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-        rest = settled(more.where("NOT best").join(side[0], "a", "left").join(side[1], "b", "left").where(apart).select("a", "b"), "rest")
-        if not rest.isEmpty():
-            labels = components(links.union(verified(texts, nodes, rest)))
+    full = bitmap_of(regions.select(F.expr(f"region & {BITS - 1}").alias("bit")))
+    if full.any():
+        bitmap = texts.sparkSession.sparkContext.broadcast(full)
+        for every in (False, True):
+            more = across_crowds(nodes, labels, bitmap, every)
+            if not more.isEmpty():
+                links = links.union(verified(texts, nodes, more))
+                labels = components(links)
     return rows, nodes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", "least", F.coalesce("label", "digest").alias("label"))
 
 
