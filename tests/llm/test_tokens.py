@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexspan.llm.token_counts import op7_token_counts, token_counts
+from lexspan.llm.token_counts import UnitCounts, op7_token_counts, token_counts
 from lexspan.llm.transducer import Decoder, Transducer, encode_decode, op4_bpe_transducer, sufficient_lookahead
 from lexspan.llm.units import Memory, units
 
@@ -67,6 +67,22 @@ def test_memory_keeps_two_generations():
     assert asked == ["a", "b", "c", "d", "y" * 100, "y" * 100]
 
 
+def test_batches_of_unseen_units(library):
+    """Counts are the library's; a unit is asked for once, in a batch, unless it is long or the memory was full."""
+    random.seed(6)
+    calls = []
+    encode = lambda batch: calls.append(batch) or [len(e) for e in library.encode_batch(batch, add_special_tokens=False)]
+    for entries in (3, 1000):
+        count = UnitCounts(encode, entries)
+        for _ in range(40):
+            texts = ["".join(random.choice(PARTS) for _ in range(random.randint(0, 30))) for _ in range(random.randint(0, 9))]
+            assert count(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    count, calls[:] = UnitCounts(encode), []
+    assert count(["the ing the", "", "ing the\nthe " + "z" * 400_000]) == count(["the ing the", "", "ing the\nthe " + "z" * 400_000])
+    short, long, again = calls[0] + [u for c in calls[1:-1] for u in c], "z" * 400_000, calls[-1]
+    assert len(short) == len(set(short)) and again == [" " + long]
+
+
 def expected(library, rows):
     out = []
     for name, text in rows:
