@@ -151,6 +151,17 @@ def _title_grams(title: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(sizes, lambda n: F.substring(title, i, n)))))
 
 
+def title_postings(lectures: DataFrame) -> DataFrame:
+    """(subject_id, low, created_order, lecture_id, gram): equal titles of a subject are one, the first of them.
+
+    Laid out by gram, for the index and for the hints that meet it: the grams of a small table are many rows,
+    so whatever joins them says "merge". Spark's estimate from the table's size would send them all through the driver.
+    """
+    titles = lectures.groupBy("subject_id", F.lower("title").alias("low")).agg(
+        F.min_by("lecture_id", "created_order").alias("lecture_id"), F.min("created_order").alias("created_order"))
+    return titles.select("*", F.explode(_title_grams(F.col("low"))).alias("gram")).repartition("subject_id", "gram")
+
+
 def title_index(postings: DataFrame) -> DataFrame:
     """(subject_id, gram, n, lecture_id): how many titles have a gram, and the first of them."""
     return postings.groupBy("subject_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min_by("lecture_id", "created_order").alias("lecture_id"))
@@ -159,7 +170,7 @@ def title_index(postings: DataFrame) -> DataFrame:
 def rarest_grams(hinted: DataFrame, index: DataFrame) -> DataFrame:
     """(subject_id, hint, gram, n): of each hint the gram that the fewest titles have; none where no title has some gram of it."""
     own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hint") - HINT_GRAM + 1), lambda i: F.substring(F.col("hint"), i, F.lit(HINT_GRAM))))
-    asked = hinted.select("subject_id", "hint", F.size(own).alias("needs"), F.explode(own).alias("gram")).join(index.select("subject_id", "gram", "n"), ["subject_id", "gram"])
+    asked = hinted.select("subject_id", "hint", F.size(own).alias("needs"), F.explode(own).alias("gram")).join(index.select("subject_id", "gram", "n").hint("merge"), ["subject_id", "gram"])
     by_hint = asked.groupBy("subject_id", "hint", "needs").agg(F.count(F.lit(1)).alias("has"), F.min(F.struct("n", "gram")).alias("best"))
     return by_hint.filter("has = needs").select("subject_id", "hint", "best.gram", "best.n")
 
@@ -175,11 +186,10 @@ def resolve_hints(questions: DataFrame, lectures: DataFrame) -> DataFrame:
     """
     hint = strip(F.lower(F.coalesce("lecture_hint", F.lit(""))))
     hinted = questions.select("subject_id", hint.alias("hint")).filter(F.col("hint") != "").distinct()
-    low = F.lower(F.col("title"))
-    postings = lectures.select("subject_id", "lecture_id", "created_order", low.alias("low"), F.explode(_title_grams(low)).alias("gram"))
+    postings = title_postings(lectures)
     index = title_index(postings)
-    short = hinted.filter(F.length("hint") <= HINT_GRAM).join(index.select("subject_id", F.col("gram").alias("hint"), "lecture_id"), ["subject_id", "hint"])
-    met = rarest_grams(hinted.filter(F.length("hint") > HINT_GRAM), index).join(postings, ["subject_id", "gram"])
+    short = hinted.filter(F.length("hint") <= HINT_GRAM).join(index.select("subject_id", F.col("gram").alias("hint"), "lecture_id").hint("merge"), ["subject_id", "hint"])
+    met = rarest_grams(hinted.filter(F.length("hint") > HINT_GRAM), index).join(postings.hint("merge"), ["subject_id", "gram"])
     found = met.filter(F.contains("low", "hint")).groupBy("subject_id", "hint").agg(F.min_by("lecture_id", "created_order").alias("lecture_id"))
     first = short.unionByName(found)
     return questions.withColumn("hint", hint).join(first, ["subject_id", "hint"], "left").select(*questions.columns, "lecture_id")

@@ -267,3 +267,14 @@ def test_balls_are_exact_and_skip(clusters, share):
     assert (at == want).all() and np.allclose(score, np.take_along_axis(whole, want, 1))
     assert balls.products < share * whole.size
     assert Balls(items[:0]).best(asks, 2)[1].tolist() == [[0, 0]] * len(asks)
+
+
+def test_equal_titles_are_one_posting_and_no_grams_are_broadcast(spark):
+    """60 copies of a small table of titles: their grams went to the driver as a broadcast."""
+    lec = spark.createDataFrame([(n * 100 + i, "s", t, n * 100 + i) for n in range(3) for i, t in enumerate(["Hot Plate", "cold plate", "ring"])], "lecture_id int, subject_id string, title string, created_order int")
+    got = {(r["low"], r["lecture_id"]) for r in R.title_postings(lec).collect()}
+    assert got == {("hot plate", 0), ("cold plate", 1), ("ring", 2)}
+    q = spark.createDataFrame([(1, "s", "plate"), (2, "s", "in")], "question_id int, subject_id string, lecture_hint string")
+    plan = R.resolve_hints(q, lec)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 3
+    assert {(r["question_id"], r["lecture_id"]) for r in R.resolve_hints(q, lec).collect()} == {(1, 0), (2, 2)}
