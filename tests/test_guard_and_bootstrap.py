@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexspan.functions.draws import draws
 from lexspan.operators import bootstrap as B
 from lexspan.operators import guard as G
 
@@ -134,3 +137,20 @@ def test_contrasts_in_one_pass_equal_each_by_itself(spark):
     together = B.bootstrap_contrasts(df, ["a->b", "a->c", "b->c", "x->y"], 300)
     assert sorted(map(tuple, together.collect())) == sorted(map(tuple, B.bootstrap_by_hash(df, 300).collect()))
     assert B.bootstrap_contrasts(df.limit(0), ["a->b"], 20).collect() == []
+
+
+def test_draws_are_the_parts_of_each_digest():
+    for size, rep in ((1, 0), (5, 3), (4001, 9999), (50_003, 123)):
+        want = []
+        for q in range((size + 3) // 4):
+            digest = hashlib.md5(f"1337-{rep}-{q}".encode()).hexdigest()
+            want += [int(digest[8 * i : 8 * i + 8], 16) % size for i in range(4)]
+        assert draws(1337, rep, size).tolist() == want[:size]
+
+
+def test_no_draw_or_place_becomes_a_row(spark):
+    """Broadcast places of a table of 2 million pairs were more than the driver holds."""
+    _, df = pairs(spark, 40)
+    for out in (B.bootstrap_by_hash(df, 20), B.bootstrap_contrasts(df, [df.first()["contrast"]], 20)):
+        plan = out._jdf.queryExecution().toString()
+        assert "place" not in plan and "md5" not in plan
