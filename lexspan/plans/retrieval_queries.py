@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.operators import retrieval as R
 from lexspan.plans.base import HYPS, hypotheses, query, table, tokens_sql, with_
+from lexspan.session import by_id
 
 UNITS = """units AS (SELECT printf('%08d', conv_id) AS course_id, conv_id || ':' || turn AS unit_id, turn AS unit_order, concat_ws(' ', role, text, turn) AS document FROM conversations)"""
 QUERIES_SQL = "queries AS (SELECT lecture_id AS course_id, utt_id AS query_id, CASE WHEN length(hyp) % 23 = 0 THEN '  ' ELSE hyp END AS text FROM hyps WHERE cond = 'C0')"
@@ -49,10 +50,16 @@ def sentence_queries(spark, sf):
         F.col("lecture_id").alias("course_id"), F.col("utt_id").alias("query_id"), F.when(F.length("hyp") % 23 == 0, "  ").otherwise(F.col("hyp")).alias("text"))
 
 
+#: Documents of a task: their distinct grams are counted in memory.
+DOCUMENTS = 1_000
+
+
 @query("txt8_char_grams", with_(
     grams_sql("documents", "doc_id", "text", "dg"), body="SELECT gram, sum(tf)::BIGINT AS n, count(*) AS n_docs FROM dg GROUP BY gram"))
 def txt8(spark, sf):
-    g = R.explode_grams(table(spark, sf, "documents"), ["doc_id"], "text")
+    # texts are shuffled, not their grams: a document's grams then lie in one task, and only counts leave it
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    g = R.explode_grams(by_id(docs.select("doc_id", "text"), "doc_id", DOCUMENTS), ["doc_id"], "text")
     return g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf")).groupBy("gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
