@@ -162,7 +162,9 @@ def romanize(norm: Column) -> Column:
 
 
 def _letters(norm: Column, transliterate: bool) -> Column:
-    return F.regexp_replace(romanize(norm) if transliterate else norm, "[^a-z ]", "")
+    # only Devanagari letters are respelt, so a text without any skips the rewrites
+    latin = F.when(norm.rlike(DEVANAGARI), romanize(norm)).otherwise(norm) if transliterate else norm
+    return F.regexp_replace(latin, "[^a-z ]", "")
 
 
 def _consonants(letters: Column) -> Column:

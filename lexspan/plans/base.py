@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.seeded import seeded_hash
 from lexspan.functions.text import DEVANAGARI_DIGITS, PUNCTUATION
-from lexspan.session import spread
+from lexspan.session import by_rows, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,14 +98,19 @@ utts AS (
   FROM durs_, unnest(range(1, len(sents) + 1)) AS t(i))"""
 
 
+#: Turns of a task: some 80,000 hypotheses.
+TURNS = 2_000
+
+
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
     """utt_id, lecture_id, conv_id, turn, role, ref, start, end."""
     sents = F.filter(F.transform(F.split("text", "[.\\n]+"), lambda s: F.trim(s)), lambda s: s != "")
     durs = F.transform("sents", lambda s: F.size(F.split(s, " +")) * F.lit(0.5))
     add = lambda a, v: a + v
     until = lambda i: F.col("turn") * F.lit(1000.0) + F.aggregate(F.slice("durs", F.lit(1), i), F.lit(0.0), add)
+    turns = by_rows(spark.read.parquet(f"{sf}/conversations.parquet"), TEXT_KEYS["conversations"], TURNS)
     return (
-        table(spark, sf, "conversations")
+        turns
         .select("conv_id", "turn", "role", sents.alias("sents"))
         .withColumn("durs", durs)
         .select("conv_id", "turn", "role", F.explode(F.transform(
@@ -150,14 +155,13 @@ hyps AS (
 
 def hypotheses(spark: SparkSession, sf: str, conds: tuple[str, ...] = tuple(NOISE)) -> DataFrame:
     """Noisy copies of every utterance, one per condition."""
-    grid = F.array(*[F.struct(F.lit(c).alias("cond"), F.lit(NOISE[c]).alias("noise")) for c in conds])
+    # four hex digits compare as text, so the digest needs no conversion
+    below = lambda c, k: F.lit(f"{-(-NOISE[c] * k // 3):04x}")
+    grid = F.array(*[F.struct(F.lit(c).alias("cond"), below(c, 1).alias("drop"), below(c, 2).alias("swap"), below(c, 3).alias("twice")) for c in conds])
     u = utterances(spark, sf).select("*", F.explode(grid).alias("g")).select(
-        "utt_id", "lecture_id", "role", "ref", "g.cond", "g.noise"
+        "utt_id", "lecture_id", "role", "ref", "g.cond", "g.drop", "g.swap", "g.twice"
     ).withColumn("hs", seeded_hash(F.col("utt_id"), F.col("cond")))
     none = F.array().cast("array<string>")
-    # four hex digits compare as text, so the digest needs no conversion
-    below = lambda n: F.lower(F.lpad(F.hex(F.ceil(n)), 4, "0"))
-    u = u.select("*", below(F.col("noise") / 3).alias("drop"), below(F.col("noise") * 2 / 3).alias("swap"), below(F.col("noise")).alias("twice"))
     coded = F.transform(F.split("ref", " +"), lambda w, i: F.struct(
         w.alias("w"), F.substring(F.md5(F.concat_ws("-", "utt_id", "cond", (i + 1).cast("string"))), 1, 4).alias("h")))
     out = F.flatten(F.transform(coded, lambda x: (

@@ -130,3 +130,13 @@ def test_last_subwords_equal_cutting_the_whole(spark):
         for i, t in enumerate(texts):
             parts = subwords_by_hand(t)
             assert got[i] == (t if len(parts) <= n else "".join(parts[-n:]).lstrip(" ")), (n, t)
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, tmp_path):
+    """A table of one file gave as many tasks at any size."""
+    from lexspan.session import by_rows
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert by_rows(df, ["id"], 2).rdd.getNumPartitions() == 50
+    assert by_rows(df, ["id"], 2).distinct().count() == 100
