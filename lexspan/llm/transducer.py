@@ -37,6 +37,10 @@ NO_MERGE = 1 << 40
 CHUNK = 65_536
 
 
+#: Whether a text is one piece of plain letters.
+_LETTERS = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a vocabulary file: printable ones for themselves, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -73,29 +77,35 @@ class Transducer:
         as_bytes = lambda s: bytes(letters[c] for c in s)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.lookahead = sufficient_lookahead([(as_bytes(a), as_bytes(b)) for a, b in merges])
-        self.rank = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.rank: dict[int, dict[int, int]] = {i: {} for i in ids.values()}  # by left token, by right token
+        for rank, (a, b) in enumerate(merges):
+            self.rank[ids[a]][ids[b]] = rank
         self.made = [ids[a + b] for a, b in merges]
         self.byte = [0] * 256
         for c, b in letters.items():
             self.byte[b] = ids[c]
+        # the same for bytes as they come: all pairs, so that none is missing
+        self.first = {(a, b): self.rank[self.byte[a]].get(self.byte[b], NO_MERGE) for a in range(256) for b in range(256)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = {i: as_bytes(t) for t, i in ids.items() if t not in self.special} | {i: t.encode() for t, i in self.special.items()}
         self.find = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = Memory(self.piece, 150_000)
+        # as bytes: the garbage collector walks over lists again and again, over bytes never
+        self.pieces = Memory(lambda x: array("I", self.piece(x)).tobytes(), 150_000)
 
     def merged(self, raw: bytes) -> list[int]:
         """The tokens of bytes that are taken as a whole: the lowest rank first, from the left."""
-        out, rank, made = [self.byte[b] for b in raw], self.rank, self.made
-        ranks = [rank.get(p, NO_MERGE) for p in zip(out, out[1:], strict=False)]
-        while ranks and (lowest := min(ranks)) < NO_MERGE:
+        out, rank, made = list(map(self.byte.__getitem__, raw)), self.rank, self.made
+        ranks = list(map(self.first.__getitem__, zip(raw, raw[1:])))  # noqa: B905
+        ranks.append(NO_MERGE)  # of the last token
+        while (lowest := min(ranks)) < NO_MERGE:
             at = ranks.index(lowest)
-            out[at : at + 2] = [made[lowest]]
-            del ranks[at]
+            out[at] = token = made[lowest]
+            del out[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank.get((out[at - 1], out[at]), NO_MERGE)
-            if at < len(ranks):
-                ranks[at] = rank.get((out[at], out[at + 1]), NO_MERGE)
+                ranks[at - 1] = rank[out[at - 1]].get(token, NO_MERGE)
+            if at + 1 < len(out):
+                ranks[at] = rank[token].get(out[at + 1], NO_MERGE)
         return out
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
@@ -120,25 +130,28 @@ class Transducer:
         return list(self.stream(raw[i : i + STEP] for i in range(0, len(raw), STEP)))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        return array("I", self.packed(text)).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Its ids, four bytes each."""
+        out: list[bytes] = []
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
             else:
-                for x in self.find(part):
-                    out += self.pieces[x]
-        return out
+                out += map(self.pieces.__getitem__, self.find(part))
+        return b"".join(out)
 
-    def encode_spaced(self, word: str) -> list[int]:
+    def packed_spaced(self, word: str) -> bytes:
         """Of a word and what leads it; where the pieces are plain to see, the slower pattern isn't needed."""
+        if _LETTERS(word):
+            return self.pieces[" " + word]
         lead, body = led(word)
         if not PLAIN.fullmatch(body) or "<|" in body:
-            return self.encode(lead + body)
+            return self.packed(lead + body)
         first, *rest = PLAIN_PIECES.findall(body)
-        out = [*self.pieces["\n"], *self.pieces[first]] if lead == "\n" else list(self.pieces[" " + first])
-        for x in rest:
-            out += self.pieces[x]
-        return out
+        led_by = ["\n", first] if lead == "\n" else [" " + first]
+        return b"".join(map(self.pieces.__getitem__, led_by + rest))
 
 
 class Decoder:
@@ -152,11 +165,11 @@ class Decoder:
 
 
 @cache
-def _of(vocabulary: str) -> tuple[Transducer, Memory, Memory]:
-    """One transducer in each Python worker, with its memories of units as they are and after a space, kept over tasks."""
+def _of(vocabulary: str) -> tuple[Transducer, Memory, Memory, list[str]]:
+    """One transducer in each Python worker, with its memories of units as they are and after a space, kept over tasks; and the ids in decimals."""
     t = Transducer(vocabulary)
-    both = lambda ids: (",".join(map(str, ids)), array("I", ids).tobytes())
-    return t, Memory(lambda x: both(t.encode(x)), 20_000), Memory(lambda x: both(t.encode_spaced(x)), 150_000)
+    decimals = [str(i) for i in range(1 + max(t.bytes_of))]
+    return t, Memory(t.packed, 20_000), Memory(t.packed_spaced, 250_000), decimals
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -170,14 +183,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, as_it_is, after_space = _of(vocabulary)
+        transducer, as_it_is, after_space, decimals = _of(vocabulary)
         for part in slices(batches):
             n, coded, text, all_ids, decoded = [], [], [], [], []
             for whole in part.column("text").to_pylist():
                 some, words = units(whole) if whole else ([], [])
-                got = [*map(as_it_is.__getitem__, some), *map(after_space.__getitem__, words)]
-                coded.append(hashlib.sha256(",".join([x for x, _ in got if x]).encode()).hexdigest())
-                ids = array("I", b"".join([x for _, x in got]))
+                ids = array("I", b"".join([*map(as_it_is.__getitem__, some), *map(after_space.__getitem__, words)]))
+                coded.append(hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
                 machine, plain, kept = Decoder(transducer.bytes_of), hashlib.sha256(), []
                 for at in range(0, max(1, len(ids)), CHUNK):
                     out = machine.feed(ids[at : at + CHUNK], at + CHUNK >= len(ids))

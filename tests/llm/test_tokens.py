@@ -117,3 +117,17 @@ def test_queries(spark, sf, documents, library):
     want = expected(library, documents)
     assert sorted(map(tuple, op7_token_counts(spark, sf).collect())) == sorted((i, b, n, n > 512) for i, b, n, _, _ in want)
     assert sorted(map(tuple, op4_bpe_transducer(spark, sf).collect())) == sorted((i, n, x, y) for i, _, n, x, y in want)
+
+
+def test_remembered_pieces_cost_no_collections():
+    """What the transducer remembers isn't walked over by Python's garbage collector, and ids stay those of the merges."""
+    import gc
+
+    import public_tokenizers
+
+    from lexspan.llm.transducer import Transducer
+
+    t = Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "The cat, naïve and 12 dogs' x<|endoftext|> über"
+    assert t.encode(text) and b"".join(t.bytes_of[i] for i in t.encode(text)).decode() == text
+    assert len(t.pieces) and not any(map(gc.is_tracked, t.pieces.values()))
