@@ -50,10 +50,18 @@ def _encoder(vocabulary: str) -> Callable[[str], bytes]:
     whole.no_padding()
     letters, model = letters_of_bytes(), whole.model
     packed = lambda ids: array("I", ids).tobytes()
-    piece = Memory(lambda x: packed(t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))))
+    tokenize = model.tokenize
+
+    def one(x: str) -> bytes:
+        """A piece's ids; printable ASCII stands for itself in the vocabulary."""
+        return packed([t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))])
+
+    piece = Memory(one)
 
     def word(w: str) -> bytes:
         """Pieces of a plain word go to the library's model one by one, other words whole."""
+        if w.isalpha() and w.isascii():
+            return piece[w.lower()]
         if _PLAIN.fullmatch(w) and "<|" not in w:
             return b"".join(map(piece.__getitem__, _PIECES.findall(w.lower())))
         return packed(whole.encode(w, add_special_tokens=False).ids)
