@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import id_and_text, scrambled, settled, slices, words
+from lexspan.llm.common import id_and_text, scrambled, settled, slices
 
 #: Words of a class, classes of frequent words, classes of other words.
 MEMBERS, FREQUENT, OTHER = 32, 16, 16
@@ -39,26 +40,33 @@ PAIRS, INNER = 4096, 8192
 ROWS = 1 + 2 * CONTEXTS + PAIRS
 ROUNDS, BATCH, RATE = 3, 4096, 0.4
 BUNDLE_BYTES = 8 << 20
+#: Tasks of a round at least, where there are as many partitions, and tasks whose moves are averaged together first.
+TASKS, TOGETHER = 8, 64
 #: Rows of the tables in what a task returns at once.
 BLOCK = 512
 #: Distinct words that a task holds before it passes them on; a bundle's word may then come in several rows.
 HELD_WORDS = 2_000_000
-#: The token at the end of each text.
-END = b""
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % OTHER
+def endings(words: pa.Array) -> np.ndarray:
+    """The classes of words by their last three bytes."""
+    coded = pc.binary_slice(words, -3, None).dictionary_encode()
+    return np.array([zlib.crc32(e) % OTHER for e in coded.dictionary.to_pylist()], np.int8)[np.asarray(coded.indices)]
 
 
-def hashed(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct tokens' 64-bit hashes, as signed integers, and their classes by ending; by token, which of them it is."""
+def distinct(tokens: pa.Array | list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens, their 64-bit hashes as signed integers; by token, which of them it is."""
     import xxhash
 
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    own = coded.dictionary.to_pylist()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).view(np.int64)
-    return h, np.fromiter(map(ending, own), np.int8, len(own)), np.asarray(coded.indices)
+    coded = (tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.binary())).dictionary_encode()
+    own = coded.dictionary.cast(pa.binary())
+    return own, np.fromiter(map(xxhash.xxh64_intdigest, own.to_pylist()), np.uint64, len(own)).view(np.int64), np.asarray(coded.indices)
+
+
+def hashed(tokens: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens' 64-bit hashes, and their classes by ending; by token, which of them it is."""
+    own, h, at = distinct(tokens)
+    return h, endings(own), at
 
 
 @dataclass
@@ -93,6 +101,13 @@ def inner_rows(rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return hashed_rows
 
 
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = table.take(rows[:, 0], axis=0)
+    for f in range(1, rows.shape[1]):
+        z += table.take(rows[:, f], axis=0)
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
@@ -103,14 +118,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _added(table: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """An Adagrad step with the sums of grad by row; used counts the tokens of each."""
     for f in range(rows.shape[1]):
-        order = np.argsort(rows[:, f].astype(np.uint16), kind="stable")  # a radix sort, for 16 bits
-        own = rows[order, f]
-        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        total = np.add.reduceat(grad[order], start, axis=0)
-        hit = own[start]
-        used[hit] += np.diff(start, append=len(own))
-        squares[hit] += total * total
-        table[hit] -= RATE * total / np.sqrt(squares[hit])
+        column = rows[:, f].astype(np.uint16)
+        if (column == column[0]).all():
+            hit, total, n = column[:1], grad.sum(axis=0, keepdims=True), len(column)
+        else:
+            order = np.argsort(column, kind="stable")  # a radix sort, for 16 bits
+            own = column[order]
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            hit, total, n = own[start], np.add.reduceat(grad.take(order, axis=0), start, axis=0), np.diff(start, append=len(own))
+        used[hit] += n
+        moved = squares.take(hit, axis=0) + total * total
+        squares[hit] = moved
+        table[hit] -= RATE * total / np.sqrt(moved)
 
 
 def trained(model: Model, codes: np.ndarray, first: np.ndarray, squares: tuple[np.ndarray, np.ndarray], used: tuple[np.ndarray, np.ndarray]) -> None:
@@ -119,12 +138,12 @@ def trained(model: Model, codes: np.ndarray, first: np.ndarray, squares: tuple[n
         lo = max(0, at - 2)
         own, rows = codes[at : at + BATCH], features(codes[lo : at + BATCH], first[lo : at + BATCH] - lo)[at - lo :]
         cls = np.where(own < TOP, own // MEMBERS, FREQUENT + own - TOP)
-        p = _softmax(model.outer[rows].sum(axis=1))
+        p = _softmax(_summed(model.outer, rows))
         p[np.arange(len(own)), cls] -= 1
         known = np.flatnonzero(own < TOP)
         if len(known):
             inner = inner_rows(rows[known], cls[known])
-            q = _softmax(model.inner[inner].sum(axis=1))
+            q = _softmax(_summed(model.inner, inner))
             q[np.arange(len(known)), own[known] % MEMBERS] -= 1
             _added(model.inner, squares[1], used[1], inner, q)
         _added(model.outer, squares[0], used[0], rows, p)
@@ -136,20 +155,27 @@ def log10_probabilities(model: Model, codes: np.ndarray, first: np.ndarray, coun
         lo = max(0, at - 2)
         own, rows = codes[at : at + BATCH], features(codes[lo : at + BATCH], first[lo : at + BATCH] - lo)[at - lo :]
         cls = np.where(own < TOP, own // MEMBERS, FREQUENT + own - TOP)
-        out[at : at + BATCH] = np.log10(np.maximum(_softmax(model.outer[rows].sum(axis=1))[np.arange(len(own)), cls], 1e-30))
+        out[at : at + BATCH] = np.log10(np.maximum(_softmax(_summed(model.outer, rows))[np.arange(len(own)), cls], 1e-30))
         known = own < TOP
         if known.any():
-            q = _softmax(model.inner[inner_rows(rows[known], cls[known])].sum(axis=1))
+            q = _softmax(_summed(model.inner, inner_rows(rows[known], cls[known])))
             out[at : at + BATCH][known] += np.log10(np.maximum(q[np.arange(len(q)), own[known] % MEMBERS], 1e-30))
         rest = ~known
         out[at : at + BATCH][rest] += np.log10((counts[at : at + BATCH][rest] + 1) / model.totals[own[rest] - TOP])
     return out
 
 
-def _tokens(part: pa.RecordBatch | pa.Table) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of the rows, an end after each text; and the tokens of each row."""
-    own = [[*words(t), END] for t in part.column("text").to_pylist()]
-    return [w for t in own for w in t], np.array([len(t) for t in own], np.int64)
+def _tokens(part: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of the rows, an end (the empty token) after each text; and the tokens of each row.
+
+    Arrow's white space of ASCII is the six characters between words, and its ASCII lower case that of A-Z alone.
+    """
+    text = part.column("text")
+    text = pc.fill_null(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, "")
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(text))
+    # white space at the end gives an empty token there, and so does a text without words
+    own = pc.ascii_split_whitespace(pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(text, "", " ")))
+    return own.flatten(), np.asarray(pc.list_value_length(own)).astype(np.int64)
 
 
 def _ready(texts: DataFrame) -> tuple[DataFrame, int]:
@@ -215,7 +241,7 @@ def _bundle_words(dealt: DataFrame) -> DataFrame:
 
         for part in slices(batches):
             flat, sizes = _tokens(part)
-            h, _, at = hashed(flat)
+            _, h, at = distinct(flat)
             bundle = np.repeat(part.column("bundle").to_numpy(), sizes)
             for b in np.unique(bundle).tolist():
                 seen = np.zeros(len(h), bool)
@@ -271,7 +297,7 @@ def _round(model: Model, squares: tuple[np.ndarray, np.ndarray], texts: DataFram
             moved = np.concatenate([np.hstack([mine.outer - start.outer, squares[0] - before[0]]), np.hstack([mine.inner - start.inner, squares[1] - before[1]])])
             n_used = np.concatenate(used)
             cut = range(0, len(moved), BLOCK)
-            at = TaskContext.get().partitionId() % 64
+            at = TaskContext.get().partitionId() // TOGETHER
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array(range(len(cut)), pa.int32()),
                 "salt": pa.array([at] * len(cut), pa.int32()),
@@ -298,6 +324,11 @@ def _round(model: Model, squares: tuple[np.ndarray, np.ndarray], texts: DataFram
     return Model(model.top, model.place, model.totals, model.outer + outer[:, 0], model.inner + inner[:, 0]), (squares[0] + outer[:, 1], squares[1] + inner[:, 1])
 
 
+def few_tasks(texts: DataFrame, bundles: int) -> DataFrame:
+    """``texts`` in at most as many partitions as they fill bundles: a task returns the whole model, however few its texts."""
+    return texts.coalesce(max(TASKS, bundles))
+
+
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -309,7 +340,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", t
     ready, bundles = _ready(id_and_text(docs, id_col, text_col))
     vocabulary = _vocabulary(ready)
     model, n_train, distinct = _first_model(vocabulary)
-    train = ready.where("NOT held_out")
+    train = few_tasks(ready.where("NOT held_out"), bundles)
     rounds += (bundles - 1).bit_length()
     squares = (np.ones_like(model.outer), np.ones_like(model.inner))
     for i in range(rounds):

@@ -95,3 +95,16 @@ def test_query(spark, sf, documents):
     rows = op6_maxent_lm(spark, sf).collect()
     same(rows, by_hand(documents))
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_small_partitions_share_tasks(spark):
+    """A round has no more tasks than the texts ask for, and tokens are those of bytes.split()."""
+    import pyarrow as pa
+
+    assert maxent.few_tasks(spark.range(1000).repartition(211), 12).rdd.getNumPartitions() == 12
+    texts = ["  Foo bar\x0b\x0cB  ", "", None, "x", " \n ", "É A\x1cb c \u0085d\n", "İI"]
+    flat, sizes = maxent._tokens(pa.record_batch({"text": pa.array(texts)}))
+    want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    assert flat.cast(pa.binary()).to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    h, other, at = maxent.hashed(flat)
+    assert [maxent.zlib.crc32(w[-3:]) % maxent.OTHER for t in want for w in t] == other[at].tolist()
