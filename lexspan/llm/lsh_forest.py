@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import MIX, id_and_text, row_key, scrambled, settled, shingles, slices, word_hashes, words
+from lexspan.llm.common import MIX, id_and_text, released, row_key, scrambled, settled, shingles, slices, word_hashes, words
 from lexspan.llm.components import components
 
 SHINGLE = 5
@@ -117,7 +118,8 @@ def full_regions(rows: pa.Table, new_from: int) -> np.ndarray:
 def pairs_within(rows: pa.Table, new_from: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of rows close in the order that may be linked; only those with j >= new_from.
 
-    every: all such pairs of different labels. Otherwise for each i its first j of all.
+    every: all such pairs of different labels, but inside a region that is seen to be full only the first of each i: such regions
+    are searched whole later. Otherwise for each i its first j of all.
     """
     n = rows.num_rows
     if n < 2:
@@ -132,10 +134,16 @@ def pairs_within(rows: pa.Table, new_from: int, every: bool) -> tuple[np.ndarray
         return np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= (1 - LEAST_BY_BITS) / 2 * 8 * BIT_SKETCH
 
     taken, out_i, out_j = np.zeros(n, bool), [], []
+    if every:
+        names, full = region_of(tree, _matrix(rows["key"], KEY, ">u4")[:, :REGION]), np.zeros(n, bool)
+        if n > WINDOW:
+            seen = names[:-WINDOW] == names[WINDOW:]
+            full[:-WINDOW] |= seen
+            full[WINDOW:] |= seen
     for s in range(1, min(WINDOW, n - 1) + 1):
         near = (tree[:-s] == tree[s:]) & (first[:-s] == first[s:])
         if every:
-            near &= (label[:-s] != label[s:]).any(axis=1)
+            near &= (label[:-s] != label[s:]).any(axis=1) & ~(taken[:-s] & full[:-s] & (names[:-s] == names[s:]))
         else:
             near &= ~taken[:-s]
         i = np.flatnonzero(near)
@@ -218,33 +226,77 @@ def bitmap_of(marks: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are linked. Only texts that stand for a node of a pair are read into sets."""
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def _marked(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    at = part.column("bit").to_numpy()
+    return part.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
+
+
+def among(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``nodes`` joined with ``wanted`` (digest, no duplicates, and more); a map of bits leaves out nearly all others before anything is shuffled."""
+    bit = F.pmod(F.xxhash64("digest"), F.lit(BITS)).alias("bit")
+    held = nodes.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(bit)))
+    rows = nodes.select("*", bit)
+    return rows.mapInArrow(lambda batches: (_marked(part, held.value) for part in batches), rows.schema).drop("bit").join(wanted, "digest")
+
+
+def sets_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest and grams, the full set, of each node in ``wanted`` (digest, no duplicates). Only texts that stand for such a node are read into sets."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     held = texts.sparkSession.sparkContext.broadcast(bitmap_of(nodes.join(wanted, "digest").select(bit.alias("bit"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for part in slices(batches):
-            at = part.column("bit").to_numpy()
-            part = part.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
+            part = _marked(part, held.value)
             if part.num_rows:
                 sets = [(d, g.view(np.int64)) for _, g, d in _sets_of(part) if d]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.binary()), pa.array([g for _, g in sets], pa.list_(pa.int64()))], ["digest", "grams"])
 
     found = texts.withColumn("bit", bit).mapInArrow(run, "digest binary, grams array<long>")
-    sets = settled(found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-    of_a, of_b = sets.select(F.col("digest").alias("a"), F.col("grams").alias("x")), sets.select(F.col("digest").alias("b"), F.col("grams").alias("y"))
-    both = pairs.select("a", "b").distinct().join(of_a, "a").join(of_b, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
-    return settled(both.where(f"100L * n >= {LINK}L * (nx + ny - n)").select("a", "b"), "linked")
-
+    return settled(found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
-def across_crowds(nodes: DataFrame, labels: DataFrame, bitmap: Broadcast, every: bool) -> DataFrame:
-    """Pairs (a, b) of different labels that may be linked, in regions too full for WINDOW; unless ``every``, the likeliest of each row in a block.
 
-    ``nodes``: digest, keys, bits, bytes; ``labels``: node, label; ``bitmap``: marks of the full regions. Each row that isn't
-    of its region's most frequent label meets all rows of the region.
+def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are linked."""
+    pairs = settled(pairs.select("a", "b").distinct(), "pairs")
+    sets = sets_of(texts, nodes, pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
+    of_a, of_b = sets.select(F.col("digest").alias("a"), F.col("grams").alias("x")), sets.select(F.col("digest").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
+    linked = settled(both.where(f"100L * n >= {LINK}L * (nx + ny - n)").select("a", "b"), "linked")
+    released(sets)
+    return linked
+
+
+def linked_sets(table: pa.Table) -> pa.Table:
+    """Links (a, b) between asking rows and other rows of one block, by full sets: of each asking row one to each label but its own."""
+    asks, digest = table["asks"].to_numpy(), table["digest"].to_pylist()
+    label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
+    sizes = np.asarray(pc.list_value_length(table["grams"])).astype(np.int64)
+    ends = np.cumsum(sizes)
+    grams = np.concatenate([np.asarray(c.flatten()) for c in table["grams"].chunks])
+    asking, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    held = ~asks[of]
+    order = np.argsort(grams[held], kind="stable")
+    values, owners = grams[held][order], of[held][order]
+    a, b = [], []
+    for i in asking.tolist():
+        own = grams[ends[i] - sizes[i] : ends[i]]
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        many = high - low
+        at = np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())
+        shared = np.bincount(owners[at], minlength=len(sizes))[other]
+        found = other[(100 * shared >= LINK * (sizes[i] + sizes[other] - shared)) & (label[other] != label[i])]
+        for j in found[np.unique(label[found], return_index=True)[1]].tolist():
+            a.append(min(digest[i], digest[j]))
+            b.append(max(digest[i], digest[j]))
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def across_crowds(texts: DataFrame, nodes: DataFrame, labels: DataFrame, bitmap: Broadcast) -> DataFrame:
+    """Links (a, b) of different labels in regions too full for WINDOW, found on full sets.
+
+    ``nodes``: digest, doc_id, keys, bits, bytes; ``labels``: node, label; ``bitmap``: marks of the full regions. Each row that isn't
+    of its region's most frequent label meets all rows of the region. A pair counts in the first full region that both are in.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,27 +304,31 @@ def across_crowds(nodes: DataFrame, labels: DataFrame, bitmap: Broadcast, every:
             first = _matrix(part.column("keys"), KEY * TREES, ">u4").reshape(-1, TREES, DEPTH)[:, :, :REGION]
             names = region_of(np.broadcast_to(np.arange(TREES), first.shape[:2]), first).ravel()
             bit = names & (BITS - 1)
-            at = np.flatnonzero((bitmap.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+            full = (bitmap.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+            at = np.flatnonzero(full)
             of = pa.array(at // TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(names[at]), part.column("digest").take(of), part.column("label").take(of)], ["region", "digest", "label"])
+            full_names = pa.array([x.tobytes() for x in np.where(full, names, 0).reshape(-1, TREES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), part.column("digest").take(of), full_names.take(of)], ["region", "digest", "regions"])
 
-    now = nodes.select("digest", "keys").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    members = settled(now.mapInArrow(spread, "region long, digest binary, label binary"), "crowds")
+    found = nodes.select("digest", "keys").mapInArrow(spread, "region long, digest binary, regions binary")
+    members = settled(found.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "crowds")
     sizes = members.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region")
     sizes = sizes.agg(F.max_by("label", "n").alias("main"), F.ceil(F.sum("n") / BLOCK).alias("wide"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("high")).where("high > 0")
-    rows = members.join(sizes, "region").join(nodes.select("digest", "bits", "bytes"), "digest")
+    rows = settled(members.join(sizes, "region"), "crowds")
+    released(members)
+    rows = among(nodes.select("digest", "bits", "bytes"), rows.select("digest").distinct()).join(rows, "digest")
     place = F.xxhash64("digest")
     met_by = F.transform(F.sequence(F.lit(0).cast("long"), F.col("high") - 1), lambda q: F.struct(q.alias("q"), F.pmod(place, F.col("wide")).alias("t"), F.lit(False).alias("asks")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda t: F.struct(F.pmod(place, F.col("high")).alias("q"), t.alias("t"), F.lit(True).alias("asks")))
-    rows = rows.select("region", "digest", "label", "bits", "bytes", F.explode(F.when(F.col("label") == F.col("main"), met_by).otherwise(F.concat(met_by, meets))).alias("in"))
+    rows = rows.select("region", "digest", "label", "regions", "bits", "bytes", F.explode(F.when(F.col("label") == F.col("main"), met_by).otherwise(F.concat(met_by, meets))).alias("in"))
 
     def held_against(table: pa.Table) -> pa.Table:
-        """All pairs of an asking row and another row of one block, by blocks of 64 asking rows."""
-        asks = table["asks"].to_numpy()
-        digest, label = np.array(table["digest"].to_pylist(), object), _matrix(table["label"], 16, "<u8")
+        """The asking rows of one block that another row is likely linked to, and these others, by blocks of 64 asking rows."""
+        asks, region = table["asks"].to_numpy(), table["region"][0].as_py()
+        label, regions = _matrix(table["label"], 16, "<u8"), _matrix(table["regions"], 8 * TREES, "<i8")
         bits, sketch = _matrix(table["bits"], BIT_SKETCH, "<u8"), _matrix(table["bytes"], BYTE_SKETCH, "u1")
         asking, other = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
+        taken = np.zeros(len(asks), bool)
         for at in range(0, len(asking), 64):
             ask = asking[at : at + 64]
             apart = sum(np.bitwise_count(bits[ask, w][:, None] ^ bits[other, w][None, :]).astype(np.int16) for w in range(bits.shape[1]))
@@ -280,20 +336,21 @@ def across_crowds(nodes: DataFrame, labels: DataFrame, bitmap: Broadcast, every:
             x, y = ask[x], other[y]
             unlike = (label[x] != label[y]).any(axis=1)
             x, y = x[unlike], y[unlike]
-            alike = np.concatenate([(sketch[x[i : i + BLOCK]] == sketch[y[i : i + BLOCK]]).sum(axis=1) for i in range(0, max(len(x), 1), BLOCK)])
-            likely = alike >= LEAST_BY_BYTES * BYTE_SKETCH
-            x, y, alike = x[likely], y[likely], alike[likely]
-            order = np.lexsort((-alike, x))
-            x, y = x[order], y[order]
-            if not every:
-                best = np.diff(x, prepend=-1) != 0
-                x, y = x[best], y[best]
-            a += digest[np.where(digest[x] < digest[y], x, y)].tolist()
-            b += digest[np.where(digest[x] < digest[y], y, x)].tolist()
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    found = rows.select("region", "in.*", "digest", "label", "bits", "bytes").groupBy("region", "t", "q").applyInArrow(held_against, "a binary, b binary")
-    return settled(found.distinct(), "across")
+            for i in range(0, len(x), BLOCK):
+                p, q = x[i : i + BLOCK], y[i : i + BLOCK]
+                likely = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_BY_BYTES * BYTE_SKETCH
+                p, q = p[likely], q[likely]
+                both = (regions[p] == regions[q]) & (regions[p] != 0)
+                here = regions[p, both.argmax(axis=1)] == region
+                taken[p[here]] = taken[q[here]] = True
+        return table.select(["region", "t", "q", "digest", "label", "asks"]).filter(pa.array(taken))
+
+    kinds = "region long, t long, q long, digest binary, label binary, asks boolean"
+    likely = settled(rows.select("region", "in.*", "digest", "label", "regions", "bits", "bytes").groupBy("region", "t", "q").applyInArrow(held_against, kinds), "across")
+    sets = sets_of(texts, nodes, likely.select("digest").distinct())
+    links = settled(likely.join(sets, "digest").groupBy("region", "t", "q").applyInArrow(linked_sets, "a binary, b binary").distinct(), "linked")
+    released(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,19 +387,17 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     pairs, regions = found.where("region IS NULL").select("a", "b", "tree"), found.where("region IS NOT NULL")
     first = verified(texts, nodes, pairs.where(F.col("tree") < FIRST))
     labels = components(first)
-    touched = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    again = nodes.join(touched, "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    touched = settled(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "touched")
+    again = among(nodes.select("digest", "keys", "bytes"), touched).join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     second = verified(texts, nodes, met(again.select("digest", "keys", F.col("bytes").alias("sketch"), "label"), every=True).select("a", "b"))
     links = first.union(second)
     labels = components(links)
     full = bitmap_of(regions.select(F.expr(f"region & {BITS - 1}").alias("bit")))
     if full.any():
         bitmap = texts.sparkSession.sparkContext.broadcast(full)
-        for every in (False, True):
-            more = across_crowds(nodes, labels, bitmap, every)
-            if not more.isEmpty():
-                links = links.union(verified(texts, nodes, more))
-                labels = components(links)
+        more = across_crowds(texts, nodes, labels, bitmap)
+        if not more.isEmpty():
+            labels = components(links.union(more))
     return rows, nodes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", "least", F.coalesce("label", "digest").alias("label"))
 
 

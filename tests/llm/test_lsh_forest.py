@@ -103,3 +103,30 @@ def test_components_of_a_chain(spark):
 
 def test_query(spark, sf, documents):
     assert Counter(map(tuple, op10_lsh_forest(spark, sf).collect())) == all_pairs(documents)
+
+
+def test_pairs_of_crowds_stay_inside_blocks(spark):
+    """Copies of one text that are alike but not linked: full sets are compared in their blocks, so no table of pairs arises, and the links among them are found."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in range(300):
+        t = list(base)
+        for at in rng.choice(150, 4, replace=False):
+            t[at] = f"x{n}y{at}"
+        rows.append(" ".join(t))
+    rows += [rows[7] + " more", rows[200] + " words"]
+    want = all_pairs(list(enumerate(rows)))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, near_duplicates(df).collect())) == want
+    sets = [np.sort(np.array([hash(g) for g in grams(t)], np.int64)) for t in rows]
+    labels = [bytes([i % 256, i // 256]) * 8 for i in range(len(rows))]
+    table = pa.table({"digest": labels + labels, "label": labels + labels, "asks": [False] * len(rows) + [True] * len(rows), "grams": pa.array([x.tolist() for x in sets + sets], pa.list_(pa.int64()))})
+    found = lsh_forest.linked_sets(table)
+    got = set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    of = [set(x.tolist()) for x in sets]
+    assert got == {(min(labels[i], labels[j]), max(labels[i], labels[j])) for i in range(len(rows)) for j in range(i) if 100 * len(of[i] & of[j]) >= 75 * len(of[i] | of[j])}
+    # in a full region each row is paired once before the region is searched whole, not with all 32 behind it
+    n = 100
+    rows = pa.table({"tree": pa.array([0] * n, pa.int32()), "key": [b"\0" * lsh_forest.KEY] * n, "digest": [bytes([i]) * 16 for i in range(n)], "sketch": [b"\1" * lsh_forest.BYTE_SKETCH] * n, "label": [bytes([i]) * 16 for i in range(n)]})
+    assert len(lsh_forest.pairs_within(rows, 0, every=True)[0]) == n - 1
