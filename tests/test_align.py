@@ -1,9 +1,12 @@
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexspan.functions import align as A
+from lexspan.functions.draws import numbered
 from lexspan.operators import scoring as S
 
 
@@ -106,3 +109,28 @@ def test_segment_rollup(spark):
                                "s array<struct<avg_logprob:double,compression_ratio:double>>")
     lp, cr = S.segment_rollup(F.col("s"))
     assert [tuple(r) for r in df.select(lp, cr).collect()] == [(-1.0, 2.0), (None, None), (None, None)]
+
+
+def test_distances_of_many_sizes_match_brute_force(monkeypatch):
+    """Short, long and very long pairs at once, however the work is cut."""
+    pairs = random_pairs(300) + random_pairs(60, 150, 2) + random_pairs(6, 700, 4) + [([], []), (["a"], []), ([], ["b"])]
+    of = pa.list_(pa.string())
+    codes = A._coded_words(pa.array([r for r, _ in pairs], of), pa.array([h for _, h in pairs], of))
+    want = [brute_distance(r, h) for r, h in pairs]
+    for lanes, masks, blocks, bits in [(2048, 1 << 18, 8, 16_384), (7, 4, 8, 16_384), (7, 1 << 18, 0, 50)]:
+        for name, v in {"_LANES": lanes, "_MASKS": masks, "_BLOCKS": blocks, "_LONG_BITS": bits}.items():
+            monkeypatch.setattr(A, name, v)
+        assert A.distances(*codes).tolist() == want
+
+
+def test_letters_and_words_of_columns(spark):
+    rows = [(0, "naïve café", "naive cafe"), (1, "", "क ख"), (2, None, "x"), (3, "a" * 200 + "🙂", "a" * 190), (4, "eins zwei drei", "eins drei drei vier")]
+    df = spark.createDataFrame(rows, "i int, r string, h string").select("i", A.word_distance("r", "h").alias("w"), A.letter_distance("r", "h").alias("c"))
+    assert sorted(map(tuple, df.collect())) == [(0, 2, 2), (1, 2, 3), (2, None, None), (3, 1, 11), (4, 2, 7)]
+
+
+def test_digests_of_numbered_places():
+    prefixes = [b"00000001_000002-C0-", b"00000001_000002-C11-", b"x" * 53, b""]
+    counts = np.array([1203, 11, 120, 3])
+    want = [int(hashlib.md5(p + str(i).encode()).hexdigest()[:4], 16) for p, n in zip(prefixes, counts) for i in range(1, n + 1)]
+    assert numbered(prefixes, counts).tolist() == want

@@ -117,6 +117,14 @@ def test_contrasts_leave_out_unscored_sides(spark):
     assert got == {("C0->C4", "u", 1, 4, 2), ("C0->C2", "v", 1, 3, 0)}
 
 
+def test_contrast_pairs_carry_further_columns_of_the_baseline(spark):
+    """Model and split come along with the pairs: no second scan of the scores tells them."""
+    rows = [("C0", "u", 1, 4, "m", "dev"), ("C1", "u", 2, 4, "m", "dev"), ("C0", "v", 0, 3, "n", "test"), ("C1", "v", 3, 3, "n", "test")]
+    df = spark.createDataFrame(rows, "cond string, utt_id string, errors int, ref_len int, model string, split string")
+    got = B.contrast_pairs(df, [("C0", "C1")], also=["model", "split"])
+    assert sorted(map(tuple, got.collect())) == [("C0->C1", "u", 1, 4, 2, "m", "dev"), ("C0->C1", "v", 0, 3, 3, "n", "test")]
+
+
 def test_wins_and_losses(spark):
     df = spark.createDataFrame([(f"u{i}", float(i % 5), 1, 2, 3) for i in range(10)], "utt_id string, delta double, e_a int, e_b int, ref_len int")
     out = B.wins_and_losses(df, 2).collect()
