@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexspan.functions.draws import draws
 from lexspan.operators import bootstrap as B
 from lexspan.operators import guard as G
+from lexspan.plans.comparisons import near_normal
 
 
 WORDS = " ".join("abcdefghijklmnop")
@@ -117,6 +118,28 @@ def test_contrasts_leave_out_unscored_sides(spark):
     assert got == {("C0->C4", "u", 1, 4, 2), ("C0->C2", "v", 1, 3, 0)}
 
 
+def test_pairs_are_scored_once_for_intervals_and_their_check(spark):
+    """Both are read off the outcomes: before, the check of the intervals scored all pairs again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("C0->C1", f"u{i}", i % 3, 5 + i % 7, i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "contrast string, utt_id string, e_a int, n int, e_b int")
+    got = near_normal(df.mapInArrow(counted, df.schema)).collect()
+    assert len(got) == 1 and all(got[0][c] for c in got[0].asDict() if c.endswith("near"))
+    assert seen.value == 400
+
+
+def test_two_scores_of_a_condition_are_an_error(spark):
+    df = spark.createDataFrame([("C0", "u", 1, 4), ("C0", "u", 2, 4), ("C1", "u", 2, 4)], "cond string, utt_id string, errors int, ref_len int")
+    with pytest.raises(Exception, match="several scores of a condition"):
+        B.contrast_pairs(df, [("C0", "C1")]).collect()
+
+
 def test_contrast_pairs_carry_further_columns_of_the_baseline(spark):
     """Model and split come along with the pairs: no second scan of the scores tells them."""
     rows = [("C0", "u", 1, 4, "m", "dev"), ("C1", "u", 2, 4, "m", "dev"), ("C0", "v", 0, 3, "n", "test"), ("C1", "v", 3, 3, "n", "test")]
