@@ -1,8 +1,10 @@
+import collections
 import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexspan.functions import align as A
@@ -104,6 +106,25 @@ def test_score_table_identity_and_edges(spark):
     assert c1["wer"] is None and c1["k_wer"] is None and c1["ins_rate"] == 1.0 and c1["fallback_rate"] == 0.5
 
 
+@pytest.mark.parametrize("held", [1, 1_000_000])
+def test_words_are_counted_in_the_tasks(spark, monkeypatch, held):
+    """Counts per word match brute force, however many a task holds, and no row per word is made for the shuffle."""
+    monkeypatch.setattr(S, "COUNTED_WORDS", held)
+    rng = random.Random(6)
+    rows = [(f"C{i % 2}", " ".join(rng.choices("abcd", k=rng.randint(0, 9))), " ".join(rng.choices("abcd", k=rng.randint(0, 9)))) for i in range(60)]
+    df = S.with_alignment(spark.createDataFrame(rows, "cond string, nref string, nhyp string"))
+    found = S._step_counts(df, ["cond"], {"chars": F.length("nref")})
+    want, sums = collections.Counter(), collections.defaultdict(lambda: np.zeros(4, int))
+    for (c, r, h), ops in zip(rows, A.align_words([(r.split(), h.split()) for _, r, h in rows])):
+        for w, step in zip(r.split(), ops.replace("I", "")):
+            want[c, w, step != "E"] += 1
+        sums[c] += [ops.count("I"), len(ops.replace("E", "")), len(r.split()), len(r)]
+    got = found.collect()
+    assert {(x["cond"], x["word"], x["wrong"]): x["n"] for x in got if x["word"] is not None} == dict(want)
+    assert {x["cond"]: [x["n"], x["errors"], x["ref_words"], x["chars"]] for x in got if x["word"] is None} == {c: list(v) for c, v in sums.items()}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_segment_rollup(spark):
     df = spark.createDataFrame([([(-0.5, 1.0), (None, 2.0), (-1.5, None)],), ([(None, None)],), ([],)],
                                "s array<struct<avg_logprob:double,compression_ratio:double>>")
@@ -117,7 +138,7 @@ def test_distances_of_many_sizes_match_brute_force(monkeypatch):
     of = pa.list_(pa.string())
     codes = A._coded_words(pa.array([r for r, _ in pairs], of), pa.array([h for _, h in pairs], of))
     want = [brute_distance(r, h) for r, h in pairs]
-    for lanes, masks, blocks, bits in [(2048, 1 << 18, 8, 16_384), (7, 4, 8, 16_384), (7, 1 << 18, 0, 50)]:
+    for lanes, masks, blocks, bits in [(1024, 1 << 20, 8, 16_384), (7, 4, 8, 16_384), (7, 1 << 18, 0, 50)]:
         for name, v in {"_LANES": lanes, "_MASKS": masks, "_BLOCKS": blocks, "_LONG_BITS": bits}.items():
             monkeypatch.setattr(A, name, v)
         assert A.distances(*codes).tolist() == want
